@@ -36,3 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="wherewhen-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read back: its lineage ends there and lost executors don't matter."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/wherewhen-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,15 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wherewhen.llm.common import table
+from wherewhen.llm.mixing import mix_sources
+from wherewhen.llm.quality_rules import quality_rules
 from wherewhen.llm.substring_dedup import substring_dedup
+from wherewhen.llm.token_files import token_files
+from wherewhen.llm.url_filter import url_filter
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), width=13)
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), entropy_ratio=0.95, max_repeats=4.0)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_source_mixing": op3_source_mixing,
+    "op4_token_files": op4_token_files,
+    "op9_url_filter": op9_url_filter,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
