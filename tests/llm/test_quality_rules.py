@@ -51,6 +51,6 @@ def test_em_finds_the_accuracies():
         good = rnd.random() < 0.7
         v = tuple((1 if (rnd.random() < a) == good else -1) if rnd.random() < 0.8 else 0 for a in right)
         counts[v] = counts.get(v, 0) + 1
-    share, found = fit(list(counts.items()), prior_share=0.001)
+    share, found = fit(list(counts.items()), prior_share=0.001, most_failed=1.0)
     assert abs(share - 0.7) < 0.05
     assert all(abs(f[0] - a) < 0.08 for f, a in zip(found, right, strict=True))

@@ -63,6 +63,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_count(F.col("_body"), F.lit("\n")).cast("long").alias("n_breaks"),
         F.regexp_count(F.col("_body"), F.lit(r"\p{L}")).cast("long").alias("n_letters"),
         F.size(F.array_distinct(words)).cast("long").alias("n_distinct"),
+        let(words, lambda w: F.size(F.filter(w, lambda x, i: x == F.get(w, i + 1)))).cast("long").alias("n_stutter"),
     )
 
 
@@ -82,6 +83,7 @@ def rules() -> dict[str, Column]:
         "shouts": _vote(per("n_shouts", 25), ~per("n_shouts", 3)),
         "letters": _vote(F.col("n_letters") * 10 < F.col("word_chars") * 9, F.col("n_letters") * 100 >= F.col("word_chars") * 94),
         "variety": _vote((n >= 30) & (F.col("n_distinct") * 100 < F.when(n < 1000, 30).otherwise(12) * n), F.col("n_distinct") * 100 >= 40 * n),
+        "stutter": _vote(per("n_stutter", 20), ~per("n_stutter", 8)),
         "length": _vote(n < 10, n >= 30),
     }
 
@@ -89,9 +91,12 @@ def rules() -> dict[str, Column]:
 #: Before any data each rule is taken to vote good on so many good documents and bad on so many bad ones - a
 #: rule looks for one fault, so most bad documents pass it - as if seen in this share of its votes.
 PRIOR, PRIOR_SHARE = (0.97, 0.4), 0.1
+#: No rule is taken to fail more good documents than this: else EM may call one kind of fault good, as it is
+#: free to name its classes.
+MOST_FAILED = 0.03
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], steps: int = 100, prior_share: float = PRIOR_SHARE) -> tuple[float, list[tuple[float, float]]]:
+def fit(patterns: list[tuple[tuple[int, ...], int]], steps: int = 100, prior_share: float = PRIOR_SHARE, most_failed: float = MOST_FAILED) -> tuple[float, list[tuple[float, float]]]:
     """(share of good documents, each rule's accuracies on good and on bad ones) by EM on (votes, documents) pairs."""
     if not patterns:
         return 0.5, []
@@ -112,7 +117,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], steps: int = 100, prior_sha
         share = min(0.999, max(0.001, (good + 1) / (total + 2)))
         weight = [prior_share * sum(a) + 1 for a in all_]
         right = [tuple(min(0.98, (h[k] + PRIOR[k] * w) / (a[k] + w)) for k in (0, 1)) for h, a, w in zip(hit, all_, weight, strict=True)]
-        right = [(g, max(b, 1.01 - g)) for g, b in right]  # better than chance, so that good stays good
+        right = [(max(g, 1 - most_failed), max(b, 1.01 - g)) for g, b in right]  # better than chance, so that good stays good
     return share, right
 
 

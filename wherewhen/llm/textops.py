@@ -13,6 +13,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: All of ASCII but digits and letters.
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Odd multipliers of the polynomial hashes, one for each independent family.
@@ -61,17 +63,17 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, family:
 class Words:
     """The words of many texts: byte spans, the text each belongs to, and each text's first word.
 
-    ``first[i]:first[i + 1]`` are the words of text i.
+    ``first[i]:first[i + 1]`` are the words of text i. between says which bytes stand between words.
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, between: np.ndarray = _SPACE):
         self.buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
         if lower:
             self.buf = _LOWER[self.buf]
         sizes = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
         at = np.zeros(len(texts) + 1, dtype=np.int64)
         np.cumsum(sizes + 1, out=at[1:])
-        inside = ~_SPACE[self.buf]
+        inside = ~between[self.buf]
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         if len(inside) and inside[0]:
             edge = np.concatenate([[0], edge])
