@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wherewhen.llm.common import table
 from wherewhen.llm.decontamination import contaminated
+from wherewhen.llm.lm_scoring import lm_scores
 from wherewhen.llm.mixing import mix_sources
+from wherewhen.llm.quality_classifier import classify
 from wherewhen.llm.quality_rules import quality_rules
 from wherewhen.llm.substring_dedup import substring_dedup
 from wherewhen.llm.token_files import token_files
@@ -29,10 +31,18 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
@@ -45,7 +55,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op4_token_files": op4_token_files,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_decontamination": op6_decontamination,
+    "op7_quality_classifier": op7_quality_classifier,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
