@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +47,47 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/wherewhen-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+FILTER_BITS = 1 << 26
+
+
+def _bits(table):
+    import numpy as np
+    import pyarrow as pa
+
+    bits = np.zeros(1 << 15, dtype=bool)
+    bits[table.column("bit").to_numpy() & 32767] = True
+    return pa.table({"cell": table.column("cell").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+
+def filter_bits(ids: DataFrame, key: str):
+    """A filter of FILTER_BITS bits, whatever the number of ids: the bit of every id is set, and few others'."""
+    import numpy as np
+
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    found = ids.select(bit.alias("bit")).distinct().withColumn("cell", F.shiftright("bit", 15)).groupBy("cell").applyInArrow(_bits, "cell long, bits binary").collect()
+    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in found:
+        bits[r["cell"] * 4096 : (r["cell"] + 1) * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return bits
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key is not in ids (one column, of the same name). Rows with a null key stay.
+
+    A filter of fixed size settles most rows where they are; only the rows that it can't clear, with their
+    texts, are shuffled for the exact join.
+    """
+    ids = settled(ids.where(F.col(key).isNotNull()).select(F.col(key).alias("_gone")).distinct(), "gone")
+    shared = docs.sparkSession.sparkContext.broadcast(filter_bits(ids, "_gone"))
+
+    @F.pandas_udf("boolean")
+    def maybe(bit: pd.Series) -> pd.Series:
+        n = bit.to_numpy()
+        return pd.Series((shared.value[n >> 3] >> (7 - (n & 7)).astype("uint8") & 1).astype(bool))
+
+    kept = docs.columns
+    flagged = docs.withColumn("_maybe", maybe(F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))) & F.col(key).isNotNull())
+    doubt = flagged.where("_maybe").select(kept)
+    return flagged.where("NOT _maybe").select(kept).union(doubt.join(ids, doubt[key] == ids["_gone"], "left_anti"))

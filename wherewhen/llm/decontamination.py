@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wherewhen.llm.common import without
 from wherewhen.llm.textops import NOT_ALNUM, Words, blocks, text_bytes
 
 GROUP_ITEMS, GROUP_BYTES, BLOCK_ITEMS = 2_000, 4 << 20, 16
@@ -177,5 +178,4 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, ques
 
 def decontaminate(docs: DataFrame, items: DataFrame, **limits) -> DataFrame:
     """The rows of docs, with all their columns, in which contaminated() finds no item. Rows are told apart by doc_id; those with a null doc_id stay."""
-    found = contaminated(docs, items, **limits).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_leaked"], "left_anti")
+    return without(docs, contaminated(docs, items, **limits).select("doc_id"))

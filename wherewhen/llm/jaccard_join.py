@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wherewhen.llm.common import settled, text_size
+from wherewhen.llm.common import FILTER_BITS, filter_bits, settled, text_size, without
 from wherewhen.llm.components import components
 from wherewhen.llm.grams import squeeze, unsqueeze
 from wherewhen.llm.textops import Words, blocks, pack, shard_of, spans_hash, text_bytes, unpack, windows
@@ -40,7 +40,6 @@ CELL_BITS = 22
 SHARD_ENTRIES = 1 << 21
 BLOCK_MEMBERS = 2_000
 LEAF = 32
-FILTER_BITS = 1 << 26
 
 
 def shingles(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
@@ -225,23 +224,6 @@ def _twins(batches):
             yield pa.record_batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
-def _bits(table: pa.Table) -> pa.Table:
-    cell = table.column("cell")[0].as_py()
-    bits = np.zeros(1 << 15, dtype=bool)
-    bits[table.column("bit").to_numpy() & 32767] = True
-    return pa.table({"cell": pa.array([cell], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-
-def _wanted(ids: DataFrame):
-    """A filter of FILTER_BITS bits, whatever the number of ids, that lets all of ids (doc_id) through and few others."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    found = ids.select(bit.alias("bit")).distinct().withColumn("cell", F.shiftright("bit", 15)).groupBy("cell").applyInArrow(_bits, "cell long, bits binary").collect()
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for r in found:
-        bits[r["cell"] * 4096 : (r["cell"] + 1) * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return bits
-
-
 def _sets(wanted):
     def run(batches):
         bits = wanted.value
@@ -259,7 +241,7 @@ def _sets(wanted):
 def sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, set) of the rows whose doc_id is in ids, and of a few others."""
     spark = rows.sparkSession
-    wanted = spark.sparkContext.broadcast(_wanted(ids))
+    wanted = spark.sparkContext.broadcast(filter_bits(ids, "doc_id"))
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     return rows.where("doc_id IS NOT NULL").select("doc_id", "text", bit.alias("bit")).mapInArrow(_sets(wanted), "doc_id long, set binary")
 
@@ -361,5 +343,4 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, without those that link to a smaller doc_id. Rows that share a doc_id, or have none, all stay."""
     _, labels = linked_components(docs)
-    gone = labels.where("component < id").select(F.col("id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return without(docs, labels.where("component < id").select(F.col("id").alias("doc_id")))

@@ -18,10 +18,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wherewhen.llm.common import settled
 from wherewhen.llm.textops import WORD_PATTERN
 
 BLOCK_TOKENS, LEAST_BLOCKS = 1 << 20, 256
 MAX_SOURCES = 100_000
+#: Up to so many readings of blocks (some 100 bytes each) go to all executors; more are joined by a shuffle.
+MAX_BROADCAST_BLOCKS = 300_000
 STEPS = 60
 
 
@@ -108,6 +111,9 @@ def mix_sources(docs: DataFrame, budget_tokens: int | None = None, entropy_ratio
     rows = rows.withColumn("block", F.col("_h") % blocks_of).drop("_h")
     blocks = rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
     read = plan(blocks, budget_tokens, entropy_ratio, max_repeats, seed).withColumnsRenamed({"source": "_s", "block": "_b"})
+    read = settled(read, "blocks-read")
+    if read.count() <= MAX_BROADCAST_BLOCKS:
+        read = F.broadcast(read)
     out = rows.join(read, rows["source"].eqNullSafe(read["_s"]) & (rows["block"] == read["_b"]))
     if keep:
         return out.select("_row.*")

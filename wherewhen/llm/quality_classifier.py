@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wherewhen.llm.common import text_size
+from wherewhen.llm.common import settled, text_size, without
 from wherewhen.llm.grams import scored
 from wherewhen.llm.kneser_ney import KneserNey
 
@@ -43,8 +43,6 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin:
     good. Repeated rows are judged alike; a doc_id that is labelled both good and bad is trusted. Empty docs
     give an empty result; without labels every text is good.
     """
-    from wherewhen.llm.common import settled
-
     seen = settled(perplexities(docs, labels, order, max_trusted), "perplexities")
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("_id")).distinct()
     trusted = seen.where("NOT trained AND perplexity IS NOT NULL").join(good, F.col("doc_id") == F.col("_id"), "left_semi")
@@ -70,5 +68,4 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin:
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all their columns, that classify() finds good. Rows are told apart by doc_id; those with a null doc_id stay."""
-    bad = classify(docs, labels, **options).where("NOT good").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    return without(docs, classify(docs, labels, **options).where("NOT good").select("doc_id"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wherewhen.llm.common import table
 from wherewhen.llm.decontamination import contaminated
+from wherewhen.llm.html_text import main_text
 from wherewhen.llm.jaccard_join import jaccard_components
 from wherewhen.llm.lm_scoring import lm_scores
 from wherewhen.llm.mixing import mix_sources
@@ -48,6 +49,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_lm_scoring": op5_lm_scoring,
     "op6_decontamination": op6_decontamination,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_html_text": op8_html_text,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
