@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wherewhen.llm.common import settled, shared_dir, text_size
+from wherewhen.llm.textops import blocks, text_bytes
 
 MAGIC = b"DACT"
 RANK_EVERY = 512
-MAX_CACHED_WORDS = 300_000
+MAX_CACHED_WORDS = 500_000
 
 
 def encode(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray, nulls: int = 0) -> bytes:
@@ -99,36 +100,63 @@ class TokenFile:
         return out
 
 
-_WORDS: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+class WordEncoder:
+    """text bytes -> ids as little-endian uint32.
 
+    A text's ids are its words' ids in a row, as the tokenizer drops white space and splits at it. New words go
+    to the tokenizer many at a time, with a special token of its vocabulary between them. Words stay known for
+    two generations of MAX_CACHED_WORDS words. Where the tokenizer is one that lower-cases and splits letters from
+    punctuation (parts=True), A-Z are lower-cased first and a full stop or comma after a letter is a word of its own.
+    """
 
-def _encoder(path: str):
-    """text bytes -> ids as little-endian uint32. A text's ids are its words' ids in a row, as the tokenizer drops white space and splits at it; each worker keeps the ids of words that it met."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    if path not in _WORDS:
-        _WORDS[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _WORDS[path]
-
-    def encode_text(text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > MAX_CACHED_WORDS:
-            known.clear()
-        new = [w for w in set(words) if w not in known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[w] for w in words])
-
-    return encode_text
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.strip()]
+        self.between = max(special, default=None)
+        self.opens = b"<|" if special else b""
+        probe = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.parts = probe("The QUICK, fox. a1.") == probe("the quick , fox . a1 .")
+
+    def _encode(self, words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        joint = [k for k, t in enumerate(texts) if self.between and self.between[1] not in t]
+        for k in range(0, len(joint), 200):
+            part = joint[k : k + 200]
+            ids = np.array(self.tokenizer.encode("".join(texts[i] + self.between[1] for i in part), add_special_tokens=False).ids, dtype="<u4")
+            at, data = np.flatnonzero(ids == self.between[0]), ids.tobytes()
+            self.known.update(zip([words[i] for i in part], [data[4 * a : 4 * b] for a, b in zip([0, *(at[:-1] + 1)], at, strict=True)], strict=True))
+        for i in set(range(len(words))).difference(joint):
+            self.known[words[i]] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        lists = [(t.lower() if self.parts and self.opens not in t else t).split() for t in texts]
+        if len(self.known) > MAX_CACHED_WORDS:
+            self.known, self.older = {}, self.known
+        new = set().union(*lists).difference(self.known)
+        old = [w for w in new if w in self.older]  # never walks through what is known
+        self.known.update((w, self.older[w]) for w in old)
+        new.difference_update(old)
+        ends = [w for w in new if self.parts and w[-1:] in (b".", b",") and w[-2:-1].isalpha()]
+        whole = new.difference(ends)
+        whole.update({x for w in ends for x in (w[:-1], w[-1:])}.difference(self.known))
+        self._encode(list(whole))
+        self.known.update((w, self.known[w[:-1]] + self.known[w[-1:]]) for w in ends)
+        return [b"".join(map(self.known.__getitem__, words)) for words in lists]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def _encoder(path: str) -> WordEncoder:
+    """One for each worker process, which many tasks use."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def _open(uri: str):
@@ -141,7 +169,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, file_tokens: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def write(batches):
-        part, run, encode_text = TaskContext.get().partitionId(), 0, _encoder(tokenizer)
+        part, run, encode_texts = TaskContext.get().partitionId(), 0, _encoder(tokenizer)
         ids, docs, sizes = [], [], []
 
         def flush():
@@ -161,15 +189,16 @@ def _writer(folder: str, tokenizer: str, end_id: int, file_tokens: int):
 
         held = 0
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                got = encode_text(text or b"") + end
-                ids.append(got)
-                docs.append(doc)
-                sizes.append(len(got) // 4)
-                held += sizes[-1]
-                if held >= file_tokens:
-                    yield flush()
-                    held = 0
+            texts, numbers = text_bytes(batch.column("text")), batch.column("doc_id").to_pylist()
+            for a, b in blocks(texts, 1 << 20):
+                for doc, got in zip(numbers[a:b], encode_texts(texts[a:b]), strict=True):
+                    ids += (got, end)
+                    docs.append(doc)
+                    sizes.append(len(got) // 4 + 1)
+                    held += sizes[-1]
+                    if held >= file_tokens:
+                        yield flush()
+                        held = 0
         if docs:
             yield flush()
 
@@ -197,7 +226,8 @@ def _read(batches):
             system, path = _open(uri)
             with system.open_input_file(path) as f:
                 file = TokenFile(f.read())
-            crc = [zlib.crc32(file.tokens(a, b).astype("<u4").tobytes()) for a, b in zip(file.starts[:-1].tolist(), file.starts[1:].tolist(), strict=True)]
+            ids = memoryview(file.tokens(0, file.n_tokens).astype("<u4").tobytes())
+            crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(file.starts[:-1].tolist(), file.starts[1:].tolist(), strict=True)]
             yield pa.record_batch({"doc_id": pa.array(file.doc_ids, mask=np.arange(len(file.doc_ids)) < file.nulls), "start": pa.array(file.starts[:-1] + base), "n_tokens": pa.array(np.diff(file.starts)), "ids_crc32": pa.array(crc, pa.int64())})
 
 
