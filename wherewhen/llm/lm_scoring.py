@@ -125,9 +125,9 @@ def lm_scores(docs: DataFrame, order: int = 6) -> DataFrame:
     words = numbered.select("row", "model_text", "train").mapInArrow(_emit(shards), "shard int, block long, lists binary, docs binary")
     counted = words.groupBy("shard").applyInArrow(_count, "block long, sums binary, docs binary, n double, v double")
     base = counted.groupBy("block").applyInArrow(_total, "row long, logs double, n_known long, n_tokens long")
-    totals = F.broadcast(counted.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).withColumn("one", F.lit(True)))
+    totals = F.broadcast(counted.groupBy(F.pmod("block", F.lit(1)).alias("all")).agg(F.sum("n").alias("n"), F.sum("v").alias("v")))  # one row
     ended = numbered.withColumn("model_text", F.concat("model_text", F.lit(bytearray(b"\n"))))
     tree = scored(ended, ContextTree(order), "row long, doc_id long, held_out boolean", size)
-    joined = tree.join(base, "row").withColumn("one", F.col("row").isNotNull()).join(totals, "one")
+    joined = tree.join(base, "row").withColumn("all", F.pmod("row", F.lit(1))).join(totals, "all")
     base_score = F.col("logs") - F.col("n_tokens") * F.log10(F.col("n") + F.col("v") + 1)
     return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.col("n").cast("long").alias("train_tokens"), base_score.alias("base_score"), F.col("log10p").alias("score"))
