@@ -70,7 +70,8 @@ def test_matches_brute_force(spark, monkeypatch):
 def test_recursive_regions_miss_nothing():
     rnd = random.Random(5)
     rows = corpus(rnd, 400)
-    found = Regions([i for i, _ in rows], shingles([t.encode() for _, t in rows]), list(range(400)))
+    sets_ = shingles([t.encode() for _, t in rows])
+    found = Regions([i for i, _ in rows], sets_, [len(s) for s in sets_], list(range(400)))
     found.join(list(range(400)))
     low = {}
     for i in range(400):

@@ -24,19 +24,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wherewhen.llm.common import FILTER_BITS, filter_bits, settled, text_size, without
+from wherewhen.llm.common import chunked, settled, text_size, without
 from wherewhen.llm.components import components
 from wherewhen.llm.grams import squeeze, unsqueeze
+from wherewhen.llm.substring_dedup import SHARD_WINDOWS, SKETCH_DDL, least_cells, sketch_cells, sketch_rows
 from wherewhen.llm.textops import Words, blocks, pack, shard_of, spans_hash, text_bytes, unpack, windows
 
 WIDTH = 5
 #: d <= RADIUS is 100 * shared >= 75 * either.
 RADIUS = 0.25
-CELL_BITS = 22
 SHARD_ENTRIES = 1 << 21
 BLOCK_MEMBERS = 2_000
 LEAF = 32
@@ -61,8 +60,8 @@ def links(shared: int, x: int, y: int) -> bool:
     return shared > 0 and 100 * shared >= 75 * (x + y - shared)
 
 
-def distance(x: np.ndarray, y: np.ndarray) -> tuple[float, bool]:
-    """(Jaccard distance, whether they link) of two sorted sets."""
+def distance(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> tuple[float, bool]:
+    """(Jaccard distance, whether they link) of sets of nx and ny elements; x and y are sorted, without elements of one set alone."""
     if not len(x) or not len(y):
         return 1.0, False
     if len(x) > len(y):
@@ -70,14 +69,14 @@ def distance(x: np.ndarray, y: np.ndarray) -> tuple[float, bool]:
     at = np.searchsorted(y, x)
     at[at == len(y)] = len(y) - 1
     shared = int((y[at] == x).sum())
-    return 1 - shared / (len(x) + len(y) - shared), links(shared, len(x), len(y))
+    return 1 - shared / (nx + ny - shared), links(shared, nx, ny)
 
 
 class Regions:
     """The recursive join of some documents' sets; component: what is connected beforehand."""
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray], component: list[int]):
-        self.ids, self.sets, self.found = ids, sets, []
+    def __init__(self, ids: list[int], sets: list[np.ndarray], sizes: list[int], component: list[int]):
+        self.ids, self.sets, self.sizes, self.found = ids, sets, sizes, []
         first = {}
         self.root = [first.setdefault(c, i) for i, c in enumerate(component)]
 
@@ -88,7 +87,7 @@ class Regions:
         return i
 
     def measure(self, i: int, j: int) -> float:
-        d, near = distance(self.sets[i], self.sets[j])
+        d, near = distance(self.sets[i], self.sets[j], self.sizes[i], self.sizes[j])
         if near and self.top(i) != self.top(j):
             self.root[self.top(i)] = self.top(j)
             self.found.append((self.ids[i], self.ids[j]))
@@ -101,7 +100,7 @@ class Regions:
         if len(members) <= LEAF:
             self.pairs(members, None)
             return
-        by_size = sorted(members, key=lambda i: (len(self.sets[i]), self.ids[i]))
+        by_size = sorted(members, key=lambda i: (self.sizes[i], self.ids[i]))
         count = max(2, min(24, int(math.sqrt(len(members)))))
         pivots = [by_size[int((k + 0.5) * len(by_size) / count)] for k in range(count)]
         d = np.array([[self.measure(i, p) if i != p else 0.0 for p in pivots] for i in members])
@@ -114,7 +113,7 @@ class Regions:
             self.join([members[i] for i in c])
 
     def pairs(self, members: list[int], d) -> None:
-        n = np.array([len(self.sets[i]) for i in members])
+        n = np.array([self.sizes[i] for i in members])
         for k, i in enumerate(members):
             ok = (np.minimum(n, n[k]) * 4 >= np.maximum(n, n[k]) * 3) & (np.arange(len(members)) > k)
             if d is not None:
@@ -126,62 +125,76 @@ class Regions:
                     own = self.top(i)
 
 
-def _sketch(batches):
-    """One partial frequency sketch for each task; and each row's doc_id and number of shingles."""
-    cells = np.zeros(1 << CELL_BITS, dtype=np.uint32)
-    part, seen = TaskContext.get().partitionId(), False
-    for batch in batches:
-        texts, seen = text_bytes(batch.column("text")), True
-        sizes = []
-        for a, b in blocks(texts):
-            sets = shingles(texts[a:b])
-            sizes += [len(s) for s in sets]
-            if sets:
-                cells += np.bincount((np.concatenate(sets) & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64), minlength=1 << CELL_BITS).astype(np.uint32)
-        yield pa.record_batch({"part": pa.array([part] * len(sizes), pa.int64()), "doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int64()), "cells": pa.array([None] * len(sizes), pa.binary())})
-    if seen:
-        yield pa.record_batch({"part": pa.array([part], pa.int64()), "doc_id": pa.array([None], pa.int64()), "n": pa.array([None], pa.int64()), "cells": pa.array([squeeze(np.minimum(cells, 65535).astype(np.uint16).tobytes())], pa.binary())})
+TESTED = np.uint64(1 << 63)
 
 
-def _add(table: pa.Table) -> pa.Table:
-    total = np.zeros(1 << CELL_BITS, dtype=np.uint32)
-    for c in table.column("cells"):
-        total += np.frombuffer(unsqueeze(c.as_py())[0], dtype=np.uint16)
-    return pa.table({"cells": pa.array([squeeze(np.minimum(total, 65535).astype(np.uint16).tobytes())], pa.binary())})
+def _tested(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles of a chunk whose hash's top bit is 0, and in how many of its texts each is."""
+    return np.unique(np.concatenate([s[: np.searchsorted(s, TESTED)] for s in sets] or [np.zeros(0, dtype=np.uint64)]), return_counts=True)
 
 
-def _postings(frequency, shards: int):
+def _sketch(shards: int):
+    def visit(table: pa.Table) -> pa.Table:
+        return sketch_rows(table, *_tested(shingles(text_bytes(table.column("text")))), shards)
+
+    return visit
+
+
+def _estimate(table: pa.Table) -> pa.Table:
+    """The least cell of each shingle, up to 255."""
+    least, size = least_cells(table)
+    found = [squeeze(np.minimum(x, 255).astype(np.uint8).tobytes()) for x in np.split(least, np.cumsum(size)[:-1])]
+    return pa.table({"chunk": table.column("chunk"), "shard": table.column("shard"), "least": pa.array(found, pa.binary())})
+
+
+def _candidates(shards: int):
+    """(doc_id, n) of each text; for those that may link also the set and the rarest shingles that others have too."""
+
+    def visit(table: pa.Table, answers: pa.Table) -> pa.Table:
+        sets = shingles(text_bytes(table.column("text"))) if table.num_rows else []
+        distinct = _tested(sets)[0]
+        often = np.zeros(len(distinct), dtype=np.int64)
+        by_shard = dict(zip(answers.column("shard").to_pylist(), answers.column("least").to_pylist(), strict=True)) if len(distinct) else {}
+        for shard, a, _, order, _ in sketch_cells(distinct, shards):
+            often[a + order] = np.frombuffer(unsqueeze(by_shard[shard])[0], dtype=np.uint8)
+        known = [i is not None for i in table.column("doc_id").to_pylist()] if table.num_rows else []
+        rest, rare = [], []
+        for s, ok in zip(sets, known, strict=True):
+            k = len(s) - (75 * len(s) + 99) // 100 + 1
+            cut = int(np.searchsorted(s, TESTED))
+            times = often[np.searchsorted(distinct, s[:cut])]
+            alone = int((times < 2).sum())
+            if not ok or not len(s) or alone >= k:
+                rest.append(None), rare.append(None)
+                continue
+            order = np.concatenate([np.argsort(times, kind="stable"), np.arange(cut, len(s))])
+            rest.append(np.concatenate([s[:cut][times >= 2], s[cut:]]).tobytes())
+            rare.append(s[order[alone:k]].tobytes())
+        doc = table.column("doc_id") if table.num_rows else pa.array([], pa.int64())
+        return pa.table({"doc_id": doc, "n": pa.array([len(s) for s in sets], pa.int64()), "set": pa.array(rest, pa.binary()), "rare": pa.array(rare, pa.binary())})
+
+    return visit
+
+
+def _postings(shards: int):
     def run(batches):
-        often, mask = frequency.value, np.uint64((1 << CELL_BITS) - 1)
         for batch in batches:
-            texts, ids = text_bytes(batch.column("text")), batch.column("doc_id").to_pylist()
-            for a, b in blocks(texts, 4 << 20):
-                sets, first, twins = shingles(texts[a:b]), {}, []
-                keys, docs = [], []
-                for i, s in enumerate(sets):
-                    if ids[a + i] is None or not len(s):
-                        continue
-                    lead = first.setdefault(s.tobytes(), i)
-                    if lead != i:
-                        twins.append((ids[a + lead], ids[a + i]))
-                        continue
-                    k = len(s) - (75 * len(s) + 99) // 100 + 1
-                    keys.append(s[np.argsort(often[(s & mask).astype(np.int64)], kind="stable")[:k]])
-                    docs.append(np.full(k, i, dtype=np.int64))
-                first.clear()
-                rows = [(-1, pack(np.zeros(0, dtype=np.uint64)), b"", np.array(twins, dtype=np.int64).tobytes(), b"")] if twins else []
-                if keys:
-                    key, doc = np.concatenate(keys), np.concatenate(docs)
-                    order = np.argsort(key, kind="stable")
-                    key, doc = key[order], doc[order]
-                    edge = np.searchsorted(shard_of(key, shards), np.arange(shards + 1))
-                    for s in range(shards):
-                        lo, hi = int(edge[s]), int(edge[s + 1])
-                        if hi > lo:
-                            here, at = np.unique(doc[lo:hi], return_inverse=True)
-                            rows.append((s, pack(np.diff(key[lo:hi], prepend=np.uint64(0))), pack(at), np.array([ids[a + i] for i in here], dtype=np.int64).tobytes(), np.array([len(sets[i]) for i in here], dtype=np.int64).tobytes()))
-                out = list(zip(*rows, strict=True)) if rows else [()] * 5
-                yield pa.record_batch({"shard": pa.array(out[0], pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in zip(("keys", "at", "ids", "sizes"), out[1:], strict=True)}})
+            if not batch.num_rows:
+                continue
+            keys = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("rare").to_pylist()]
+            doc = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            ids, sizes = np.array(batch.column("doc_id").to_pylist(), dtype=np.int64), np.array(batch.column("n").to_pylist(), dtype=np.int64)
+            key = np.concatenate(keys)
+            order = np.argsort(key, kind="stable")
+            key, doc = key[order], doc[order]
+            edge, rows = np.searchsorted(shard_of(key, shards), np.arange(shards + 1)), []
+            for s in range(shards):
+                lo, hi = int(edge[s]), int(edge[s + 1])
+                if hi > lo:
+                    here, at = np.unique(doc[lo:hi], return_inverse=True)
+                    rows.append((s, pack(np.diff(key[lo:hi], prepend=np.uint64(0))), pack(at), ids[here].tobytes(), sizes[here].tobytes()))
+            out = list(zip(*rows, strict=True)) if rows else [()] * 5
+            yield pa.record_batch({"shard": pa.array(out[0], pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in zip(("keys", "at", "ids", "sizes"), out[1:], strict=True)}})
 
     return run
 
@@ -217,35 +230,6 @@ def _families(table: pa.Table) -> pa.Table:
     return pa.table({"pivot": pa.array(pairs[:, 0]), "member": pa.array(pairs[:, 1]), "times": pa.array(times.astype(np.int64))})
 
 
-def _twins(batches):
-    for batch in batches:
-        for x in batch.column("ids"):
-            pairs = np.frombuffer(x.as_py(), dtype=np.int64).reshape(-1, 2)
-            yield pa.record_batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-
-def _sets(wanted):
-    def run(batches):
-        bits = wanted.value
-        for batch in batches:
-            bit = batch.column("bit").to_numpy(zero_copy_only=False)
-            keep = np.flatnonzero((bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1)
-            part = batch.take(pa.array(keep))
-            texts, ids = text_bytes(part.column("text")), part.column("doc_id")
-            for a, b in blocks(texts):
-                yield pa.record_batch({"doc_id": ids.slice(a, b - a), "set": pa.array([s.tobytes() for s in shingles(texts[a:b])], pa.binary())})
-
-    return run
-
-
-def sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, set) of the rows whose doc_id is in ids, and of a few others."""
-    spark = rows.sparkSession
-    wanted = spark.sparkContext.broadcast(filter_bits(ids, "doc_id"))
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    return rows.where("doc_id IS NOT NULL").select("doc_id", "text", bit.alias("bit")).mapInArrow(_sets(wanted), "doc_id long, set binary")
-
-
 def _local(first_only: bool):
     """Joins one block (or pair of blocks) of a family. first_only: just the distances to the pivot, and the links these make."""
 
@@ -253,7 +237,7 @@ def _local(first_only: bool):
         pivot = table.column("pivot")[0].as_py()
         ids, component = table.column("member").to_pylist(), table.column("component").to_pylist()
         sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("set").to_pylist()]
-        regions = Regions(ids, sets, component)
+        regions = Regions(ids, sets, table.column("n").to_pylist(), component)
         center, d = [i for i, x in enumerate(ids) if x == pivot], [None] * len(ids)
         for i in range(len(ids)) if center else ():
             d[i] = min(regions.measure(i, c) if i != c else 0.0 for c in center)
@@ -270,35 +254,33 @@ OUT = "pivot long, a long, b long, d double"
 
 
 def _blocked(families: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(pivot, block, member, component, set): families in blocks of about BLOCK_MEMBERS members, the pivot in every block."""
+    """(pivot, block, member, component, n, set): families in blocks of about BLOCK_MEMBERS members, the pivot in every block."""
     sizes = families.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
     own = families.select("pivot", "member").join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"), "member")
     lead = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("member"))
-    named = labels.withColumnsRenamed({"id": "member"})
-    rows = own.union(lead).join(sets.withColumnRenamed("doc_id", "member"), "member")
-    return rows.join(named, "member", "left").select("pivot", "block", "member", F.coalesce("component", "member").alias("component"), "set")
+    named = own.union(lead).join(labels.withColumnsRenamed({"id": "member"}), "member", "left").select("pivot", "block", "member", F.coalesce("component", "member").alias("component"))
+    return named.join(sets.withColumnRenamed("doc_id", "member"), "member")
 
 
 def linked_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((doc_id, n) for every row, (id, component) for every doc_id that links with another)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = settled(rows.mapInArrow(_sketch, "part long, doc_id long, n long, cells binary"), "shingle-counts")
-    counts = first.where("cells IS NULL").select("doc_id", "n")
-    fan = max(1, math.isqrt(rows.rdd.getNumPartitions()))
-    merged = first.where("cells IS NOT NULL").groupBy(F.pmod("part", F.lit(fan))).applyInArrow(_add, "cells binary").withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_add, "cells binary").collect()
-    frequency = np.frombuffer(unsqueeze(merged[0]["cells"])[0], dtype=np.uint16) if merged else np.zeros(1 << CELL_BITS, dtype=np.uint16)
-    shards = max(8, math.ceil(text_size(rows) / 20 / SHARD_ENTRIES))
-    postings = settled(rows.mapInArrow(_postings(spark.sparkContext.broadcast(frequency), shards), "shard int, keys binary, at binary, ids binary, sizes binary"), "postings")
-    twins = postings.where("shard < 0").select("ids").mapInArrow(_twins, "a long, b long")
-    families = postings.where("shard >= 0").groupBy("shard").applyInArrow(_families, "pivot long, member long, times long")
+    size = text_size(rows)
+    shards = max(16, math.ceil(size / 10 / SHARD_WINDOWS))
+    texts = chunked(rows, size)
+    sketch = texts.groupBy("chunk").applyInArrow(_sketch(shards), SKETCH_DDL)
+    often = sketch.groupBy("shard").applyInArrow(_estimate, "chunk long, shard long, least binary")
+    seen = settled(texts.groupBy("chunk").cogroup(often.groupBy("chunk")).applyInArrow(_candidates(shards), "doc_id long, n long, set binary, rare binary"), "candidates")
+    counts, sets = seen.select("doc_id", "n"), seen.where("set IS NOT NULL").select("doc_id", "n", "set")
+    parts = max(8, math.ceil(size / 100 / SHARD_ENTRIES))
+    postings = seen.where("set IS NOT NULL").select("doc_id", "n", "rare").mapInArrow(_postings(parts), "shard int, keys binary, at binary, ids binary, sizes binary")
+    families = postings.groupBy("shard").applyInArrow(_families, "pivot long, member long, times long")
     families = settled(families.groupBy("pivot", "member").agg(F.sum("times").alias("times")), "families")
 
     best = families.groupBy("member").agg(F.max_by("pivot", F.struct("times", -F.col("pivot"))).alias("pivot")).select("pivot", "member")
     none = spark.createDataFrame([], "id long, component long")
-    near = best.select(F.col("member").alias("doc_id")).union(best.select("pivot")).distinct()
-    found = settled(_blocked(best, sets_of(rows, near), none).groupBy("pivot", "block").applyInArrow(_local(False), OUT).where("b IS NOT NULL"), "links").select("a", "b")
-    links_ = found.union(twins)
+    links_ = settled(_blocked(best, sets, none).groupBy("pivot", "block").applyInArrow(_local(False), OUT).where("b IS NOT NULL"), "links").select("a", "b")
     labels = components(links_)
 
     for stage in ("distances", "windows"):
@@ -313,8 +295,7 @@ def linked_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             open_ = settled(open_, "open-families")
         if open_.isEmpty():
             break
-        ids = open_.select(F.col("member").alias("doc_id")).union(open_.select("pivot")).distinct()
-        rows_ = _blocked(open_, sets_of(rows, ids), labels)
+        rows_ = _blocked(open_, sets, labels)
         if stage == "distances":
             out = settled(rows_.groupBy("pivot", "block").applyInArrow(_local(True), OUT), "distances")
             distances = out.where("b IS NULL").select("pivot", F.col("a").alias("member"), "d")

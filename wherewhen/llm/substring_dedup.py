@@ -53,7 +53,7 @@ def _chunk_windows(table: pa.Table, width: int):
     return h[ok], h2[ok], row[ok], pos[ok], number, np.concatenate(counts), texts
 
 
-def _cells(distinct: np.ndarray, shards: int):
+def sketch_cells(distinct: np.ndarray, shards: int):
     """For each shard that has any: its number, the slice of distinct and the order by sketch cells, with the cells."""
     shard = shard_of(distinct, shards)
     key = mix(distinct ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - 2 * CELL_BITS)
@@ -63,24 +63,23 @@ def _cells(distinct: np.ndarray, shards: int):
         yield int(shard[a]), a, b, order, key[a:b][order]
 
 
-def _sketch(width: int, shards: int):
-    def visit(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py() if table.num_rows else 0
-        h = _chunk_windows(table, width)[0]
-        distinct, count = np.unique(h, return_counts=True)
-        rows = []
-        for shard, a, b, order, key in _cells(distinct, shards):
-            high = (key >> np.uint64(24)).astype(np.int64)
-            low = (key & np.uint64(0xFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-            rows.append((shard, np.packbits(count[a:b][order] > 1).tobytes(), pack(np.diff(high, prepend=0)), low.tobytes()))
-        s, m, hi, lo = zip(*rows, strict=True) if rows else ((), (), (), ())
-        return pa.table({"shard": pa.array(s, pa.int64()), "chunk": pa.array([chunk] * len(s), pa.int64()), "many": pa.array(m, pa.binary()), "high": pa.array(hi, pa.binary()), "low": pa.array(lo, pa.binary())})
+SKETCH_DDL = "shard long, chunk long, many binary, high binary, low binary"
 
-    return visit
 
+def sketch_rows(table: pa.Table, distinct: np.ndarray, count: np.ndarray, shards: int) -> pa.Table:
+    """A chunk's partial sketches, one row for each shard."""
+    chunk = table.column("chunk")[0].as_py() if table.num_rows else 0
+    rows = []
+    for shard, a, b, order, key in sketch_cells(distinct, shards):
+        high = (key >> np.uint64(24)).astype(np.int64)
+        low = (key & np.uint64(0xFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+        rows.append((shard, np.packbits(count[a:b][order] > 1).tobytes(), pack(np.diff(high, prepend=0)), low.tobytes()))
+    s, m, hi, lo = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.table({"shard": pa.array(s, pa.int64()), "chunk": pa.array([chunk] * len(s), pa.int64()), "many": pa.array(m, pa.binary()), "high": pa.array(hi, pa.binary()), "low": pa.array(lo, pa.binary())})
 
-def _estimate(table: pa.Table) -> pa.Table:
-    """Adds the partial sketches of one shard up; bits of the windows whose least cell counts two or more."""
+
+def least_cells(table: pa.Table) -> tuple[np.ndarray, list[int]]:
+    """Adds the partial sketches of one shard up: for every entry of every chunk its least cell, and the chunks' numbers of entries."""
     keys, weight, size = [], [], []
     for many, high, low in zip(*(table.column(c).to_pylist() for c in ("many", "high", "low")), strict=True):
         hi = np.cumsum(unpack(high).astype(np.int64))
@@ -91,7 +90,19 @@ def _estimate(table: pa.Table) -> pa.Table:
         size.append(len(hi))
     key, w = np.concatenate(keys), np.concatenate(weight).astype(np.float64)
     cells = (key >> CELL_BITS, key & ((1 << CELL_BITS) - 1))
-    least = np.minimum(*(np.bincount(c, weights=w, minlength=1 << CELL_BITS)[c] for c in cells))
+    return np.minimum(*(np.bincount(c, weights=w, minlength=1 << CELL_BITS)[c] for c in cells)), size
+
+
+def _sketch(width: int, shards: int):
+    def visit(table: pa.Table) -> pa.Table:
+        return sketch_rows(table, *np.unique(_chunk_windows(table, width)[0], return_counts=True), shards)
+
+    return visit
+
+
+def _estimate(table: pa.Table) -> pa.Table:
+    """Bits of the windows whose least cell counts two or more."""
+    least, size = least_cells(table)
     bits = [np.packbits(x).tobytes() for x in np.split(least >= 2, np.cumsum(size)[:-1])]
     return pa.table({"chunk": table.column("chunk"), "kind": pa.array([0] * len(bits), pa.int32()), "shard": table.column("shard"), "bits": pa.array(bits, pa.binary())})
 
@@ -104,7 +115,7 @@ def _repeated(h: np.ndarray, shards: int, answers: pa.Table) -> np.ndarray:
     """Of the distinct windows of a chunk those estimated repeated."""
     distinct = np.unique(h)
     keep, bits = np.zeros(len(distinct), dtype=bool), _bits(answers, 0)
-    for shard, a, b, order, _ in _cells(distinct, shards):
+    for shard, a, b, order, _ in sketch_cells(distinct, shards):
         keep[a + order] = np.unpackbits(np.frombuffer(bits[shard], dtype=np.uint8), count=b - a).astype(bool)
     return distinct[keep]
 
@@ -208,7 +219,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, with_text: bool = False) -
     shards = max(16, math.ceil(size / 5 / SHARD_WINDOWS))
     texts = chunked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), size)
     answer = "chunk long, kind int, shard long, bits binary"
-    sketch = texts.groupBy("chunk").applyInArrow(_sketch(width, shards), "shard long, chunk long, many binary, high binary, low binary")
+    sketch = texts.groupBy("chunk").applyInArrow(_sketch(width, shards), SKETCH_DDL)
     repeated = sketch.groupBy("shard").applyInArrow(_estimate, answer)
     exact = texts.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_exact(width, shards), "shard long, chunk long, base long, key binary, key2 binary, doc binary")
     earlier = exact.groupBy("shard").applyInArrow(_earlier, answer)
