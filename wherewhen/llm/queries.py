@@ -76,7 +76,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_HASH = "CAST('0x' || substr(md5({}), 1, 12) AS BIGINT)"
+
 ORACLE_SQL: dict[str, str] = {
+    # the bisection for the target entropy; the repetition limit of 4 doesn't bind where no source is that small
+    "op3_source_mixing": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS n, {_HASH.format("'7/' || doc_id")} AS h FROM documents),
+s AS (SELECT source, CAST(sum(n) AS BIGINT) AS t, CAST(greatest(256, ceil(sum(n) / 1048576)) AS BIGINT) AS nb FROM d GROUP BY source),
+q AS (SELECT t / (SELECT sum(t) FROM s) AS q FROM s WHERE t > 0),
+grid AS (SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END FROM (
+    SELECT i, lo, hi, (lo + hi) / 2 AS mid,
+      (SELECT ln(sum(power(q, (lo + hi) / 2))) - sum(power(q, (lo + hi) / 2) * ln(q)) * (lo + hi) / 2 / sum(power(q, (lo + hi) / 2)) FROM q) >= 0.95 * (SELECT ln(count(*)) FROM q) AS ok
+    FROM grid WHERE i < 60)),
+a AS (SELECT CASE WHEN (SELECT -sum(q * ln(q)) FROM q) >= 0.95 * (SELECT ln(count(*)) FROM q) THEN 1.0 ELSE (SELECT lo FROM grid WHERE i = 60) END AS a),
+w AS (SELECT source, t, power(t / (SELECT sum(t) FROM s), a) / sum(power(t / (SELECT sum(t) FROM s), a)) OVER () AS weight FROM s, a WHERE t > 0),
+b AS (SELECT source, h % nb AS block, CAST(sum(n) AS BIGINT) AS bt FROM d JOIN s USING (source) GROUP BY ALL),
+e AS (SELECT b.*, t, weight, weight * (SELECT sum(t) FROM s) AS budget, unnest(range(0, CAST(ceil(weight * (SELECT sum(t) FROM s) / t) AS BIGINT))) AS epoch FROM b JOIN w USING (source)),
+p AS (SELECT *, epoch * t + coalesce(sum(bt) OVER (PARTITION BY source, epoch ORDER BY {_HASH.format("'7/' || source || '/' || epoch || '/' || block")}, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM e)
+SELECT d.doc_id, d.source, d.n AS n_tokens, p.block, CAST(p.epoch AS INTEGER) AS epoch, round(p.weight, 9) AS weight, round(p.start / p.budget, 9) AS position
+FROM p JOIN s USING (source) JOIN d ON d.source = p.source AND d.h % s.nb = p.block WHERE p.start + p.bt / 2 <= p.budget""",
     "op2_jaccard_join": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sh AS (SELECT doc_id, list_slice(w, p, p + 4) AS g
