@@ -70,23 +70,28 @@ def check_schema(schema: T.StructType, struct: str = STRUCT) -> None:
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """df relabelled to schema; raises where names, types or nullability differ (metadata may)."""
+    """df in schema's layout; raises where names or types differ. Metadata may differ, and nullability is what validate() counts, as files forget it."""
 
     def same(a: T.DataType, b: T.DataType) -> bool:
         if isinstance(a, T.StructType) and isinstance(b, T.StructType):
-            return len(a) == len(b) and all(x.name == y.name and (y.nullable or not x.nullable) and same(x.dataType, y.dataType) for x, y in zip(a, b, strict=True))
+            return len(a) == len(b) and all(x.name == y.name and same(x.dataType, y.dataType) for x, y in zip(a, b, strict=True))
         if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
             return same(a.elementType, b.elementType)
         return a == b
 
     if not same(df.schema, schema):
         raise ValueError("schema differs: " + df.schema.simpleString() + " is not " + schema.simpleString())
-    return df.to(schema)
+    return df
 
 
 def violations(df: DataFrame, id_column: str | None = None, struct: str = STRUCT) -> DataFrame:
     """One row of counts of what validate() rejects."""
     bad = {f"bad_{name}": ~vocab.is_code(field(df, name, struct), words) for name, words in (("units_pos", vocab.LENGTH_UNITS), ("timescale_id", vocab.TIME_SCALES), ("estimate_type", vocab.ESTIMATES))}
+    missing = F.lit(False)
+    for f in FIELDS.fields:
+        if not f.nullable:
+            missing = missing | field(df, f.name, struct).isNull()
+    bad["missing_field"] = missing
     frame = field(df, "frame_id", struct)
     bad["bad_frame_id"] = frame.isNotNull() & ~ident.is_valid(frame)
     bad["abstract_frame"] = frame.isNotNull() & ident.is_valid(frame) & (ident.kind(frame) == ident.ABSTRACT)

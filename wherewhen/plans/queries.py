@@ -184,7 +184,7 @@ def unit_convert(spark, d):
     return o.select("row_seq", vocab.to_km(F.col("x"), u).alias("km"), vocab.from_km(vocab.to_km(F.col("y"), u), F.lit(2)).alias("m"))
 
 
-@query("SELECT estimate_type, estimate_type - 1 AS rank, count(*) AS n FROM obs GROUP BY ALL")
+@query("SELECT estimate_type, CAST(estimate_type - 1 AS INTEGER) AS rank, count(*) AS n FROM obs GROUP BY ALL")
 def estimate_priority(spark, d):
     return observations(spark, d).groupBy("estimate_type").agg(F.count("*").alias("n")).select("estimate_type", vocab.estimate_rank(F.col("estimate_type")).alias("rank"), "n")
 
@@ -625,16 +625,16 @@ def point_in_polygon(spark, d):
     return o.where(geo.in_polygon(F.col("x"), F.col("y"), F.array(box(10, 200, 100, 900), box(50, 100, 300, 500)))).select("row_seq")
 
 
-@query(""", s AS (SELECT row_seq AS id, z AS ax, CAST(row_seq % 977 AS DOUBLE) AS ay, z + 3.5 AS bx, CAST(row_seq % 977 AS DOUBLE) + CAST(row_seq % 7 AS DOUBLE) - 3.25 AS by_, row_seq AS born FROM obs),
-t AS (SELECT id, ax + 1.0 AS ax, ay - 1.25 AS ay, bx - 1.5 AS bx, ay + 2.5 AS by_, born FROM s WHERE born % 3 = 0)
+@query(""", s AS (SELECT row_seq AS id, z AS ax, CAST(row_seq % 977 AS DOUBLE) AS ay, z + 3.5 AS bx, CAST(row_seq % 977 AS DOUBLE) + CAST(row_seq % 7 AS DOUBLE) - 3.25 AS by_, row_seq AS born, event_type FROM obs),
+t AS (SELECT id, ax + 1.0 AS ax, ay - 1.25 AS ay, bx - 1.5 AS bx, ay + 2.5 AS by_, born FROM s WHERE event_type = 'purchase')
 SELECT s.id AS segment, t.id AS barrier FROM s, t WHERE t.born < s.born
 AND ((s.bx-s.ax)*(t.ay-s.ay)-(s.by_-s.ay)*(t.ax-s.ax))*((s.bx-s.ax)*(t.by_-s.ay)-(s.by_-s.ay)*(t.bx-s.ax)) < 0
 AND ((t.bx-t.ax)*(s.ay-t.ay)-(t.by_-t.ay)*(s.ax-t.ax))*((t.bx-t.ax)*(s.by_-t.ay)-(t.by_-t.ay)*(s.bx-t.ax)) < 0 /* obs */""")
 def segment_intersect(spark, d):
     o = _flat(observations(spark, d))
     y = (F.col("row_seq") % 977).cast("double")
-    s = o.select(F.col("row_seq").alias("id"), F.col("z").alias("ax"), y.alias("ay"), (F.col("z") + 3.5).alias("bx"), (y + (F.col("row_seq") % 7).cast("double") - 3.25).alias("by"), F.col("row_seq").alias("born"))
-    t = s.where("born % 3 = 0").select("id", (F.col("ax") + 1.0).alias("ax"), (F.col("ay") - 1.25).alias("ay"), (F.col("bx") - 1.5).alias("bx"), (F.col("ay") + 2.5).alias("by"), "born")
+    s = o.select(F.col("row_seq").alias("id"), F.col("z").alias("ax"), y.alias("ay"), (F.col("z") + 3.5).alias("bx"), (y + (F.col("row_seq") % 7).cast("double") - 3.25).alias("by"), F.col("row_seq").alias("born"), "event_type")
+    t = s.where("event_type = 'purchase'").select("id", (F.col("ax") + 1.0).alias("ax"), (F.col("ay") - 1.25).alias("ay"), (F.col("bx") - 1.5).alias("bx"), (F.col("ay") + 2.5).alias("by"), "born")
     return joins.crossings(s, t, 8.0)
 
 
@@ -684,7 +684,7 @@ def quat_mul(spark, d):
     return observations(spark, d).select("row_seq", F.round(q[0], 6).alias("w"), F.round(q[3], 6).alias("z"))
 
 
-@query("SELECT c_custkey, round(lat, 6) AS lat, round(lon, 6) AS lon, round(h, 6) AS h FROM (SELECT c_custkey, c_custkey % 160 - 80.0 AS lat, c_custkey % 340 - 170.0 AS lon, c_custkey % 30 * 0.5 AS h FROM customer)")
+@query("SELECT c_custkey, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, CAST(h AS DOUBLE) AS h FROM (SELECT c_custkey, c_custkey % 160 - 80.0 AS lat, c_custkey % 340 - 170.0 AS lon, c_custkey % 30 * 0.5 AS h FROM customer)")
 def geodetic_round_trip(spark, d):
     c = _table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 160 - 80.0).alias("lat"), (F.col("c_custkey") % 340 - 170.0).alias("lon"), (F.col("c_custkey") % 30 * 0.5).alias("h"))
     x, y, z = geo.geodetic_to_fixed(F.col("lat"), F.col("lon"), F.col("h"))
@@ -746,3 +746,147 @@ def concat_batches(spark, d):
 def sort_by_epoch(spark, d):
     o = observations(spark, d).orderBy("entity", "epoch_ns", "row_seq").limit(1000)
     return o.withColumn("place", F.row_number().over(Window.orderBy("entity", "epoch_ns", "row_seq")).cast("bigint")).select("entity", "row_seq", "place")
+
+
+@query("SELECT row_seq FROM obs WHERE y > 300 AND x > 20")
+def mask_apply(spark, d):
+    o = _flat(observations(spark, d)).withColumn("mask", (F.col("y") > 300) & (F.col("x") > 20))
+    return o.where("mask").select("row_seq")
+
+
+@query("SELECT count(*) FILTER (parent <> -399) > 0 AS refers, count(*) FILTER (parent <> -399) AS n FROM obs")
+def rows_on_entity_frames(spark, d):
+    o = observations(spark, d)
+    return o.agg((F.count_if(~is_earth(F.col("parent"))) > 0).alias("refers"), F.count_if(~is_earth(F.col("parent"))).alias("n"))
+
+
+@query("SELECT entity, max(x) - min(x) AS span, max(abs(y)) AS largest, round(min(sqrt(x*x + y*y + z*z)), 6) AS nearest, round(max(sqrt(x*x + y*y + z*z)), 6) AS farthest FROM obs GROUP BY entity")
+def extrema_checks(spark, d):
+    o = _flat(observations(spark, d))
+    r = quat.norm(F.col("position"))
+    return o.groupBy("entity").agg((F.max("x") - F.min("x")).alias("span"), F.max(F.abs("y")).alias("largest"), F.round(F.min(r), 6).alias("nearest"), F.round(F.max(r), 6).alias("farthest"))
+
+
+@query("SELECT entity, arg_min(row_seq, row(x*x + y*y, row_seq)) AS row_seq FROM obs GROUP BY entity")
+def perihelion(spark, d):
+    o = _flat(observations(spark, d))
+    return o.groupBy("entity").agg(F.min_by("row_seq", F.struct(F.col("x") * F.col("x") + F.col("y") * F.col("y"), "row_seq")).alias("row_seq"))
+
+
+@query("SELECT parent, round(median(x / (y + 1)), 6) AS slip FROM obs GROUP BY parent")
+def median_slip(spark, d):
+    o = _flat(observations(spark, d))
+    return o.groupBy("parent").agg(F.round(F.median(F.col("x") / (F.col("y") + 1)), 6).alias("slip"))
+
+
+@query("SELECT entity, round(max(CASE WHEN abs(y - 500) <= 100 THEN x END) / median(x), 6) AS peak FROM obs GROUP BY entity HAVING median(x) > 0")
+def median_floor_peak(spark, d):
+    o = _flat(observations(spark, d))
+    some = o.groupBy("entity").agg(F.median("x").alias("m")).where("m > 0").select("entity")
+    return timeline.peak_over_floor(o.join(some, "entity"), "entity", "y", "x", 500, 100).select("entity", F.round("peak", 6).alias("peak"))
+
+
+@query("SELECT p.entity, round(min(sqrt(power(p.x - q.x, 2) + power(p.y - q.y, 2))), 6) AS distance FROM obs p JOIN obs q ON p.parent = q.parent AND p.batch_seq = q.batch_seq AND p.entity <> q.entity GROUP BY p.entity")
+def nearest_moving(spark, d):
+    o = _flat(observations(spark, d)).select("entity", "parent", "batch_seq", "x", "y")
+    q = o.select(F.col("entity").alias("e2"), "parent", "batch_seq", F.col("x").alias("qx"), F.col("y").alias("qy"))
+    pair = o.join(q, ["parent", "batch_seq"]).where("entity <> e2")
+    dist = F.sqrt((F.col("x") - F.col("qx")) ** 2 + (F.col("y") - F.col("qy")) ** 2)
+    return pair.groupBy("entity").agg(F.round(F.min(dist), 6).alias("distance"))
+
+
+def _names(spark, d):
+    c = _table(spark, d, "customer")
+    i = ident.mint_entity(F.lit("customers"), F.col("c_name"))
+    return c.select(i.alias("prescribed_id"), F.lit("customers").alias("authority"), F.col("c_name").alias("common_name"), F.lit(1).cast("smallint").alias("kind"), "c_custkey")
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY id) AS place FROM (" + _MINT_SQL.format(key="c_custkey", kind="01", kind1="1", authority="'customers'", name="c_name", table="customer") + ")")
+def export_names(spark, d):
+    return _names(spark, d).withColumn("place", F.row_number().over(Window.orderBy("prescribed_id")).cast("bigint")).select("c_custkey", "place")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 10 = 3")
+def registry_verify(spark, d):
+    from wherewhen.sources import names
+
+    tampered = _names(spark, d).withColumn("common_name", F.when(F.col("c_custkey") % 10 == 3, F.concat("common_name", F.lit("x"))).otherwise(F.col("common_name")))
+    return names.unverified(tampered).select("c_custkey")
+
+
+@query("SELECT count(*) AS n_names, count(*) FILTER (c_custkey % 2 = 1) AS learned FROM customer")
+def merge_names(spark, d):
+    from wherewhen.sources import names
+
+    n = _names(spark, d)
+    merged, fresh = names.merge(n.where("c_custkey % 2 = 0").drop("c_custkey"), n.drop("c_custkey"))
+    return merged.agg(F.count("*").alias("n_names")).withColumn("learned", F.lit(fresh).cast("bigint"))
+
+
+@query("SELECT c_name AS common_name, 'left' AS side FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 7 <> 0 UNION ALL SELECT c_name, 'right' FROM customer WHERE c_custkey % 7 = 0 AND c_custkey % 5 <> 0")
+def symmetric_diff(spark, d):
+    n = _names(spark, d)
+    return joins.difference(n.where("c_custkey % 5 = 0").select("common_name"), n.where("c_custkey % 7 = 0").select("common_name"))
+
+
+@query("SELECT true AS equal, count(*) AS n FROM obs")
+def ledger_equal(spark, d):
+    o = observations(spark, d).select("row_seq", "entity", "epoch_ns")
+    same = joins.same_rows(o, o.repartition(7, "entity"))
+    return o.agg(F.lit(same).alias("equal"), F.count("*").alias("n"))
+
+
+@query("SELECT row_seq, round(cos(radians(h / 2)), 6) AS w, round(sin(radians(h / 2)), 6) AS z FROM (SELECT row_seq, CASE WHEN half_deg <= 90 THEN half_deg ELSE half_deg - 180 END AS h FROM obs)")
+def slerp(spark, d):
+    o = observations(spark, d)
+    q = quat.slerp(quat.vector(*quat.IDENTITY), F.col("quaternion"), F.lit(0.5))
+    return o.select("row_seq", F.round(q[0], 6).alias("w"), F.round(q[3], 6).alias("z"))
+
+
+@query("SELECT row_seq, round(abs(cos(radians(half_deg))), 6) AS w, round(cos(radians(2 * half_deg)), 6) AS xx FROM obs")
+def quat_matrix(spark, d):
+    m = quat.matrix(F.col("quaternion"))
+    return observations(spark, d).select("row_seq", F.round(F.abs(quat.from_matrix(m)[0]), 6).alias("w"), F.round(m[0][0], 6).alias("xx"))
+
+
+@query("SELECT row_seq, round(cos(radians(2 * half_deg)) * x - sin(radians(2 * half_deg)) * y + 10, 6) AS px, round(sin(radians(2 * half_deg)) * x + cos(radians(2 * half_deg)) * y - 5, 6) AS py FROM obs")
+def isometry_apply(spark, d):
+    m = quat.motion(quat.vector(10, -5, 0), F.col("quaternion"))
+    p = quat.apply(m, F.col("position"))
+    return observations(spark, d).select("row_seq", F.round(p[0], 6).alias("px"), F.round(p[1], 6).alias("py"))
+
+
+@query("SELECT c_custkey, round(-sin(radians(c_custkey % 340 - 170)), 6) AS east_x, round(cos(radians(c_custkey % 160 - 80)), 6) AS north_z, round(sin(radians(c_custkey % 160 - 80)), 6) AS up_z FROM customer")
+def enu_basis(spark, d):
+    e, n, u = geo.enu_basis(F.col("c_custkey") % 160 - 80, F.col("c_custkey") % 340 - 170)
+    return _table(spark, d, "customer").select("c_custkey", F.round(e[0], 6).alias("east_x"), F.round(n[2], 6).alias("north_z"), F.round(u[2], 6).alias("up_z"))
+
+
+@query("SELECT row_seq, round(sqrt(greatest(0.0, x*x + y*y - power((x*y + y*(1000 - y)) / sqrt(y*y + power(1000 - y, 2)), 2) - 0*z)), 4) AS speed FROM (SELECT row_seq, x, y, z FROM obs)")
+def spheroid_speed(spark, d):
+    o = _flat(observations(spark, d))
+    r = F.array(F.col("y"), 1000 - F.col("y"), F.lit(0.0))
+    v = F.array(F.col("x"), F.col("y"), F.lit(0.0))
+    return o.select("row_seq", F.round(timeline.ground_speed(r, v), 4).alias("speed"))
+
+
+@query(f", {_LOG} SELECT row_number() OVER (ORDER BY seq) AS place, child, parent FROM log /* obs */")
+def export_topology(spark, d):
+    return _log(spark, d).withColumn("place", F.row_number().over(Window.orderBy("seq")).cast("bigint")).select("place", "child", "parent")
+
+
+@query("SELECT batch_seq, count(*) || ' rows, ' || count(DISTINCT entity) || ' entities' AS text FROM obs GROUP BY batch_seq")
+def describe(spark, d):
+    return observations(spark, d).groupBy("batch_seq").agg(F.format_string("%d rows, %d entities", F.count("*"), F.count_distinct("entity")).alias("text"))
+
+
+@query()
+def resample_polyline(spark, d):
+    o = _flat(observations(spark, d))
+    return timeline.resample(o, "entity", "row_seq", "x", "y", 250.0).select("entity", "i", *_r("x", "y"))
+
+
+@query()
+def fit_circle(spark, d):
+    o = _flat(observations(spark, d)).groupBy("entity").agg(F.avg("x").alias("radius"))
+    return timeline.circle_points(o.withColumns({"u": quat.vector(1, 0, 0), "v": quat.vector(0, 1, 0)})).select("entity", "i", *_r("x", "y", "z"))

@@ -89,7 +89,7 @@ def load_schema(path: str) -> T.StructType:
 
 def read_horizons(spark: SparkSession, path: str) -> DataFrame:
     """(t, x, y, z, vx, vy, vz) of a vector table in CSV between its $$SOE and $$EOE lines."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.explode(F.split(F.regexp_extract("value", r"(?s)\$\$SOE\s*\n(.*?)\$\$EOE", 1), "\n")).alias("line"))
+    lines = spark.read.text(path, wholetext=True).select(F.explode(F.split(F.regexp_extract("value", r"(?s)\$\$SOE\s*\n(.*?)\$\$EOE", 1), "\n")).alias("line"))
     c = F.split("line", r"\s*,\s*")
     t = F.to_timestamp(F.regexp_replace(F.get(c, F.lit(1)), r"^A\.D\. ", ""), "yyyy-MMM-dd HH:mm:ss.SSSS")
     return lines.where(F.size(c) >= 8).select(t.alias("t"), *[F.get(c, F.lit(i)).cast("double").alias(n) for i, n in enumerate(("x", "y", "z", "vx", "vy", "vz"), 2)])
@@ -98,12 +98,16 @@ def read_horizons(spark: SparkSession, path: str) -> DataFrame:
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:
     """(id, rings, west, south, east, north) of a GeoJSON file's polygons; rings are arrays of (x, y), the first the outline."""
     ring = "array<array<array<double>>>"
-    one = f"struct<type:string,features:array<struct<geometry:struct<type:string,coordinates:string>>>>"
-    raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", one).alias("g")).select(F.posexplode("g.features").alias("id", "f"))
+    one = "struct<type:string,features:array<struct<geometry:struct<type:string,coordinates:string>>>>"
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", one).alias("g")).select(F.posexplode("g.features").alias("id", "f"))
     kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     many = F.when(kind == "Polygon", F.array(F.from_json(text, ring))).when(kind == "MultiPolygon", F.from_json(text, f"array<{ring}>"))
     polygons = raw.select("id", F.explode(many).alias("rings"))
-    x, y = (F.transform(F.get("rings", F.lit(0)), lambda p, k=k: F.get(p, F.lit(k))) for k in (0, 1))
+
+    def outline(k: int):
+        return F.transform(F.get("rings", F.lit(0)), lambda p: F.get(p, F.lit(k)))
+
+    x, y = outline(0), outline(1)
     return polygons.select("id", "rings", F.array_min(x).alias("west"), F.array_min(y).alias("south"), F.array_max(x).alias("east"), F.array_max(y).alias("north"))
 
 
