@@ -27,30 +27,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wherewhen.llm.common import chunked, text_size
-from wherewhen.llm.textops import Words, blocks, mix, pack, shard_of, text_bytes, unpack, windows
+from wherewhen.llm.textops import Words, blocks, mix, pack, shard_of, spans_hash, text_bytes, unpack, windows
 
 CELL_BITS = 20
 #: Windows for each shard: four cells a window in either row of the sketch.
 SHARD_WINDOWS = 1 << (CELL_BITS - 2)
 
 
-def _chunk_windows(table: pa.Table, width: int):
-    """Window hashes of two families, row and first word of each; and the rows' word counts and texts."""
-    texts, ids = text_bytes(table.column("text")), table.column("doc_id")
-    parts, counts = [], []
-    for a, b in blocks(texts):
-        words = Words(texts[a:b])
-        h, text, start = windows(words.hashes(0), words.first, width, 0)
-        h2, _, _ = windows(words.hashes(2), words.first, width, 2)
-        parts.append((h, h2.astype(np.uint32), text + a, start - words.first[:-1][text]))
-        counts.append(np.diff(words.first))
-    if not parts:
-        parts, counts = [tuple(np.zeros(0, dtype=k) for k in (np.uint64, np.uint32, np.int64, np.int64))], [np.zeros(0, dtype=np.int64)]
-    h, h2, row, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-    known = ~np.asarray(ids.is_null().to_numpy(), dtype=bool)
-    number = np.asarray(ids.fill_null(0).to_numpy(), dtype=np.int64)
-    ok = known[row]
-    return h[ok], h2[ok], row[ok], pos[ok], number, np.concatenate(counts), texts
+class _Chunk:
+    """A chunk's windows: their hashes, rows and first words; and the rows' numbers, word counts and texts.
+
+    Windows of rows without a doc_id are left out. second() gives the hashes of another family for some windows only.
+    """
+
+    def __init__(self, table: pa.Table, width: int):
+        self.width, self.texts, ids = width, text_bytes(table.column("text")), table.column("doc_id")
+        known = ~np.asarray(ids.is_null().to_numpy(), dtype=bool)
+        self.number = np.asarray(ids.fill_null(0).to_numpy(), dtype=np.int64)
+        self.parts, parts, counts = [], [], []
+        for a, b in blocks(self.texts):
+            words = Words(self.texts[a:b])
+            h, text, start = windows(words.hashes(0), words.first, width, 0)
+            ok = known[text + a]
+            h, text, start = h[ok], text[ok], start[ok]
+            self.parts.append((words, start))
+            parts.append((h, text + a, start - words.first[:-1][text]))
+            counts.append(np.diff(words.first))
+        if not parts:
+            parts, counts = [tuple(np.zeros(0, dtype=k) for k in (np.uint64, np.int64, np.int64))], [np.zeros(0, dtype=np.int64)]
+        self.h, self.row, self.pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.n_words = np.concatenate(counts)
+
+    def second(self, at: np.ndarray) -> np.ndarray:
+        """32 bits of the second family for the windows at (ascending)."""
+        out, begin = [], 0
+        for words, start in self.parts:
+            own = start[at[np.searchsorted(at, begin) : np.searchsorted(at, begin + len(start))] - begin]
+            begin += len(start)
+            if len(own):
+                out.append(spans_hash(words.hashes(2), own, own + self.width, 2).astype(np.uint32))
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
 
 
 def sketch_cells(distinct: np.ndarray, shards: int):
@@ -95,7 +111,7 @@ def least_cells(table: pa.Table) -> tuple[np.ndarray, list[int]]:
 
 def _sketch(width: int, shards: int):
     def visit(table: pa.Table) -> pa.Table:
-        return sketch_rows(table, *np.unique(_chunk_windows(table, width)[0], return_counts=True), shards)
+        return sketch_rows(table, *np.unique(_Chunk(table, width).h, return_counts=True), shards)
 
     return visit
 
@@ -120,23 +136,25 @@ def _repeated(h: np.ndarray, shards: int, answers: pa.Table) -> np.ndarray:
     return distinct[keep]
 
 
-def _groups(h, h2, row, number, candidates):
+def _groups(chunk: _Chunk, candidates: np.ndarray):
     """Of the windows among candidates: their indices, the group of equal windows of each, and each group's keys and least doc_id."""
+    h, row, number = chunk.h, chunk.row, chunk.number
     at = np.flatnonzero(candidates[np.minimum(np.searchsorted(candidates, h), len(candidates) - 1)] == h) if len(candidates) else np.zeros(0, dtype=np.int64)
-    order = at[np.lexsort((number[row[at]], h2[at], h[at]))]
+    h2 = chunk.second(at)
+    sort = np.lexsort((number[row[at]], h2, h[at]))
+    order, h2 = at[sort], h2[sort]
     new = np.ones(len(order), dtype=bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+    new[1:] = (h[order][1:] != h[order][:-1]) | (h2[1:] != h2[:-1])
     head = order[new]
-    return order, np.cumsum(new) - 1, h[head], h2[head], number[row[head]]
+    return order, np.cumsum(new) - 1, h[head], h2[new], number[row[head]]
 
 
 def _exact(width: int, shards: int):
     def visit(table: pa.Table, answers: pa.Table) -> pa.Table:
         rows, chunk = [], 0
         if table.num_rows and answers.num_rows:
-            chunk = table.column("chunk")[0].as_py()
-            h, h2, row, _, number, _, _ = _chunk_windows(table, width)
-            _, _, key, key2, least = _groups(h, h2, row, number, _repeated(h, shards, answers))
+            chunk, own = table.column("chunk")[0].as_py(), _Chunk(table, width)
+            _, _, key, key2, least = _groups(own, _repeated(own.h, shards, answers))
             shard = shard_of(key, shards)
             edge = np.flatnonzero(np.diff(shard)) + 1
             for a, b in zip([0, *edge], [*edge, len(key)], strict=True) if len(key) else ():
@@ -169,10 +187,11 @@ def _removal(width: int, shards: int, with_text: bool):
     def visit(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _result([], [], [], [], [] if with_text else None)
-        h, h2, row, pos, number, n_words, texts = _chunk_windows(table, width)
+        own = _Chunk(table, width)
+        row, pos, number = own.row, own.pos, own.number
         gone: dict[int, np.ndarray] = {}
-        if len(h) and answers.num_rows:
-            order, group, key, _, least = _groups(h, h2, row, number, _repeated(h, shards, answers))
+        if len(own.h) and answers.num_rows:
+            order, group, key, _, least = _groups(own, _repeated(own.h, shards, answers))
             shard, bits = shard_of(key, shards), _bits(answers, 1)
             elsewhere = np.zeros(len(key), dtype=bool)
             edge = np.flatnonzero(np.diff(shard)) + 1
@@ -184,7 +203,7 @@ def _removal(width: int, shards: int, with_text: bool):
             for part in np.split(hit, edge) if len(hit) else ():
                 gone[int(row[part[0]])] = pos[part]
         removed, digest, kept = [], [], []
-        for i, text in enumerate(texts):
+        for i, text in enumerate(own.texts):
             words, n = text.split(), 0
             if i in gone:
                 edge = np.zeros(len(words) + 1, dtype=np.int64)
@@ -196,7 +215,7 @@ def _removal(width: int, shards: int, with_text: bool):
             removed.append(n)
             digest.append(hashlib.sha256(rest).hexdigest())
             kept.append(rest.decode("utf-8", "replace") if with_text else None)
-        return _result(table.column("doc_id"), n_words, removed, digest, kept if with_text else None)
+        return _result(table.column("doc_id"), own.n_words, removed, digest, kept if with_text else None)
 
     return visit
 
