@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wherewhen.functions import geo, ident, orbits, quat, timeconv, vocab
+from wherewhen.functions import fields, geo, ident, orbits, quat, timeconv, vocab
 
 
 def one(spark, *columns):
@@ -76,9 +76,16 @@ def test_geodesy(spark):
     la, lo = geo.along_great_circle(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(90.0), F.lit(0.5))
     assert np.allclose(one(spark, la, lo, geo.wrap180(F.lit(190.0)), geo.bearing_deg(F.lit(1.0), F.lit(0.0))), (0, 45, -170, 90))
     assert one(spark, geo.hermite(F.lit(0.0), F.lit(1.0), F.lit(1.0), F.lit(1.0), F.lit(0.5), F.lit(1.0))) == (0.5,)
-    n = quat.norm(geo.plane_normal(quat.vector(1, 0.2, 0.3), 63.0))
-    d = quat.dot(geo.plane_normal(quat.vector(1, 0.2, 0.3), 63.0), quat.vector(1, 0.2, 0.3))
-    assert np.allclose(one(spark, n, d), (1, 0), atol=1e-12)
+    # a body on the plane at that node and argument stands in the direction again
+    for up in (True, False):
+        node, u = one(spark, *geo.plane_through(quat.vector(1, 0.2, 0.3), 63.0, up))
+        i, node, u = math.radians(63), math.radians(node), math.radians(u)
+        p = [math.cos(node) * math.cos(u) - math.sin(node) * math.sin(u) * math.cos(i), math.sin(node) * math.cos(u) + math.cos(node) * math.sin(u) * math.cos(i), math.sin(u) * math.sin(i)]
+        assert np.allclose(p, np.array([1, 0.2, 0.3]) / np.linalg.norm([1, 0.2, 0.3])) and (math.cos(u) > 0) == up
+    along, side, down = one(spark, *geo.lvlh(quat.vector(0.1, 0, 1), quat.vector(7000, 0, 0)))
+    assert np.allclose([along, side, down], [[0, 1, 0], [0, 0, -1], [-1, 0, 0]])
+    axes = geo.vehicle_axes(F.lit(0.0), F.lit(0.0), F.radians(F.lit(90.0)), F.lit(0.0))
+    assert np.allclose(one(spark, *[c for v in axes for c in v]), [0, 1, 0, 0, 0, -1, -1, 0, 0], atol=1e-12)
 
 
 def test_orbits(spark):
@@ -102,3 +109,16 @@ def test_orbits(spark):
 def test_segment_distance(spark, bits, expected):
     d = geo.segment_distance(F.lit(0.5), F.lit(0.5), *[F.lit(float(v)) for v in ((0, 0, 1, 0) if bits == 0 else (0, 0.5, 1, 0.5))])
     assert abs(one(spark, d)[0] - max(expected, 0)) < 1e-12
+
+
+def test_fields(spark):
+    b = lambda a: fields.boat_speed(F.lit(a), F.lit(10.0), 40, 0.5, 0.8, 7)
+    d, w = fields.mean_wind(F.lit(3600.0), 350, 5, shift_deg=20, shift_period_s=14400, build_per_h=1, on_s=0, off_s=7200)
+    u, v = fields.wind_vector(F.lit(0.0), F.lit(3.0))
+    head = fields.head_rate(F.lit(1.0), F.lit(4.0), 6, 0.5)
+    ahead, behind, calm = (fields.spread_rate(head, F.lit(x), F.lit(180.0), F.lit(0.0), F.lit(y), 0.3) for x, y in ((4.0, 1.0), (4.0, -1.0), (0.0, 1.0)))
+    g = fields.gusts(F.lit(0.0), F.lit(0.0), F.array(quat.vector(0, 0), quat.vector(1e6, 0)), 50, 0.4)
+    got = one(spark, b(39.0), b(-110.0), b(40.0), d, w, u, v, head, ahead, calm, g)
+    assert np.allclose(got, (0, 7, 4, 10, 6, 0, -3, 0.3, 0.3, 0.3, 1.4), atol=1e-12)
+    e = math.sqrt(1 - 1 / 2.2**2)
+    assert abs(one(spark, behind)[0] - 0.3 * (1 - e) / (1 + e)) < 1e-12

@@ -116,27 +116,33 @@ def segments_cross(a: list[Column], b: list[Column], c: list[Column], d: list[Co
     return (side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)
 
 
-def boat_speed(angle_deg: Column, wind_m_s: Column) -> Column:
-    """A boat's speed by the angle to the wind: none within 30 degrees, then rising to a beam reach and easing downwind."""
-    a = F.abs(wrap180(angle_deg))
-    return F.when(a < 30, 0.0).otherwise(F.least(F.lit(0.55) * wind_m_s, F.lit(7.0)) * F.sin(F.radians(F.least(F.lit(90.0), (a - 30) * 1.5))) * (1 - 0.25 * F.greatest(F.lit(0.0), a - 120) / 60))
+def plane_through(direction: Column, inclination_deg: float, ascending: bool = True) -> tuple[Column, Column]:
+    """(node, argument of latitude) in degrees of the orbit plane of an inclination that holds a direction, passed northbound or southbound; not a number where no such plane is."""
+    from wherewhen.functions.quat import at, norm
 
-
-def plane_normal(direction: Column, inclination_deg: float, ascending: bool = True) -> Column:
-    """The unit normal of an orbit plane of an inclination that holds a direction; null where there is none."""
-    from wherewhen.functions.quat import at, norm, vector
-
-    x, y, z = (c / norm(direction) for c in at(direction, 3))
-    h, ci = F.sqrt(x * x + y * y), math.cos(math.radians(inclination_deg))
-    k = -ci * z / h  # along the direction's horizontal part
-    s = F.sqrt(F.when(1 - ci * ci - k * k >= 0, 1 - ci * ci - k * k)) * (-1 if ascending else 1)
-    return vector(k * x / h - s * y / h, k * y / h + s * x / h, F.lit(ci))
+    x, y, z = at(direction, 3)
+    tilt = math.radians(inclination_deg)
+    north = F.asin(z / norm(direction) / math.sin(tilt))
+    argument = north if ascending else math.pi - north
+    # how far along the equator from the node a body at that argument is
+    east = F.atan2(F.sin(argument) * math.cos(tilt), F.cos(argument))
+    turn = lambda c: F.pmod(F.degrees(c), F.lit(360.0))
+    return turn(F.atan2(y, x) - east), turn(argument)
 
 
 def lvlh(normal: Column, r: Column) -> list[Column]:
-    """Local vertical, local horizontal axes: along track, against the normal, down."""
-    from wherewhen.functions.quat import cross, norm, scale
+    """Axes at r that look down: along the track, against the part of the normal that is across r, to the centre."""
+    from wherewhen.functions.quat import cross, dot, norm, scale, sub
 
     down = scale(r, -1 / norm(r))
-    right = scale(normal, -1 / norm(normal))
-    return [cross(right, down), right, down]
+    level = sub(normal, scale(down, dot(normal, down)))
+    side = scale(level, -1 / norm(level))
+    return [cross(side, down), side, down]
+
+
+def vehicle_axes(lat_deg: Column, lon_deg: Column, heading: Column, pitch: Column) -> list[list[Column]]:
+    """Forward, right and down in body-fixed axes, for a heading clockwise from north and a climb, in radians."""
+    basis = enu_basis(lat_deg, lon_deg)
+    sh, ch, sp, cp = F.sin(heading), F.cos(heading), F.sin(pitch), F.cos(pitch)
+    local = [[sh * cp, ch * cp, sp], [ch, -sh, F.lit(0.0)], [sh * sp, ch * sp, -cp]]
+    return [[sum((v[k] * basis[k][axis] for k in range(3)), F.lit(0.0)) for axis in range(3)] for v in local]
