@@ -113,9 +113,11 @@ def test_joins(spark):
     assert [(r.x, r.y) for r in joins.convex_hulls(pts, "k").orderBy("i").collect()] == [(0, 0), (2, 0), (2, 2), (0, 2)]
     pairs = spark.createDataFrame([(1, "a", "x", 3.0), (1, "a", "y", 1.0), (1, "b", "y", 2.0), (1, "b", "x", 9.0)], "g long, l string, r string, c double")
     assert sorted((r.l, r.r) for r in joins.assign_greedily(pairs, "g", "l", "r", "c").collect()) == [("a", "y"), ("b", "x")]
-    boats = obs(spark, [(1, EARTH, t, x) for t, x in ((0, 0), (10, 0), (20, 50), (30, 100))] + [(2, EARTH, 5, 0), (2, EARTH, 40, 100)])
-    got = {r.entity: (r.early, r.leg, r.finished_ns) for r in joins.race(boats, [(0, 0), (100, 0)], 5, 10).collect()}
-    assert got == {1: (True, 2, 30), 2: (True, 0, None)}
+    # the line is x = 0 from (0, -5) to (0, 5): boat 1 starts late, rounds both legs and finishes; boat 2 is over at the gun
+    boats = obs(spark, [(1, EARTH, t, x) for t, x in ((0, -10), (10, -10), (20, 10), (30, 100), (40, 50), (50, 10), (60, -10))] + [(2, EARTH, 5, 1), (2, EARTH, 10, 2), (2, EARTH, 40, 100)])
+    got = {r.entity: (r.early, r.leg, r.started, r.finished, list(r.rounded)) for r in joins.race(boats, ((0, -5), (0, 5)), [[(100, 0)], [(50, 3), (50, -3)]], 4, 10).collect()}
+    assert got[1] == (False, 2, 15.0, 55.0, [30.0, 40.0])
+    assert got[2][:2] == (True, -1) and got[2][4] == []
     assert joins.same_rows(pts, pts.orderBy("x")) and not joins.same_rows(pts, pts.limit(3))
     merged = joins.merge_parts([pts.withColumn("entity", F.lit(1)), pts.withColumn("entity", F.col("x").cast("int"))])
     assert merged.where("entity = 1").count() == 6

@@ -733,7 +733,8 @@ def envelope_spectrum(spark, d):
 @query()
 def replay_referee(spark, d):
     o = _flat(observations(spark, d))
-    return joins.standings(joins.race(o, [(50.0, 500.0), (100.0, 250.0), (20.0, 800.0)], 150.0, T0), "leg")
+    result = joins.race(o, ((0.0, 400.0), (300.0, 400.0)), [[(100.0, 900.0)], [(50.0, 100.0), (150.0, 100.0)]], 200.0, T0)
+    return joins.standings(result, "leg").drop("rounded")
 
 
 @query("SELECT x.batch_seq, count(*) AS n FROM obs x GROUP BY ALL ORDER BY ALL")
