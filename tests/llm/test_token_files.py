@@ -32,7 +32,7 @@ def test_matches_the_library(spark):
 
     t = Tokenizer.from_file(TOKENIZER)
     rnd = random.Random(2)
-    odd = ["", None, " \t\n", "It's <|endoftext|>x <|startoftext|> don't", "e\u0301 \u0301 \u00a0a\u2003b ΑΣ Σ", "日本語 x" * 50, "a" * 5000, "9.5%% $$ !!", "it's it 's ' s"]
+    odd = ["", None, " \t\n", "It's <|endoftext|>x <|startoftext|> don't", "e\u0301 \u0301 \u00a0a\u2003b ΑΣ Σ", "日本語 x" * 50, "a" * 5000, "9.5%% $$ !!", "it's it 's ' s", "\u0130stanbul \u212b ﬁ ǅ ª straße ΣΑΣ. ñ, co\u0301mo.", "x.y a,b, ..., .,"]
     texts = odd + [" ".join(rnd.choice(["The", "of", "ing,", "ü", "'re", "1234", "\n"]) for _ in range(200)) for _ in range(20)]
     rows = [(i * 3, x) for i, x in enumerate(texts)] + [(6, "twice"), (None, "no id")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

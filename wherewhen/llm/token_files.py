@@ -104,7 +104,8 @@ class WordEncoder:
     """text bytes -> ids as little-endian uint32.
 
     A text's ids are its words' ids in a row, as the tokenizer drops white space and splits at it. New words go
-    to the tokenizer many at a time, with a special token of its vocabulary between them. Words stay known for
+    to the tokenizer many at a time: words of letters alone with spaces between, where each ends with a token that
+    ends a word, others with a special token of the vocabulary between them. Words stay known for
     two generations of MAX_CACHED_WORDS words. Where the tokenizer is one that lower-cases and splits letters from
     punctuation (parts=True), A-Z are lower-cased first and a full stop or comma after a letter is a word of its own.
     """
@@ -119,18 +120,32 @@ class WordEncoder:
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.strip()]
         self.between = max(special, default=None)
         self.opens = b"<|" if special else b""
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items() if suffix else ():
+            self.ends[i] = token.endswith(suffix)
         probe = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.parts = probe("The QUICK, fox. a1.") == probe("the quick , fox . a1 .")
 
     def _encode(self, words: list[bytes]) -> None:
         texts = [w.decode() for w in words]
-        joint = [k for k, t in enumerate(texts) if self.between and self.between[1] not in t]
+        plain = [k for k, t in enumerate(texts) if self.parts and t.isalpha() and t.lower().isalpha()]
+        done = set()
+        for k in range(0, len(plain), 200):
+            part = plain[k : k + 200]
+            ids = np.array(self.tokenizer.encode(" ".join([texts[i] for i in part]), add_special_tokens=False).ids, dtype="<u4")
+            at, data = np.flatnonzero(self.ends[ids]) + 1, ids.tobytes()
+            if len(at) == len(part) and at[-1] == len(ids):
+                at = at.tolist()
+                self.known.update(zip([words[i] for i in part], [data[4 * a : 4 * b] for a, b in zip([0, *at], at, strict=False)], strict=True))
+                done.update(part)
+        joint = [k for k, t in enumerate(texts) if k not in done and self.between and self.between[1] not in t]
         for k in range(0, len(joint), 200):
             part = joint[k : k + 200]
             ids = np.array(self.tokenizer.encode("".join(texts[i] + self.between[1] for i in part), add_special_tokens=False).ids, dtype="<u4")
             at, data = np.flatnonzero(ids == self.between[0]), ids.tobytes()
             self.known.update(zip([words[i] for i in part], [data[4 * a : 4 * b] for a, b in zip([0, *(at[:-1] + 1)], at, strict=True)], strict=True))
-        for i in set(range(len(words))).difference(joint):
+        for i in set(range(len(words))).difference(joint, done):
             self.known[words[i]] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
