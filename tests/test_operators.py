@@ -142,3 +142,19 @@ def test_validation(spark):
         R.check_schema(flat.drop("position").schema)
     with pytest.raises(TypeError):
         R.check_schema(flat.select(F.lit(1).alias(R.STRUCT)).schema)
+
+
+def test_places_of_all_rows(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), (F.col("id") % 3).alias("g")).repartition(7)
+    expected = {(g, k): i + 1 for i, (g, k) in enumerate(sorted((i % 3, i * 7919 % 5000) for i in range(5000)))}
+    got = R.placed(df, "g", "k").collect()
+    assert len(got) == 5000 and {(r.g, r.k): r.place for r in got} == expected
+    assert R.placed(df.limit(0), "g", "k").collect() == []
+
+
+def test_sort_by_epoch_keeps_every_row(spark):
+    from wherewhen.plans.queries import QUERIES
+
+    n = spark.read.parquet("/root/testdata/sf0.01/events.parquet").count()
+    places = [r.place for r in QUERIES["sort_all_by_epoch"](spark, "/root/testdata/sf0.01").select("place").collect()]
+    assert n > 1000 and sorted(places) == list(range(1, n + 1))

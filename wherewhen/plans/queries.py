@@ -745,8 +745,13 @@ def concat_batches(spark, d):
 
 @query("SELECT entity, row_seq, row_number() OVER (ORDER BY entity, epoch_ns, row_seq) AS place FROM obs QUALIFY place <= 1000")
 def sort_by_epoch(spark, d):
-    o = observations(spark, d).orderBy("entity", "epoch_ns", "row_seq").limit(1000)
-    return o.withColumn("place", F.row_number().over(Window.orderBy("entity", "epoch_ns", "row_seq")).cast("bigint")).select("entity", "row_seq", "place")
+    """The first 1,000 places, as the SQL has it, of the sort of all rows."""
+    return sort_all_by_epoch(spark, d).where("place <= 1000")
+
+
+@query("SELECT entity, row_seq, row_number() OVER (ORDER BY entity, epoch_ns, row_seq) AS place FROM obs")
+def sort_all_by_epoch(spark, d):
+    return R.placed(observations(spark, d).select("entity", "epoch_ns", "row_seq"), "entity", "epoch_ns", "row_seq").select("entity", "row_seq", "place")
 
 
 @query("SELECT row_seq FROM obs WHERE y > 300 AND x > 20")
