@@ -45,3 +45,14 @@ def test_edges(spark):
     assert sorted(((r.doc_id, r.item_id) for r in contaminated(docs, items).collect()), key=str) == [(1, 1), (1, 1), (None, 1), (None, 1)]
     assert sorted((r.doc_id for r in decontaminate(docs, items).collect()), key=str) == [2, 3, 4, None]
     assert contaminated(docs.limit(0), items).collect() == [] and contaminated(docs, items.limit(0)).collect() == []
+
+
+def test_truncated_and_edited_items(spark):
+    rnd = random.Random(8)
+    words = lambda n: [f"w{rnd.randrange(9000)}" for _ in range(n)]
+    long, short = words(59), words(16)
+    edited = [*short[:13], "other", *short[14:]]
+    texts = [words(30) + long[:45] + words(30), words(30) + edited + words(30), words(90) + long[:20] + words(30)]
+    items = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short))], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in contaminated(docs, items).collect()) == [(0, 1), (1, 2)]

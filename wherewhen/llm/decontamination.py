@@ -5,7 +5,8 @@ words as long as an item lies inside one passage. An item's score is normalised
 one threshold fits items of all lengths. Retrieval is block-max WAND, for all passages of a batch at once: the
 items stand in blocks, each term has a bound for each block, and only blocks in which a passage's bounds add
 up to the threshold are scored exactly. All (passage, item) pairs at or above the threshold are found. A pair
-is reported if the passage also overlaps with both parts of the item, the question and the answer.
+is reported if the passage also overlaps with both parts of the item, the question and the answer, or with enough
+of the item as a whole: cut or lightly edited copies may lack the answer.
 
 The index goes to the executors. It is built from GROUP_ITEMS items and GROUP_BYTES bytes at most; a larger
 benchmark is a union over such groups. Nothing is shuffled.
@@ -102,7 +103,7 @@ class Index:
                     yield int(passage[head[who[p]]]), first + int(j), float(score[p, j])
 
 
-def scan(index: Index, texts: list[bytes], threshold: float, question: float, answer: float, n: int):
+def scan(index: Index, texts: list[bytes], threshold: float, question: float, answer: float, n: int, whole: float | None = None):
     """(text number, item number, score, question overlap, answer overlap): the best passage of each pair of text and item."""
     w = Words(texts, lower=True, between=NOT_ALNUM)
     if not len(index.vocabulary) or not len(w.starts):
@@ -126,7 +127,7 @@ def scan(index: Index, texts: list[bytes], threshold: float, question: float, an
         words = [raw[s:e] for s, e in zip(w.starts[a:b].tolist(), w.ends[a:b].tolist(), strict=True)]
         asked, answered = split_item(index.items[item][1])
         q, r = overlap(asked, words, n), overlap(answered, words, n)
-        if q >= question and r >= answer:
+        if q >= question and r >= answer or whole is not None and overlap(index.items[item][1], words, n) >= whole:
             best[i, item] = max(best.get((i, item), (0.0,)), (score, q, r))
     for (i, item), found in sorted(best.items()):
         yield i, item, *found
@@ -144,13 +145,13 @@ def _groups(items: DataFrame):
     yield group
 
 
-def _scanner(shared, threshold, question, answer, n):
+def _scanner(shared, threshold, question, answer, n, whole):
     def run(batches):
         index = shared.value
         for batch in batches:
             texts, out = text_bytes(batch.column("text")), []
             for a, b in blocks(texts):
-                out += [(a + i, *rest) for i, *rest in scan(index, texts[a:b], threshold, question, answer, n)]
+                out += [(a + i, *rest) for i, *rest in scan(index, texts[a:b], threshold, question, answer, n, whole)]
             i, item, score, q, r = zip(*out, strict=True) if out else ((), (), (), (), ())
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id").take(pa.array(i, pa.int64())), "item_id": pa.array([index.items[k][0] for k in item], pa.int64()),
@@ -160,18 +161,18 @@ def _scanner(shared, threshold, question, answer, n):
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, question: float = 0.6, answer: float = 0.6, n: int = 4) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, question: float = 0.6, answer: float = 0.6, n: int = 4, whole: float = 0.6) -> DataFrame:
     """One row for each row of docs and item found in it: doc_id, item_id, score, question_overlap, answer_overlap.
 
     threshold is on the normalised BM25 score; question and answer are the least shares of n-grams found in the
-    passage. Null and empty texts and items match nothing. Repeated rows are reported each; items with one text
+    passage, and whole that of the whole item's, which is enough without the two. Null and empty texts and items match nothing. Repeated rows are reported each; items with one text
     are reported each. Empty tables give an empty result; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for group in _groups(items):
         index = docs.sparkSession.sparkContext.broadcast(Index(group))
-        found = rows.mapInArrow(_scanner(index, threshold, question, answer, n), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        found = rows.mapInArrow(_scanner(index, threshold, question, answer, n, whole), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
         out = found if out is None else out.unionByName(found)
     return out
 
