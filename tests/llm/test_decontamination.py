@@ -56,3 +56,15 @@ def test_truncated_and_edited_items(spark):
     items = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short))], "item_id long, text string")
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in contaminated(docs, items).collect()) == [(0, 1), (1, 2)]
+
+
+def test_groups_do_not_change_scores(spark, monkeypatch):
+    rnd = random.Random(9)
+    line = lambda n: [f"w{int(rnd.random() ** 2 * 300)}" for _ in range(n)]
+    items = [line(rnd.randint(8, 40)) for _ in range(30)]
+    texts = [line(40) + w[: len(w) * 3 // 4] + line(40) for w in items]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string").coalesce(1)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    whole = sorted(map(tuple, contaminated(docs, df).collect()))
+    monkeypatch.setattr("wherewhen.llm.decontamination.GROUP_ITEMS", 12)
+    assert sorted(map(tuple, contaminated(docs, df).collect())) == whole and len(whole) >= 20

@@ -9,17 +9,19 @@ is reported if the passage also overlaps with both parts of the item, the questi
 of the item as a whole: cut or lightly edited copies may lack the answer.
 
 The index goes to the executors. It is built from GROUP_ITEMS items and GROUP_BYTES bytes at most; a larger
-benchmark is a union over such groups. Nothing is shuffled.
+benchmark is a union over such groups, all with the statistics of the whole benchmark. Texts aren't shuffled.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wherewhen.llm.common import without
+from wherewhen.llm.common import settled, without
 from wherewhen.llm.textops import NOT_ALNUM, Words, blocks, text_bytes
 
 GROUP_ITEMS, GROUP_BYTES, BLOCK_ITEMS = 2_000, 4 << 20, 16
@@ -51,10 +53,20 @@ def overlap(part: list[bytes], passage: list[bytes], n: int) -> float:
     return len(own & grams(passage, n)) / len(own) if own else 1.0
 
 
+@dataclass
+class Statistics:
+    """Of a whole benchmark, for an index of some of its items: items with words, their mean and largest length, items by term."""
+
+    items: int
+    mean: float
+    stride: int
+    df: dict[bytes, int]
+
+
 class Index:
     """BM25 weights of items, normalised by item, and their bounds by term and block. Items without words have no place in it."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int, bytes]], whole: Statistics | None = None):
         found = [(i, normal_words(t or b"")) for i, t in items]
         self.items = sorted(((i, w) for i, w in found if w), key=lambda x: (len(x[1]), x[0] is not None, x[0] or 0, x[1]))
         self.stride = max((len(w) for _, w in self.items), default=1)
@@ -68,8 +80,12 @@ class Index:
         for _, w in self.items:
             for t in set(w):
                 df[number[t]] += 1
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        mean = sum(len(w) for _, w in self.items) / max(1, n)
+        if whole is not None:
+            n_all, mean, self.stride = whole.items, whole.mean, whole.stride
+            df = np.array([whole.df[terms[k]] for k in order.tolist()], dtype=np.float64)
+        else:
+            n_all, mean = n, sum(len(w) for _, w in self.items) / max(1, n)
+        idf = np.log(1 + (n_all - df + 0.5) / (df + 0.5))
         self.blocks, bound = [], []
         for at in range(0, n, BLOCK_ITEMS):
             part = self.items[at : at + BLOCK_ITEMS]
@@ -145,6 +161,31 @@ def _groups(items: DataFrame):
     yield group
 
 
+def _terms(batches):
+    """The different terms of each item, each with times 1; and a null term with the item's length."""
+    for batch in batches:
+        found = [w for w in map(normal_words, text_bytes(batch.column("text"))) if w]
+        rows = [(t, 1) for w in found for t in set(w)] + [(None, len(w)) for w in found]
+        yield pa.record_batch({"term": pa.array([t for t, _ in rows], pa.binary()), "n": pa.array([n for _, n in rows], pa.int64())})
+
+
+def _indexes(items: DataFrame):
+    """An index for each group; where there are several, with the statistics of the whole benchmark."""
+    groups = _groups(items)
+    group, after = next(groups), next(groups, None)
+    if after is None:
+        yield Index(group)
+        return
+    spark = items.sparkSession
+    counted = settled(items.select(F.col("text").cast("string").alias("text")).mapInArrow(_terms, "term binary, n long").groupBy("term").agg(F.count("*").alias("items"), F.sum("n").alias("total"), F.max("n").alias("most")), "terms")
+    rest = counted.where("term IS NULL").first()
+    while group is not None:
+        own = spark.createDataFrame([(bytearray(t),) for t in sorted({t for _, text in group for t in normal_words(text)})], "term binary")
+        df = {bytes(r["term"]): r["items"] for r in counted.join(F.broadcast(own), "term").collect()}
+        yield Index(group, Statistics(rest["items"], rest["total"] / rest["items"], rest["most"], df) if rest else None)
+        group, after = after, next(groups, None)
+
+
 def _scanner(shared, threshold, question, answer, n, whole):
     def run(batches):
         index = shared.value
@@ -170,8 +211,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, ques
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for group in _groups(items):
-        index = docs.sparkSession.sparkContext.broadcast(Index(group))
+    for built in _indexes(items):
+        index = docs.sparkSession.sparkContext.broadcast(built)
         found = rows.mapInArrow(_scanner(index, threshold, question, answer, n, whole), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
         out = found if out is None else out.unionByName(found)
     return out
