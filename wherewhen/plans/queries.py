@@ -412,6 +412,16 @@ def cycle_check(spark, d):
     return topology.cycle_members(looped.where("child < 3 OR parent > 2"))
 
 
+_LOOPED = "looped AS (SELECT child, parent FROM tree WHERE child > 2 UNION ALL SELECT * FROM (VALUES (0, 1), (1, 2), (2, 0)) t(child, parent))"
+
+
+@query(f"WITH RECURSIVE {OBSERVATIONS_SQL}, {_LOG}, {_TREE}, {_LOOPED}, way AS (SELECT child, parent AS above FROM looped UNION SELECT way.child, looped.parent FROM way JOIN looped ON way.above = looped.child) SELECT DISTINCT way.child FROM way WHERE above IN (SELECT child FROM way WHERE child = above)")
+def cycle_check_tree(spark, d):
+    """The nodes on or below a cycle that is planted in the whole current tree."""
+    tree = topology.tree_at(_log(spark, d)).select(F.col("child").cast("bigint").alias("child"), F.col("parent").cast("bigint").alias("parent"))
+    return topology.cycle_members(tree.where("child > 2").unionByName(spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "child long, parent long")))
+
+
 # as-of joins and chains
 
 _ONE = f"one AS (SELECT entity AS e2, h, arg_min(row_seq, row_seq) AS px FROM (SELECT *, epoch_ns // {state.HOUR_NS} AS h FROM obs) GROUP BY entity, h)"
