@@ -113,11 +113,17 @@ def test_segment_distance(spark, bits, expected):
 
 def test_fields(spark):
     b = lambda a: fields.boat_speed(F.lit(a), F.lit(10.0), 40, 0.5, 0.8, 7)
-    d, w = fields.mean_wind(F.lit(3600.0), 350, 5, shift_deg=20, shift_period_s=14400, build_per_h=1, on_s=0, off_s=7200)
-    u, v = fields.wind_vector(F.lit(0.0), F.lit(3.0))
+    field = fields.WindField(350, 5, shift_deg=20, shift_period_s=14400, build_per_h=1, begin=0, end=7200)
+    d, w = field.direction(F.lit(3600.0)), field.strength(F.lit(3600.0))
+    u, v = fields.WindField(0, 3).vector(F.lit(0.0), F.lit(0.0), F.lit(0.0))
     head = fields.head_rate(F.lit(1.0), F.lit(4.0), 6, 0.5)
     ahead, behind, calm = (fields.spread_rate(head, F.lit(x), F.lit(180.0), F.lit(0.0), F.lit(y), 0.3) for x, y in ((4.0, 1.0), (4.0, -1.0), (0.0, 1.0)))
-    g = fields.gusts(F.lit(0.0), F.lit(0.0), F.array(quat.vector(0, 0), quat.vector(1e6, 0)), 50, 0.4)
+    puffy = fields.WindField(0, 2, begin=0, end=100, extent=(-1e6, 1e6, -50, 50), puff_starts=[(0, 40), (1e5, 0)], puff_radius_m=50, puff_gain=0.4)
+    g = puffy.boost(F.lit(0.0), F.lit(0.0), F.lit(20.0))  # after 20 s at 2 m/s to the south the first is here
+    ((_, wrapped),) = fields.WindField(0, 2, extent=(0, 1, -50, 50), puff_starts=[(0, -40)]).puffs(F.lit(20.0))
+    assert np.allclose(one(spark, wrapped), 20)
+    kind = fields.fuel_class([("river", F.lit(1) > 2), ("slash", F.lit(2) > 1), ("corridor", F.lit(2) > 1)], "conifer")
+    assert one(spark, kind, fields.fuel_factor(kind, {"slash": 1.5, "conifer": 1.0}), fields.fuel_factor(F.lit("x"), {"slash": 1.5})) == ("slash", 1.5, None)
     got = one(spark, b(39.0), b(-110.0), b(40.0), d, w, u, v, head, ahead, calm, g)
     assert np.allclose(got, (0, 7, 4, 10, 6, 0, -3, 0.3, 0.3, 0.3, 1.4), atol=1e-12)
     e = math.sqrt(1 - 1 / 2.2**2)

@@ -117,32 +117,41 @@ def segments_cross(a: list[Column], b: list[Column], c: list[Column], d: list[Co
 
 
 def plane_through(direction: Column, inclination_deg: float, ascending: bool = True) -> tuple[Column, Column]:
-    """(node, argument of latitude) in degrees of the orbit plane of an inclination that holds a direction, passed northbound or southbound; not a number where no such plane is."""
+    """(node, argument of latitude) in degrees of the orbit plane of an inclination that holds a direction, passed northbound or southbound; not a number where no such plane is.
+
+    The plane's normal n has z = cos i and is at right angles to the direction d, so its level part lies on a line:
+    along the level part of d it measures -z cos i / |level d|, and across it what is left of sin i.
+    """
     from wherewhen.functions.quat import at, norm
 
-    x, y, z = at(direction, 3)
-    tilt = math.radians(inclination_deg)
-    north = F.asin(z / norm(direction) / math.sin(tilt))
-    argument = north if ascending else math.pi - north
-    # how far along the equator from the node a body at that argument is
-    east = F.atan2(F.sin(argument) * math.cos(tilt), F.cos(argument))
+    x, y, z = (c / norm(direction) for c in at(direction, 3))
+    cos_i, sin_i = math.cos(math.radians(inclination_deg)), math.sin(math.radians(inclination_deg))
+    flat = F.hypot(x, y)
+    along = -z * cos_i / flat
+    across = F.sqrt(F.lit(sin_i * sin_i) - along * along) * (-1.0 if ascending else 1.0)
+    nx, ny = (along * x - across * y) / flat, (along * y + across * x) / flat
+    # the node, at right angles to the normal's level part, and how far d is from it around the normal
+    lead = (-ny * x + nx * y) / sin_i
+    swept = F.atan2(z / sin_i, lead)
     turn = lambda c: F.pmod(F.degrees(c), F.lit(360.0))
-    return turn(F.atan2(y, x) - east), turn(argument)
+    return turn(F.atan2(nx, -ny)), turn(swept)
 
 
 def lvlh(normal: Column, r: Column) -> list[Column]:
-    """Axes at r that look down: along the track, against the part of the normal that is across r, to the centre."""
-    from wherewhen.functions.quat import cross, dot, norm, scale, sub
+    """Axes at r that look down: along the track, against the orbit's normal, to the centre. The track is at right
+    angles to normal and r; the other two follow from it."""
+    from wherewhen.functions.quat import cross, norm, scale
 
-    down = scale(r, -1 / norm(r))
-    level = sub(normal, scale(down, dot(normal, down)))
-    side = scale(level, -1 / norm(level))
-    return [cross(side, down), side, down]
+    ahead = cross(normal, r)
+    ahead, down = scale(ahead, 1 / norm(ahead)), scale(r, -1 / norm(r))
+    return [ahead, cross(down, ahead), down]
 
 
 def vehicle_axes(lat_deg: Column, lon_deg: Column, heading: Column, pitch: Column) -> list[list[Column]]:
-    """Forward, right and down in body-fixed axes, for a heading clockwise from north and a climb, in radians."""
-    basis = enu_basis(lat_deg, lon_deg)
-    sh, ch, sp, cp = F.sin(heading), F.cos(heading), F.sin(pitch), F.cos(pitch)
-    local = [[sh * cp, ch * cp, sp], [ch, -sh, F.lit(0.0)], [sh * sp, ch * sp, -cp]]
-    return [[sum((v[k] * basis[k][axis] for k in range(3)), F.lit(0.0)) for axis in range(3)] for v in local]
+    """Forward, right and down in body-fixed axes, for a heading clockwise from north and a climb, in radians: the
+    level axes turned by the heading, then tipped about the right one."""
+    east, north, up = enu_basis(lat_deg, lon_deg)
+    mixed = lambda a, u, b, v: [a * p + b * q for p, q in zip(u, v, strict=True)]
+    level = mixed(F.sin(heading), east, F.cos(heading), north)
+    right = mixed(F.cos(heading), east, -F.sin(heading), north)
+    return [mixed(F.cos(pitch), level, F.sin(pitch), up), right, mixed(F.sin(pitch), level, -F.cos(pitch), up)]
