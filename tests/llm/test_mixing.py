@@ -43,3 +43,18 @@ def test_keep_and_empty(spark):
     assert sorted(mix_sources(df, keep=True).collect()) == sorted(df.collect())
     assert mix_sources(df.limit(0)).collect() == []
     assert mix_sources(df.selectExpr("doc_id", "'' AS text", "source")).collect() == []
+
+
+def test_many_sources_without_the_driver(spark):
+    rows = [(i, "w " * (1 + i % 9), "big" if i % 3 else f"s{i % 40}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for ratio, most in ((0.9, 4.0), (1.0, 2.0)):
+        few, many = (sorted(mix_sources(df, entropy_ratio=ratio, max_repeats=most, local=n).collect()) for n in (1000, 3))
+        assert len(few) == len(many)
+        assert all(a[:5] == b[:5] and abs(a.weight - b.weight) < 2e-9 and abs(a.position - b.position) < 2e-9 for a, b in zip(few, many, strict=True))
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b", "s", 7, 1.0)] * 2 + [(2, "w " * 30_000, "t", 8, 2.0)], "doc_id long, text string, source string, block long, weight double")
+    got = mix_sources(df.withColumnsRenamed({"block": "_n", "weight": "tokens"}), entropy_ratio=0.0).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(1, 2), (1, 2), (2, 30_000)]

@@ -14,6 +14,7 @@ at least, and a document's copies follow from its block.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,9 @@ from wherewhen.llm.common import settled
 from wherewhen.llm.textops import WORD_PATTERN
 
 BLOCK_TOKENS, LEAST_BLOCKS = 1 << 20, 256
-MAX_SOURCES = 100_000
+#: The driver works on the sources' sums of up to so many sources; sums of more stay where they are, and each step of a
+#: bisection is an aggregation over them.
+LOCAL_SOURCES = 50_000
 #: Up to so many readings of blocks (some 100 bytes each) go to all executors; more are joined by a shuffle.
 MAX_BROADCAST_BLOCKS = 300_000
 STEPS = 60
@@ -44,12 +47,15 @@ def repeats(tokens: list[int], weights: list[float], budget: float) -> float:
     return max((w * budget / c for c, w in zip(tokens, weights, strict=True) if c), default=0.0)
 
 
-def exponent_for(tokens: list[int], budget: float, entropy_ratio: float, max_repeats: float) -> float:
-    """The exponent for a target entropy (as a share of the largest possible) under a repetition limit."""
-    present = [c for c in tokens if c]
-    if len(present) < 2:
+def search(present: int, least: float, budget: float, at: Callable[[float], tuple[float, float]], entropy_ratio: float, max_repeats: float, total: float) -> float:
+    """The exponent for a target entropy (as a share of the largest possible) under a repetition limit.
+
+    present: how many sources have tokens; least: the tokens of the smallest, which is the most repeated; at: for an
+    exponent the sum of the raised shares and the entropy of the weights.
+    """
+    if present < 2:
         return 1.0
-    goal = entropy_ratio * math.log(len(present))
+    goal = entropy_ratio * math.log(present)
 
     def bisect(holds_low) -> tuple[float, float]:
         low, high = 0.0, 1.0
@@ -58,30 +64,59 @@ def exponent_for(tokens: list[int], budget: float, entropy_ratio: float, max_rep
             low, high = (mid, high) if holds_low(mid) else (low, mid)
         return low, high
 
-    exponent = 1.0 if entropy(powered(present, 1.0)) >= goal else bisect(lambda a: entropy(powered(present, a)) >= goal)[0]
-    fits = lambda a: repeats(present, powered(present, a), budget) <= max_repeats
+    exponent = 1.0 if at(1.0)[1] >= goal else bisect(lambda a: at(a)[1] >= goal)[0]
+    fits = lambda a: (least / total) ** a / at(a)[0] * budget / least <= max_repeats
     if fits(exponent) or not fits(1.0):
         return exponent if fits(exponent) else 1.0
     return bisect(lambda a: a <= exponent or not fits(a))[1]
 
 
+def exponent_for(tokens: list[int], budget: float, entropy_ratio: float, max_repeats: float) -> float:
+    """search() over a list of the sources' tokens."""
+    present = [c for c in tokens if c]
+    total = sum(present)
+
+    def at(a: float) -> tuple[float, float]:
+        return sum((c / total) ** a for c in present), entropy(powered(present, a))
+
+    return search(len(present), min(present, default=0), budget, at, entropy_ratio, max_repeats, total)
+
+
+def shares_of(sums: DataFrame, budget_tokens: int | None, entropy_ratio: float, max_repeats: float, local: int = LOCAL_SOURCES) -> DataFrame:
+    """(source, tokens, weight, budget) of every source of sums (source, tokens)."""
+    spark = sums.sparkSession
+    few = sums.limit(local + 1).collect()
+    kind = "source string, tokens long, weight double, budget double"
+    if len(few) <= local:
+        rows = sorted(((r["source"], int(r["tokens"])) for r in few), key=lambda r: (r[0] is not None, r[0] or ""))
+        tokens = [t for _, t in rows]
+        budget = float(sum(tokens) if budget_tokens is None else budget_tokens)
+        weights = powered(tokens, exponent_for(tokens, budget, entropy_ratio, max_repeats)) if sum(tokens) else [0.0] * len(tokens)
+        return F.broadcast(spark.createDataFrame([(s, t, w, w * budget) for (s, t), w in zip(rows, weights, strict=True)], kind))
+    sums = settled(sums, "sources")
+    found = sums.where("tokens > 0").agg(F.count("*").alias("n"), F.min("tokens").alias("least"), F.sum("tokens").alias("total")).first()
+    total = float(found["total"] or 0)
+    budget = total if budget_tokens is None else float(budget_tokens)
+    if not total:
+        return sums.select("source", "tokens", F.lit(0.0).alias("weight"), F.lit(0.0).alias("budget"))
+    share = F.col("tokens") / F.lit(total)
+
+    def at(a: float) -> tuple[float, float]:
+        r = sums.where("tokens > 0").agg(F.sum(F.pow(share, F.lit(a))).alias("z"), F.sum(F.pow(share, F.lit(a)) * F.log(share)).alias("s")).first()
+        return r["z"], math.log(r["z"]) - a * r["s"] / r["z"]
+
+    a = search(found["n"], found["least"], budget, at, entropy_ratio, max_repeats, total)
+    weight = F.when(F.col("tokens") > 0, F.pow(share, F.lit(a)) / F.lit(at(a)[0])).otherwise(0.0)
+    return sums.select("source", "tokens", weight.alias("weight"), (weight * F.lit(budget)).alias("budget"))
+
+
 def _hash(seed: int, *columns: Column) -> Column:
     """48 bits of an MD5, as a long; the same in any SQL engine that has MD5."""
     return F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("~")) for c in columns])), 1, 12), 16, 10).cast("long")
 
 
-def plan(blocks: DataFrame, budget_tokens: int | None, entropy_ratio: float, max_repeats: float, seed: int) -> DataFrame:
-    """(source, block, epoch, weight, position) of every block that is read, from (source, block, block_tokens)."""
-    spark = blocks.sparkSession
-    sums = [(r["source"], int(r["t"])) for r in blocks.groupBy("source").agg(F.sum("block_tokens").alias("t")).limit(MAX_SOURCES + 1).collect()]
-    if len(sums) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources")
-    sums.sort(key=lambda r: (r[0] is not None, r[0] or ""))
-    tokens = [t for _, t in sums]
-    budget = float(sum(tokens) if budget_tokens is None else budget_tokens)
-    weights = powered(tokens, exponent_for(tokens, budget, entropy_ratio, max_repeats)) if sum(tokens) else [0.0] * len(tokens)
-    shares = spark.createDataFrame([(s, t, w, w * budget) for (s, t), w in zip(sums, weights, strict=True)], "source string, tokens long, weight double, budget double")
-    shares = F.broadcast(shares)  # MAX_SOURCES rows at most
+def plan(blocks: DataFrame, shares: DataFrame, seed: int) -> DataFrame:
+    """(source, block, epoch, weight, position) of every block that is read, from (source, block, block_tokens) and shares_of()."""
     times = F.ceil(F.col("budget") / F.col("tokens")).cast("int") - 1
     each = blocks.join(shares, blocks["source"].eqNullSafe(shares["source"])).drop(shares["source"]).where("tokens > 0").withColumn("epoch", F.explode(F.when(times >= 0, F.sequence(F.lit(0), times)).otherwise(F.array().cast("array<int>"))))
     shuffled = Window.partitionBy("source", "epoch").orderBy(_hash(seed, F.col("source"), F.col("epoch"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,28 +126,29 @@ def plan(blocks: DataFrame, budget_tokens: int | None, entropy_ratio: float, max
     return read.select("source", "block", "epoch", "weight", (F.col("start") / F.col("budget")).alias("position"))
 
 
-def mix_sources(docs: DataFrame, budget_tokens: int | None = None, entropy_ratio: float = 0.95, max_repeats: float = 4.0, seed: int = 7, keep: bool = False) -> DataFrame:
+def mix_sources(docs: DataFrame, budget_tokens: int | None = None, entropy_ratio: float = 0.95, max_repeats: float = 4.0, seed: int = 7, keep: bool = False, local: int = LOCAL_SOURCES) -> DataFrame:
     """One row for each reading of a document: doc_id, source, n_tokens, block, epoch, weight, position.
 
     position, from 0 to 1, is where in the run over its source's budget the document's block stands: sorting
     by it interleaves the sources. A token is a word. budget_tokens: all tokens of docs unless given. Null
     sources are one source of their own; null and empty texts have no tokens and go with their block. Repeated
     rows are read as often as the row itself. Without any token nothing is read. With keep, the rows are those
-    of docs itself (all columns), as often as they are read.
+    of docs itself (all columns), as often as they are read. Up to local sources the bisection runs on the driver,
+    over more as aggregations; the result is the same but for rounding in the weights' last digits.
     """
     n_tokens = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep else F.struct(F.col("doc_id").alias("doc_id"))
     rows = docs.select(own.alias("_row"), F.col("source").cast("string").alias("source"), n_tokens.alias("n_tokens"), _hash(seed, F.col("doc_id")).alias("_h"))
-    size = rows.groupBy("source").agg(F.sum("n_tokens").alias("_all")).select(F.col("source").alias("_source"), F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("_all") / BLOCK_TOKENS)).cast("long").alias("_n"))
-    counts = {r["_source"]: r["_n"] for r in size.where(F.col("_n") > LEAST_BLOCKS).limit(MAX_SOURCES).collect()}
-    blocks_of = F.lit(LEAST_BLOCKS).cast("long")
-    for s, n in sorted(counts.items(), key=lambda r: str(r[0])):
-        blocks_of = F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(n).cast("long")).otherwise(blocks_of)
-    rows = rows.withColumn("block", F.col("_h") % blocks_of).drop("_h")
-    blocks = rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
-    read = plan(blocks, budget_tokens, entropy_ratio, max_repeats, seed).withColumnsRenamed({"source": "_s", "block": "_b"})
-    read = settled(read, "blocks-read")
-    if read.count() <= MAX_BROADCAST_BLOCKS:
+    sums = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    # sources of more than LEAST_BLOCKS blocks: at most one for each 2**28 tokens of the input
+    large = sums.select(F.col("source").alias("_source"), F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("long").alias("_n")).where(F.col("_n") > LEAST_BLOCKS)
+    rows = rows.join(F.broadcast(large), rows["source"].eqNullSafe(F.col("_source")), "left").withColumn("block", F.col("_h") % F.coalesce("_n", F.lit(LEAST_BLOCKS).cast("long"))).drop("_h", "_source", "_n")
+    blocks = settled(rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens")), "blocks")
+    shares = shares_of(blocks.groupBy("source").agg(F.sum("block_tokens").alias("tokens")), budget_tokens, entropy_ratio, max_repeats, local)
+    read = plan(blocks, shares, seed).withColumnsRenamed({"source": "_s", "block": "_b"})
+    # readings are at most the blocks times the epochs begun
+    most = blocks.groupBy("source").agg(F.count("*").alias("n")).join(shares.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).where("tokens > 0")
+    if (most.agg(F.sum(F.col("n") * F.ceil(F.col("budget") / F.col("tokens"))).alias("m")).first()["m"] or 0) <= MAX_BROADCAST_BLOCKS:
         read = F.broadcast(read)
     out = rows.join(read, rows["source"].eqNullSafe(read["_s"]) & (rows["block"] == read["_b"]))
     if keep:
