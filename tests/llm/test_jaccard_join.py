@@ -63,8 +63,19 @@ def test_matches_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, jaccard_components(df).collect()), key=str) == expected
     kept = sorted((r.doc_id for r in keep_one(df).collect()), key=str)
     assert kept == sorted((i for i, _, c in expected if i is None or c == i), key=str)
-    monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 7)  # many blocks a family
+    monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 7)  # many blocks a family, and rounds of Voronoi cells
+    rounds = []
+    seen = jaccard_join._recursive
+    monkeypatch.setattr(jaccard_join, "_recursive", lambda *x: rounds.append(seen(*x)) or rounds[-1])
     assert sorted(map(tuple, jaccard_components(df).collect()), key=str) == expected
+    assert rounds and len(rounds[0]) > 2
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 4000)
+    assert sorted(map(tuple, jaccard_components(df).collect()), key=str) == expected
+
+
+def test_without_ids(spark):
+    rows = [(None, "one two three four five six"), (None, "one two three four five six"), (None, None), (3, "one two three four five six")]
+    assert sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == [(3, 2, 3), (None, 0, None), (None, 2, None), (None, 2, None)]
 
 
 def test_recursive_regions_miss_nothing():
@@ -73,6 +84,7 @@ def test_recursive_regions_miss_nothing():
     sets_ = shingles([t.encode() for _, t in rows])
     found = Regions([i for i, _ in rows], sets_, [len(s) for s in sets_], list(range(400)))
     found.join(list(range(400)))
+    assert len(found.stars()) == 400 - len({found.top(i) for i in range(400)})
     low = {}
     for i in range(400):
         low.setdefault(found.top(i), i)

@@ -19,21 +19,24 @@ def text_size(docs: DataFrame, text: str = "text") -> int:
 
 
 def chunked(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
-    """(chunk, key, text): rows dealt by a hash of key into chunks of about chunk_bytes, as many as size asks for.
+    """(chunk, key, text): rows dealt by a hash of key and text into chunks of about chunk_bytes, as many as size asks for.
 
     Other columns are left out, so clashing names do no harm. A chunk is what one Python call holds; it stays
-    of one size however large the input is, but for a text that is longer by itself.
+    of one size however large the input is, but for a text that is longer by itself. Rows of one key, or without
+    one, spread by their texts, and copies of a text by their keys.
     """
     n = max(8, math.ceil(size / chunk_bytes))
-    return docs.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("chunk"), F.col(key).alias(key), F.col(text).alias(text))
+    return docs.select(F.pmod(F.xxhash64(key, text), F.lit(n)).alias("chunk"), F.col(key).alias(key), F.col(text).alias(text))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset one of this machine's own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode one of this machine's own will do where it is unset; on a cluster that raises."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="wherewhen-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -1,21 +1,24 @@
 """N-gram Jaccard join in metric space.
 
-Jaccard distance d is a metric; two documents link where d <= 1/4. Almost all pairs are at distance 1 of each
-other, where a Voronoi diagram of sampled pivots separates nothing. So the first regions are cut where
-distances below 1 can be: documents that link share one of their rarest shingles (the first |x| - ceil(0.75|x|)
-+ 1 in an order by estimated frequency), and their sizes differ by a third at most. A region is a shingle and
-a size class, with a window that replicates the next class into it; its pivot is its lowest document. Regions
-with one pivot p are one family F(p). Every pair that may link is in some family.
+Jaccard distance d is a metric; two documents link where d <= r = 1/4. Almost all pairs are at distance 1 of each
+other, where a Voronoi diagram of sampled pivots separates nothing: every document would be in every window. So the
+first regions are cut where distances below 1 can be: documents that link share one of their rarest shingles (the
+first |x| - ceil(0.75|x|) + 1 in an order by estimated frequency), and their sizes differ by a third at most. A
+region is a shingle and a size class, with a window that replicates the next class into it; its pivot is its lowest
+document. Regions with one pivot p are one family F(p). Every pair that may link is in some family.
 
 1. Each document goes to the family that it shares most with. Families - in blocks, each with the pivot - are
    joined, and links make components.
 2. Families that still hold several components are taken up whole: distances to the pivot are computed, and by
-   the triangle inequality a document x can only link with an outer one y (d(y, p) > 1/4) if d(x, p) >= d(y, p)
-   - 1/4. The documents in that window, replicated to every pair of their family's blocks, are joined.
-
-Inside a task a join is recursive: pivots, Voronoi cells by nearest pivot, windows of twice the radius that
-replicate boundary documents into other cells, and all pairs in small cells. Pairs whose documents are already
-connected are not looked at. Results are exact up to collisions of 64-bit shingle hashes.
+   the triangle inequality a document x can only link with an outer one y (d(y, p) > r) if d(x, p) >= d(y, p) - r.
+   Documents out of that window leave the family.
+3. What is left of a family is joined recursively. One that is larger than a block gets pivots from its components;
+   its documents are dealt to Voronoi cells by nearest pivot, and a boundary document x is replicated to each cell q
+   with d(x, q) <= d(x, nearest) + 2r, so that two documents that link meet in the cell of either. Cells are families
+   of the next round. A cell that isn't clearly smaller than its family is joined by pairs of blocks.
+
+Inside a task a join goes on in the same way: pivots, Voronoi cells, windows, and all pairs in small cells. Pairs whose
+documents are already connected are not looked at. Results are exact up to collisions of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,13 +34,16 @@ from wherewhen.llm.common import chunked, settled, text_size, without
 from wherewhen.llm.components import components
 from wherewhen.llm.grams import squeeze, unsqueeze
 from wherewhen.llm.substring_dedup import SHARD_WINDOWS, SKETCH_DDL, least_cells, sketch_cells, sketch_rows
-from wherewhen.llm.textops import Words, blocks, pack, shard_of, spans_hash, text_bytes, unpack, windows
+from wherewhen.llm.textops import Words, binary_views, blocks, pack, shard_of, spans_hash, text_bytes, unpack, windows
 
 WIDTH = 5
 #: d <= RADIUS is 100 * shared >= 75 * either.
 RADIUS = 0.25
 SHARD_ENTRIES = 1 << 21
-BLOCK_MEMBERS = 2_000
+#: What a task joins at once: up to so many documents, and so many bytes of their shingles (or one document).
+BLOCK_MEMBERS, BLOCK_BYTES = 2_000, 8 << 20
+#: Pivots of a family that is larger than a block.
+PIVOTS = 24
 LEAF = 32
 
 
@@ -76,7 +82,7 @@ class Regions:
     """The recursive join of some documents' sets; component: what is connected beforehand."""
 
     def __init__(self, ids: list[int], sets: list[np.ndarray], sizes: list[int], component: list[int]):
-        self.ids, self.sets, self.sizes, self.found = ids, sets, sizes, []
+        self.ids, self.sets, self.sizes, self.component = ids, sets, sizes, component
         first = {}
         self.root = [first.setdefault(c, i) for i, c in enumerate(component)]
 
@@ -90,9 +96,15 @@ class Regions:
         d, near = distance(self.sets[i], self.sets[j], self.sizes[i], self.sizes[j])
         if near and self.top(i) != self.top(j):
             self.root[self.top(i)] = self.top(j)
-            self.found.append((self.ids[i], self.ids[j]))
         return d
 
+    def stars(self) -> list[tuple[int, int]]:
+        """Of what is connected now the components that weren't: from the least of each group to the others."""
+        groups: dict[int, set[int]] = {}
+        for i, c in enumerate(self.component):
+            groups.setdefault(self.top(i), set()).add(c)
+        return [(min(g), c) for g in groups.values() for c in sorted(g)[1:]]
+
     def join(self, members: list[int]) -> None:
         """Finds links until all pairs of members are connected, or known not to link."""
         if len({self.top(i) for i in members}) < 2:
@@ -200,7 +212,7 @@ def _postings(shards: int):
 
 
 def _families(table: pa.Table) -> pa.Table:
-    """(pivot, member, times) from the postings of one shard."""
+    """(pivot, member, n, times) from the postings of one shard; n: the size of the member's set."""
     keys, ids, sizes = [], [], []
     for k, a, i, n in zip(*(table.column(c).to_pylist() for c in ("keys", "at", "ids", "sizes")), strict=True):
         at = unpack(a).astype(np.int64)
@@ -216,7 +228,7 @@ def _families(table: pa.Table) -> pa.Table:
     grade = np.floor(np.log(size) / math.log(4 / 3) + 1e-9).astype(np.int64)
     # a region is a shingle and a size class; each document stands in its own class and, as the window, in the one below
     order = np.lexsort((doc, grade, key)) if len(key) else np.zeros(0, dtype=np.int64)
-    key, doc, grade = key[order], doc[order], grade[order]
+    key, doc, grade, size = key[order], doc[order], grade[order], size[order]
     head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (grade[1:] != grade[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
     count = np.diff(np.append(head, len(key)))
     pivot = np.repeat(doc[head], count)
@@ -224,42 +236,108 @@ def _families(table: pa.Table) -> pa.Table:
     below[1:] = (key[head][1:] == key[head][:-1]) & (grade[head][1:] == grade[head][:-1] + 1)
     lower = np.repeat(np.where(below, np.append(0, doc[head][:-1]) if len(head) else 0, 0), count)
     has = np.repeat(below, count)
-    pairs = np.concatenate([np.stack([pivot, doc], axis=1), np.stack([lower[has], doc[has]], axis=1)])
+    pairs = np.concatenate([np.stack([pivot, doc, size], axis=1), np.stack([lower[has], doc[has], size[has]], axis=1)])
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     pairs, times = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0, dtype=np.int64))
-    return pa.table({"pivot": pa.array(pairs[:, 0]), "member": pa.array(pairs[:, 1]), "times": pa.array(times.astype(np.int64))})
-
-
-def _local(first_only: bool):
-    """Joins one block (or pair of blocks) of a family. first_only: just the distances to the pivot, and the links these make."""
-
-    def run(table: pa.Table) -> pa.Table:
-        pivot = table.column("pivot")[0].as_py()
-        ids, component = table.column("member").to_pylist(), table.column("component").to_pylist()
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("set").to_pylist()]
-        regions = Regions(ids, sets, table.column("n").to_pylist(), component)
-        center, d = [i for i, x in enumerate(ids) if x == pivot], [None] * len(ids)
-        for i in range(len(ids)) if center else ():
-            d[i] = min(regions.measure(i, c) if i != c else 0.0 for c in center)
-        if not first_only:
-            regions.join(list(range(len(ids))))
-        a, b = zip(*regions.found, strict=True) if regions.found else ((), ())
-        n, m = len(a), len(ids)
-        return pa.table({"pivot": pa.array([pivot] * (n + m), pa.int64()), "a": pa.array([*a, *ids], pa.int64()), "b": pa.array([*b, *[None] * m], pa.int64()), "d": pa.array([*[None] * n, *d], pa.float64())})
-
-    return run
+    return pa.table({"pivot": pa.array(pairs[:, 0]), "member": pa.array(pairs[:, 1]), "n": pa.array(pairs[:, 2]), "times": pa.array(times.astype(np.int64))})
+
+
+class _Group:
+    """One block (or pair of blocks) of a family: its rows, their sets where Arrow has them, and which of them are pivots."""
+
+    def __init__(self, table: pa.Table):
+        self.family = table.column("family")[0].as_py()
+        self.ids = table.column("member").to_pylist()
+        self.lead = np.flatnonzero(np.array(table.column("lead").to_pylist(), dtype=bool)).tolist()
+        self.regions = Regions(self.ids, binary_views(table.column("set")), table.column("n").to_pylist(), table.column("component").to_pylist())
+
+    def result(self, rows: list[tuple]) -> pa.Table:
+        """The links found as (a, b), and rows of (center, member, d)."""
+        out = [(a, b, None) for a, b in self.regions.stars()]
+        a, b, d = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [])
+        center, member, far = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [])
+        n, m = len(a), len(rows)
+        return pa.table({"family": pa.array([self.family] * (n + m), pa.int64()), "a": pa.array(a + [None] * m, pa.int64()), "b": pa.array(b + [None] * m, pa.int64()), "center": pa.array([None] * n + center, pa.int64()), "member": pa.array([None] * n + member, pa.int64()), "d": pa.array([None] * n + far, pa.float64())})
+
+
+OUT = "family long, a long, b long, center long, member long, d double"
+
+
+def _join(table: pa.Table) -> pa.Table:
+    """The links among all rows."""
+    group = _Group(table)
+    for p in group.lead:
+        for i in range(len(group.ids)):
+            if i != p:
+                group.regions.measure(i, p)
+    group.regions.join(list(range(len(group.ids))))
+    return group.result([])
+
+
+def _measure(table: pa.Table) -> pa.Table:
+    """The distance of each row to the nearest row of the family's pivot, and the links these make."""
+    group = _Group(table)
+    own = [i for i in range(len(group.ids)) if i not in set(group.lead)]
+    return group.result([(group.ids[group.lead[0]], group.ids[i], min(group.regions.measure(i, p) for p in group.lead)) for i in own] if group.lead else [])
+
+
+def _cells(table: pa.Table) -> pa.Table:
+    """For each row the Voronoi cells that it goes to: that of the nearest pivot, and those in whose window it is."""
+    group, rows = _Group(table), []
+    for i in sorted(set(range(len(group.ids))) - set(group.lead)):
+        far = {}
+        for p in group.lead:
+            d = group.regions.measure(i, p)
+            far[group.ids[p]] = min(d, far.get(group.ids[p], 1.0))
+        near = min(far.values())
+        rows += [(p, group.ids[i], d) for p, d in far.items() if d <= near + 2 * RADIUS + 1e-12]
+    return group.result(rows)
+
+
+def _blocked(families: DataFrame, sets: DataFrame, labels: DataFrame, leads: DataFrame) -> DataFrame:
+    """(family, block, member, component, n, set, lead): families (family, member, n) in blocks of bounded size; leads (family, member): rows that every block of their family gets besides."""
+    sizes = families.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    own = families.select("family", "member").join(sizes, "family").select("family", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"), "member", F.lit(False).alias("lead"))
+    lead = leads.join(sizes, "family").select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "member", F.lit(True).alias("lead"))
+    named = own.union(lead).join(labels.withColumnsRenamed({"id": "member"}), "member", "left").select("family", "block", "member", F.coalesce("component", "member").alias("component"), "lead")
+    return named.join(sets.withColumnRenamed("doc_id", "member"), "member")
 
 
-OUT = "pivot long, a long, b long, d double"
+def _links(out: DataFrame) -> DataFrame:
+    return out.where("b IS NOT NULL").select("a", "b")
 
 
-def _blocked(families: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(pivot, block, member, component, n, set): families in blocks of about BLOCK_MEMBERS members, the pivot in every block."""
-    sizes = families.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    own = families.select("pivot", "member").join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"), "member")
-    lead = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("member"))
-    named = own.union(lead).join(labels.withColumnsRenamed({"id": "member"}), "member", "left").select("pivot", "block", "member", F.coalesce("component", "member").alias("component"))
-    return named.join(sets.withColumnRenamed("doc_id", "member"), "member")
+def _recursive(open_: DataFrame, sets: DataFrame, labels: DataFrame) -> list[DataFrame]:
+    """Tables of links among the members of families (family, member, n)."""
+    none = open_.sparkSession.createDataFrame([], "family long, member long")
+    found, stuck = [], None
+    while True:
+        sized = open_.groupBy("family").agg(F.count("*").alias("members"), (F.sum("n") * 8).alias("bytes"))
+        large = settled(sized.where((F.col("members") > BLOCK_MEMBERS) | (F.col("bytes") > BLOCK_BYTES)), "large-families")
+        small = open_.join(large, "family", "left_anti")
+        found.append(_links(settled(_blocked(small, sets, labels, none).groupBy("family", "block").applyInArrow(_join, OUT), "links")))
+        if large.isEmpty():
+            break
+        rest = open_.join(large.select("family"), "family", "left_semi")
+        named = rest.join(labels.select(F.col("id").alias("member"), "component"), "member", "left").withColumn("component", F.coalesce("component", "member"))
+        # a pivot is a document of some component, of those whose hashes fall together the one with the least hash
+        leads = named.groupBy("family", F.pmod(F.xxhash64("component", "family"), F.lit(PIVOTS)).alias("_spot")).agg(F.min_by("member", F.struct(F.xxhash64("member", "family"), "member")).alias("member")).select("family", "member")
+        out = settled(_blocked(rest, sets, labels, settled(leads, "pivots")).groupBy("family", "block").applyInArrow(_cells, OUT), "cells")
+        found.append(_links(out))
+        cells = out.where("center IS NOT NULL").select("family", "center", "member").distinct().join(rest, ["family", "member"])
+        kept = settled(cells.groupBy("family", "center").agg(F.count("*").alias("own")).join(large, "family").withColumn("smaller", F.col("own") < 0.7 * F.col("members")), "cell-sizes")
+        cells = cells.join(kept.select("family", "center", "smaller"), ["family", "center"])
+        named = cells.select(F.xxhash64("family", "center").alias("family"), "member", "n", "smaller")
+        flat = settled(named.where("NOT smaller").drop("smaller"), "flat-cells")
+        stuck = flat if stuck is None else stuck.unionByName(flat)
+        open_ = settled(named.where("smaller").drop("smaller"), "open-cells")
+    if stuck is not None and not stuck.isEmpty():
+        rows = _blocked(stuck, sets, labels, none)
+        blocks_ = rows.select("family", "block").distinct()
+        pair = blocks_.join(blocks_.select("family", F.col("block").alias("other")), "family").where("block <= other")
+        pair = pair.select("family", F.concat_ws("-", "block", "other").alias("pair"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
+        found.append(_links(settled(rows.join(pair, ["family", "block"]).groupBy("family", "pair").applyInArrow(_join, OUT), "links")))
+    return found
 
 
 def linked_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -275,37 +353,35 @@ def linked_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts, sets = seen.select("doc_id", "n"), seen.where("set IS NOT NULL").select("doc_id", "n", "set")
     parts = max(8, math.ceil(size / 100 / SHARD_ENTRIES))
     postings = seen.where("set IS NOT NULL").select("doc_id", "n", "rare").mapInArrow(_postings(parts), "shard int, keys binary, at binary, ids binary, sizes binary")
-    families = postings.groupBy("shard").applyInArrow(_families, "pivot long, member long, times long")
-    families = settled(families.groupBy("pivot", "member").agg(F.sum("times").alias("times")), "families")
+    families = postings.groupBy("shard").applyInArrow(_families, "pivot long, member long, n long, times long")
+    families = settled(families.groupBy("pivot", "member").agg(F.sum("times").alias("times"), F.max("n").alias("n")), "families")
 
-    best = families.groupBy("member").agg(F.max_by("pivot", F.struct("times", -F.col("pivot"))).alias("pivot")).select("pivot", "member")
+    best = families.groupBy("member").agg(F.max_by(F.struct("pivot", "n"), F.struct("times", -F.col("pivot"))).alias("best")).select(F.col("best.pivot").alias("family"), "member", F.col("best.n").alias("n"))
+    lead = lambda f: f.select("family", F.col("family").alias("member")).distinct()
     none = spark.createDataFrame([], "id long, component long")
-    links_ = settled(_blocked(best, sets, none).groupBy("pivot", "block").applyInArrow(_local(False), OUT).where("b IS NOT NULL"), "links").select("a", "b")
+    links_ = _links(settled(_blocked(best, sets, none, lead(best)).groupBy("family", "block").applyInArrow(_join, OUT), "links"))
     labels = components(links_)
 
-    for stage in ("distances", "windows"):
+    def mixed() -> DataFrame:
+        """The families that hold several components."""
         named = families.join(labels.select(F.col("id").alias("member"), F.col("component").alias("c")), "member", "left").join(labels.select(F.col("id").alias("pivot"), F.col("component").alias("pc")), "pivot", "left")
-        mixed = named.groupBy("pivot").agg((F.min(F.coalesce("c", "member")) != F.max(F.coalesce("c", "member"))).alias("inside"), F.max((F.coalesce("c", "member") != F.coalesce("pc", "pivot")).cast("int")).alias("outside")).where("inside OR outside = 1").select("pivot")
-        open_ = families.join(mixed, "pivot").select("pivot", "member")
-        if stage == "windows":
-            outer = distances.where("d IS NOT NULL AND d > 0.25").groupBy("pivot").agg(F.min("d").alias("edge"))  # noqa: F821
-            kept = distances.join(outer, "pivot").where(F.col("d") >= F.col("edge") - RADIUS - 1e-9).where("member <> pivot").select("pivot", "member").distinct()  # noqa: F821
-            open_ = settled(open_.join(kept, ["pivot", "member"]), "windows")
-        else:
-            open_ = settled(open_, "open-families")
-        if open_.isEmpty():
-            break
-        rows_ = _blocked(open_, sets, labels)
-        if stage == "distances":
-            out = settled(rows_.groupBy("pivot", "block").applyInArrow(_local(True), OUT), "distances")
-            distances = out.where("b IS NULL").select("pivot", F.col("a").alias("member"), "d")
-        else:
-            rows_ = rows_.where("member <> pivot")
-            blocks_ = rows_.select("pivot", "block").distinct()
-            pair = blocks_.join(blocks_.select("pivot", F.col("block").alias("other")), "pivot").where("block <= other")
-            pair = pair.select("pivot", F.concat_ws("-", "block", "other").alias("pair"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
-            out = settled(rows_.join(pair, ["pivot", "block"]).groupBy("pivot", "pair").applyInArrow(_local(False), OUT), "links")
-        links_ = links_.union(out.where("b IS NOT NULL").select("a", "b"))
+        own, top = F.coalesce("c", "member"), F.coalesce("pc", "pivot")
+        some = named.groupBy("pivot").agg((F.min(own) != F.max(own)).alias("inside"), F.max(own != top).alias("outside")).where("inside OR outside").select("pivot")
+        return settled(families.join(some, "pivot").select(F.col("pivot").alias("family"), "member", "n"), "open-families")
+
+    open_ = mixed()
+    if not open_.isEmpty():
+        far = settled(_blocked(open_, sets, labels, lead(open_)).groupBy("family", "block").applyInArrow(_measure, OUT), "distances")
+        links_ = links_.union(_links(far))
+        labels = components(links_)
+        open_ = mixed()
+    if not open_.isEmpty():
+        d = far.where("center IS NOT NULL").select("family", "member", "d")
+        outer = d.where(F.col("d") > RADIUS).groupBy("family").agg(F.min("d").alias("edge"))
+        window = d.join(outer, "family").where(F.col("d") >= F.col("edge") - RADIUS - 1e-9).select("family", "member").distinct()
+        kept = settled(open_.join(window, ["family", "member"]), "windows")
+        for more in _recursive(kept, sets, labels):
+            links_ = links_.union(more)
         labels = components(links_)
     return counts, labels
 

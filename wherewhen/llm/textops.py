@@ -113,6 +113,19 @@ def text_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def binary_views(column, kind=np.uint64) -> list[np.ndarray]:
+    """The values of an Arrow binary column (none null) as arrays that share its memory."""
+    import pyarrow as pa
+
+    out = []
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        _, at, data = chunk.buffers()
+        edge = np.frombuffer(at, dtype=np.int32, count=len(chunk) + 1, offset=4 * chunk.offset) if len(chunk) else np.zeros(1, dtype=np.int32)
+        size = np.dtype(kind).itemsize
+        out += [np.frombuffer(data, dtype=kind, count=(b - a) // size, offset=a) if b > a else np.zeros(0, dtype=kind) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+    return out
+
+
 def pack(values: np.ndarray) -> bytes:
     """Unsigned integers in as few bytes each as the largest needs, after one byte that says how many."""
     top = int(values.max()) if len(values) else 0
