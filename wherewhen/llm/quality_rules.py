@@ -1,16 +1,20 @@
 """Quality rules by weak supervision, in DataFrame functions only.
 
-Each rule looks at counts of the text and votes good (1), bad (-1) or abstains (0). Expectation-maximisation
-on the votes of all documents estimates how often each rule is right in either class and how common good
-documents are; a document's verdict is its posterior probability of being good. EM sees only the number of
-documents for each combination of votes, of which there are 3 ** len(RULES) at most, whatever the input's
-size. The posterior's log odds are a sum over the rules, so the verdict is a plain column expression.
+Each rule looks at counts of the text and votes good (1), bad (-1) or abstains (0). A document is good or has one of
+several kinds of fault, one for each rule to begin with. Expectation-maximisation on the votes of all documents
+estimates how common good documents and each kind of fault are and how often each rule votes bad on them; a document's
+verdict is its posterior probability of being good. One class for all bad documents would not do: faults differ, and
+rules that agree on a rare one would be outvoted by those that look for others.
+
+EM sees only the number of documents for each combination of votes, of which there are 3 ** len(RULES) at most,
+whatever the input's size. The verdicts of the combinations come back as a table of that size, joined by code.
 """
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,64 +92,60 @@ def rules() -> dict[str, Column]:
     }
 
 
-#: Before any data each rule is taken to vote good on so many good documents and bad on so many bad ones - a
-#: rule looks for one fault, so most bad documents pass it - as if seen in this share of its votes.
-PRIOR, PRIOR_SHARE = (0.97, 0.4), 0.1
-#: No rule is taken to fail more good documents than this: else EM may call one kind of fault good, as it is
-#: free to name its classes.
-MOST_FAILED = 0.03
-
-
-def fit(patterns: list[tuple[tuple[int, ...], int]], steps: int = 100, prior_share: float = PRIOR_SHARE, most_failed: float = MOST_FAILED) -> tuple[float, list[tuple[float, float]]]:
-    """(share of good documents, each rule's accuracies on good and on bad ones) by EM on (votes, documents) pairs."""
-    if not patterns:
-        return 0.5, []
-    m, total = len(patterns[0][0]), sum(c for _, c in patterns)
-    share, right = 0.8, [PRIOR] * m
-    for _ in range(steps):
-        good = 0.0
-        hit = [[0.0, 0.0] for _ in range(m)]
-        all_ = [[0.0, 0.0] for _ in range(m)]
-        for votes, count in patterns:
-            p = 1 / (1 + math.exp(-max(-500.0, min(500.0, _odds(share, right, votes)))))
-            good += p * count
-            for j, v in enumerate(votes):
-                if v:
-                    all_[j][0] += p * count
-                    all_[j][1] += (1 - p) * count
-                    hit[j][v < 0] += (p if v > 0 else 1 - p) * count
-        share = min(0.999, max(0.001, (good + 1) / (total + 2)))
-        weight = [prior_share * sum(a) + 1 for a in all_]
-        right = [tuple(min(0.98, (h[k] + PRIOR[k] * w) / (a[k] + w)) for k in (0, 1)) for h, a, w in zip(hit, all_, weight, strict=True)]
-        right = [(max(g, 1 - most_failed), max(b, 1.01 - g)) for g, b in right]  # better than chance, so that good stays good
-    return share, right
-
-
-def _weights(right: tuple[float, float]) -> tuple[float, float]:
-    """Log odds that a good and a bad vote add."""
-    g, b = right
-    return math.log(g / (1 - b)), math.log((1 - g) / b)
-
-
-def _odds(share: float, right: list[tuple[float, float]], votes: tuple[int, ...]) -> float:
-    return math.log(share / (1 - share)) + sum(_weights(r)[v < 0] for r, v in zip(right, votes, strict=True) if v)
+#: Before any data a rule is taken to vote bad on so many of the good documents, of those with the fault that it looks
+#: for, and of those with another.
+ON_GOOD, ON_FAULT, ON_OTHER = 0.03, 0.9, 0.15
+#: This counts as if seen in such a share of the votes of a class. It is what tells a rule that fails good documents
+#: now and then from a fault that one rule alone sees: the data can't.
+PRIOR_SHARE = 0.25
+#: The share of good documents before any data.
+GOOD_SHARE = 0.8
+
+
+@dataclass
+class Classes:
+    """Good documents, class 0, and those of each kind of fault: their shares, and how often each rule that votes on them votes bad."""
+
+    share: np.ndarray
+    bad: np.ndarray
+
+    def chances(self, votes: np.ndarray) -> np.ndarray:
+        """Of each class, for rows of votes; abstentions say nothing."""
+        logs = np.log(self.share) + (votes < 0) @ np.log(self.bad).T + (votes > 0) @ np.log1p(-self.bad).T
+        raw = np.exp(logs - logs.max(axis=1, keepdims=True))
+        return raw / raw.sum(axis=1, keepdims=True)
+
+
+def fit(votes: np.ndarray, count: np.ndarray, steps: int = 60, prior_share: float = PRIOR_SHARE) -> Classes:
+    """The classes by EM on rows of votes and how many documents have them; without any the prior ones."""
+    n, count = votes.shape[1], count.astype(np.float64)
+    prior = np.vstack([np.full((1, n), ON_GOOD), np.full((n, n), ON_OTHER) + np.eye(n) * (ON_FAULT - ON_OTHER)])
+    found = Classes(np.array([GOOD_SHARE] + [(1 - GOOD_SHARE) / n] * n), prior)
+    for _ in range(steps if len(votes) else 0):
+        held = found.chances(votes) * count[:, None]
+        size = held.sum(axis=0)
+        weight = (prior_share * size + 1)[:, None]
+        rate = (held.T @ (votes < 0) + prior * weight) / (held.T @ (votes != 0) + weight)
+        found = Classes((size + 1) / (count.sum() + n + 1), np.clip(rate, 1e-4, 1 - 1e-4))
+    return found
 
 
 def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row for each row of docs: the counts, base_failed, the posterior p_good and the verdict kept.
 
     base_failed: fewer than 20 words, or over 30 of 100 words in repeated 8-word windows; such documents are
-    not kept. Null texts have no words and so fail. An empty table gives an empty result. Repeated rows are
-    judged alike; columns other than doc_id and text are ignored.
+    not kept. Windows are told apart by 64-bit hashes. Null texts have no words and so fail. An empty table gives an
+    empty result. Repeated rows are judged alike, and each counts; columns other than doc_id and text are ignored.
     """
-    seen = settled(features(docs), "quality-rules")
     votes = rules()
-    counted = seen.select(*[v.alias(k) for k, v in votes.items()]).groupBy(*votes).count()
-    share, right = fit([(tuple(int(r[k]) for k in votes), int(r["count"])) for r in counted.collect()])
-    odds = F.lit(math.log(share / (1 - share)))
-    for v, r in zip(votes.values(), right, strict=False):
-        good, bad = _weights(r)
-        odds = odds + F.when(v > 0, good).when(v < 0, bad).otherwise(0.0)
+    code = sum(((v + 1) * 3**j for j, v in enumerate(votes.values())), F.lit(0))
+    seen = settled(features(docs).withColumn("_code", code.cast("int")), "quality-rules")
+    counted = seen.groupBy("_code").count().orderBy("_code").collect()  # 3 ** len(votes) rows at most
+    cast = np.array([r["_code"] for r in counted], dtype=np.int64)[:, None] // 3 ** np.arange(len(votes)) % 3 - 1
+    good = fit(cast, np.array([r["count"] for r in counted])).chances(cast)[:, 0] if counted else []
+    listed = " ".join(f"{r['_code']}:{float(p)!r}" for r, p in zip(counted, good, strict=True))
+    pair = F.split("_x", ":")
+    said = docs.sparkSession.range(1).select(F.explode(F.split(F.lit(listed), " ")).alias("_x")).where("_x <> ''").select(pair[0].cast("int").alias("_code"), pair[1].cast("double").alias("_p"))
+    judged = seen.join(F.broadcast(said), "_code")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    p = 1 / (1 + F.exp(-odds))
-    return seen.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (p >= threshold)).alias("kept"), F.round(p, 6).alias("p_good"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("_p") >= threshold)).alias("kept"), F.round("_p", 6).alias("p_good"))
