@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wherewhen.llm.common import settled
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (verdict, host, path): a rule fits the host and its subdomains where the url's path starts with path.
@@ -125,40 +127,48 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 30, depth: int = 3, rate:
     return bias, trees
 
 
+#: Rates of up to so many suffixes go to all executors; those of more are joined by a shuffle.
+MAX_BROADCAST_SUFFIXES = 100_000
+
+
+def suffix_rates(seen: DataFrame) -> tuple[float, DataFrame]:
+    """(the share of blocked urls, (suffix, rate) of every suffix) over all labelled urls; a suffix' rate is drawn to the share as if by ten urls."""
+    blocked = (F.col("said") == "block").cast("long")
+    by = settled(seen.where(F.col("said").isNotNull()).groupBy(suffix(F.col("host")).alias("_suffix")).agg(F.count("*").alias("n"), F.sum(blocked).alias("y")), "suffixes")
+    all_ = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("y")).first()
+    prior = (all_["y"] + 1) / (all_["n"] + 2)
+    rates = by.select("_suffix", F.round((F.col("y") + 10 * prior) / (F.col("n") + 10), 9).alias("f_suffix"))
+    return prior, F.broadcast(rates) if by.count() <= MAX_BROADCAST_SUFFIXES else rates
+
+
+def training_sample(featured: DataFrame, names: list[str], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features, blocked or not) of the most labelled urls with the smallest hashes."""
+    found = featured.where(F.col("said").isNotNull()).select(*names, (F.col("said") == "block").cast("double").alias("y"), F.xxhash64("url").alias("h"), "url").orderBy("h", "url").limit(most).drop("h", "url").toPandas()
+    return found[names].to_numpy(dtype=np.float64), found["y"].to_numpy(dtype=np.float64)
+
+
 def url_filter(pages: DataFrame, rules=RULES, max_training: int = 50_000) -> DataFrame:
     """One row for each row of pages: page_id, host, path, rule, verdict and p_block.
 
     verdict is the longest fitting rule's, else that of the trees (block where p_block > 0.5; p_block is null
-    where a rule decides). The trees learn from the max_training labelled urls with the smallest hashes. Null
-    urls and urls without :// have an empty host and path and go to the trees. With no labelled url at all
-    every remaining url is allowed. Repeated rows are judged alike; other columns are ignored.
+    where a rule decides). The trees learn from the max_training labelled urls with the smallest hashes; the rates
+    of suffixes come from all labelled urls. Null urls and urls without :// have an empty host and path and go to
+    the trees. With no labelled url at all every remaining url is allowed. Repeated rows are judged alike; other
+    columns are ignored.
     """
     host, path = parts(F.col("url"))
     seen = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = fitting(F.col("host"), F.col("path"), rules)
     seen = seen.select("*", rule.alias("rule"), verdict.alias("said"))
+    prior, rates = suffix_rates(seen)
     columns = lexical(F.col("url"), F.col("host"), F.col("path"))
-    sample = (
-        seen.where(F.col("said").isNotNull())
-        .select(*[c.alias(f"f_{k}") for k, c in columns.items()], suffix(F.col("host")).alias("suffix"), (F.col("said") == "block").cast("int").alias("y"), F.xxhash64("url").alias("h"), "url")
-        .orderBy("h", "url")
-        .limit(max_training)
-        .drop("h", "url")
-        .toPandas()
-    )
-    y = sample["y"].to_numpy(dtype=np.float64)
-    prior = (y.sum() + 1) / (len(y) + 2)
-    rates = {s: round(float((g.sum() + 10 * prior) / (len(g) + 10)), 9) for s, g in sample["y"].groupby(sample["suffix"])} if len(y) else {}
-    rates = dict(sorted(rates.items(), key=lambda r: -(sample["suffix"] == r[0]).sum())[:200])
-    x = np.column_stack([sample[[f"f_{k}" for k in columns]].to_numpy(dtype=np.float64), sample["suffix"].map(lambda s: rates.get(s, prior)).to_numpy(dtype=np.float64)])
+    names = [f"f_{k}" for k in columns] + ["f_suffix"]
+    rated = seen.withColumn("_own", suffix(F.col("host"))).join(rates, F.col("_own") == F.col("_suffix"), "left")
+    featured = rated.select("page_id", "url", "host", "path", "rule", "said", *[c.alias(f"f_{k}") for k, c in columns.items()], F.coalesce("f_suffix", F.lit(float(prior))).alias("f_suffix"))
+    x, y = training_sample(featured, names, max_training)
     bias, trees = boost(x, y)
-    rate = F.lit(float(prior))
-    for s, r in rates.items():
-        rate = F.when(suffix(F.col("host")) == s, r).otherwise(rate)
-    named = [F.col(f"f_{k}") for k in columns] + [F.col("f_suffix")]
     score = F.lit(bias if len(y) else -1.0)
     for tree in trees:
-        score = score + tree.expression(named)
+        score = score + tree.expression([F.col(c) for c in names])
     p = F.when(F.col("said").isNull(), 1 / (1 + F.exp(-score)))
-    scored = seen.select("page_id", "host", "path", "rule", "said", *[c.alias(f"f_{k}") for k, c in columns.items()], rate.alias("f_suffix")).withColumn("p_block", p)
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("p_block") > 0.5, "block").otherwise("allow")).alias("verdict"), F.round("p_block", 6).alias("p_block"))
+    return featured.withColumn("p_block", p).select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("p_block") > 0.5, "block").otherwise("allow")).alias("verdict"), F.round("p_block", 6).alias("p_block"))
