@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from wherewhen.llm import quality_classifier
 from wherewhen.llm.kneser_ney import discounts
 from wherewhen.llm.quality_classifier import classify, keep_good, perplexities
 
@@ -69,3 +70,14 @@ def test_held_out_accuracy_and_edges(spark):
     assert None in kept and 900 not in kept and 201 not in kept
     assert classify(docs.limit(0), labels).collect() == []
     assert all(r.good for r in classify(docs.where("doc_id < 5"), labels.limit(0)).collect())
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    """Each language has its own threshold, joined by broadcast or by a shuffle."""
+    rnd = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(rnd.choice(["ab", "cd", f"w{i % 40}"]) for _ in range(30)), f"l{i % 40}") for i in range(1600)], "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    got = sorted(classify(docs, labels, least=5).collect())
+    assert len({r.threshold for r in got}) == 40
+    monkeypatch.setattr(quality_classifier, "MAX_BROADCAST_LANGUAGES", 3)
+    assert sorted(classify(docs.withColumn("threshold", F.lit(1)), labels, least=5).collect()) == got

@@ -19,8 +19,8 @@ from wherewhen.llm.kneser_ney import KneserNey
 STEADY = 40
 #: Most trusted documents that the model learns from; one in two of fewer.
 MAX_TRUSTED = 20_000
-#: Languages with a threshold of their own, those with most trusted documents first.
-MAX_LANGUAGES = 1000
+#: The numbers of up to so many languages go to all executors; those of more are joined by a shuffle.
+MAX_BROADCAST_LANGUAGES = 100_000
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, order: int = 4, max_trusted: int = MAX_TRUSTED) -> DataFrame:
@@ -39,7 +39,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin:
 
     threshold: margin times the quantile of the perplexities of the language's trusted documents that the
     model hasn't learned from - or of all languages' such documents, where the language is null or has fewer
-    than least of them; where there are none at all, none. Null and empty texts have no perplexity and aren't
+    than least of them; where there are none at all, none. Any number of languages has its own. Null and empty texts have no perplexity and aren't
     good. Repeated rows are judged alike; a doc_id that is labelled both good and bad is trusted. Empty docs
     give an empty result; without labels every text is good.
     """
@@ -49,21 +49,21 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin:
     rank = F.percentile("perplexity", quantile) * margin
     middle = F.median("perplexity")
 
-    def by_language(value, of):
-        """A column: value of the language's rows of of, or where these are few of all rows."""
-        by = of.groupBy("lang").agg(value.alias("t"), F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-        out = F.lit(of.agg(value.alias("t")).first()["t"]).cast("double")
-        for r in sorted((r for r in by if r["lang"] is not None), key=lambda r: r["lang"]):
-            out = F.when(F.col("lang") == r["lang"], r["t"]).otherwise(out)
-        return out
+    def by_language(value, name: str, of: DataFrame, to: DataFrame) -> DataFrame:
+        """to with the column name: value over the language's rows of of, or where these are few over all rows."""
+        by = of.where("lang IS NOT NULL").groupBy("lang").agg(value.alias(name), F.count("*").alias("_n")).where(F.col("_n") >= least).select(F.col("lang").alias("_lang"), name)
+        by = settled(by, "languages")
+        by = F.broadcast(by) if by.count() <= MAX_BROADCAST_LANGUAGES else by
+        overall = F.lit(of.agg(value.alias("t")).first()["t"]).cast("double")
+        return to.join(by, F.col("lang") == F.col("_lang"), "left").withColumn(name, F.coalesce(name, overall)).drop("_lang")
 
-    plain = by_language(middle, trusted)
     n = F.col("n_bytes")
-    steady = F.exp((n * F.log("perplexity") + STEADY * F.log(F.coalesce(plain, F.col("perplexity")))) / (n + STEADY))
-    seen, trusted = seen.withColumn("perplexity", steady), trusted.withColumn("perplexity", steady)
-    threshold = by_language(rank, trusted)
+    steady = F.exp((n * F.log("perplexity") + STEADY * F.log(F.coalesce("_middle", F.col("perplexity")))) / (n + STEADY))
+    with_middle = lambda df: by_language(middle, "_middle", trusted, df).withColumn("perplexity", steady).drop("_middle")
+    seen, steadied = with_middle(seen), with_middle(trusted)
+    seen = by_language(rank, "threshold", steadied, seen)
     verdict = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.col("perplexity").isNotNull())
-    return seen.withColumn("threshold", threshold).select("doc_id", "lang", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), verdict.alias("good"))
+    return seen.select("doc_id", "lang", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), verdict.alias("good"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
