@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+from wherewhen.llm import grams
 from wherewhen.llm.lm_scoring import lm_scores
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -72,6 +73,17 @@ def test_matches_the_definition(spark):
         expected.append((i, out, len(tokens), sum(words[x] > 0 for x in tokens), n, round(base, 6), round(tree.log10p(" ".join(canonical[k]).encode() + b"\n"), 6)))
     got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm_scores(df, order=4).collect()]
     assert sorted(got, key=str) == sorted(expected, key=str)
+    for r in lm_scores(df, order=4).collect():
+        assert abs(r.bits_per_byte + r.score / math.log10(2) / r.n_bytes) < 1e-9
+
+
+def test_shards_and_columns_make_no_difference(spark, monkeypatch):
+    rows = [(i % 50, f"word{i % 9} and text number {i % 31}", "x") for i in range(300)] + [(7, "very long " * 20_000, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train string").withColumnsRenamed({"train": "key0"})
+    few = sorted(map(str, (r[:6] + (round(r.score, 6),) for r in lm_scores(df).collect())))
+    monkeypatch.setattr(grams, "SHARDED_BYTES", 1000)
+    assert grams.shards_for(300_000) > 100
+    assert few == sorted(map(str, (r[:6] + (round(r.score, 6),) for r in lm_scores(df.repartition(5)).collect())))
 
 
 def test_empty_table(spark):

@@ -2,7 +2,9 @@
 
 A model of order n gives log10 p(byte | n - 1 bytes before). A text's score is a sum over its n-grams, so texts
 needn't travel: blocks of documents are turned into lists of (n-gram, document, times), dealt by the two bytes
-next to the predicted one into SHARDS shards, each shard in as many salts as the input's size asks for.
+next to the predicted one into shards, each shard in as many salts as the input's size asks for. Shards grow with the
+square root of the input from SHARDS on, as do the different n-grams of a shard where all n-grams grow in proportion;
+lists are then so many for each block.
 
 1. (shard, salt): what the training documents among the lists count - a partial sum;
 2. shard: the sums, and from them the shard's part of the model and its share in a table for contexts of
@@ -16,6 +18,7 @@ the number of different n-grams of a shard.
 
 from __future__ import annotations
 
+import math
 import struct
 
 import numpy as np
@@ -27,13 +30,18 @@ from pyspark.sql import functions as F
 
 from wherewhen.llm.textops import pack, unpack
 
-SHARDS = 16
+#: Shards of up to SHARDED_BYTES of text; four times the text has twice the shards.
+SHARDS, SHARDED_BYTES = 16, 8 << 30
 BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 60_000
 #: Text bytes whose lists one salt of all shards holds.
 SALT_BYTES = 512 << 20
 PAD = 10  # before a text its bytes are taken to be newlines
 
 
+def shards_for(size: int) -> int:
+    return SHARDS << max(0, math.ceil(math.log(max(1, size) / SHARDED_BYTES, 4)))
+
+
 def squeeze(*parts: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(parts)) + b"".join(struct.pack("<Q", len(p)) for p in parts) + b"".join(parts))
 
@@ -62,7 +70,7 @@ def gram_codes(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return (code << np.uint64(8)) | buf[at], text
 
 
-def _lists(texts: list[bytes], n: int, train: np.ndarray):
+def _lists(texts: list[bytes], n: int, train: np.ndarray, shards: int):
     """(shard, blob) for every shard: its n-grams, for each the documents that have it and how often."""
     code, text = gram_codes(texts, n)
     key, times = np.unique(code * np.uint64(len(texts)) + text.astype(np.uint64), return_counts=True)
@@ -70,11 +78,11 @@ def _lists(texts: list[bytes], n: int, train: np.ndarray):
     head = np.flatnonzero(np.diff(code, prepend=np.uint64(0xFFFFFFFFFFFFFFFF)) != 0) if len(code) else np.zeros(0, dtype=np.int64)
     docs = np.diff(np.append(head, len(code)))
     near = (code[head] >> np.uint64(8 * (n - 2))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
-    shard = (near % np.uint64(SHARDS)).astype(np.int64)
+    shard = (near % np.uint64(shards)).astype(np.int64)
     gap = np.diff(text, prepend=0)
     gap[head] = text[head]
     flags = np.packbits(train).tobytes()
-    for s in range(SHARDS):
+    for s in range(shards):
         own = np.flatnonzero(shard == s)
         row = np.repeat(head[own] - np.concatenate([[0], np.cumsum(docs[own])[:-1]]), docs[own]) + np.arange(docs[own].sum()) if len(own) else np.zeros(0, dtype=np.int64)
         g = gap[row].astype(np.uint16)
@@ -113,7 +121,7 @@ def _add(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     return codes[count > 0], count[count > 0]
 
 
-def _emit(n: int, salts: int, extra: list[str]):
+def _emit(n: int, salts: int, extra: list[str], shards: int):
     def run(batches):
         part, run_no = TaskContext.get().partitionId(), 0
 
@@ -126,7 +134,7 @@ def _emit(n: int, salts: int, extra: list[str]):
             with pa.ipc.new_stream(sink, table.select(extra).schema) as w:
                 w.write_table(table.select(extra))
             texts = [x or b"" for x in table.column("model_text").to_pylist()]
-            out = list(_lists(texts, n, np.array(table.column("train").fill_null(False).to_pylist(), dtype=bool)))
+            out = list(_lists(texts, n, np.array(table.column("train").fill_null(False).to_pylist(), dtype=bool), shards))
             return pa.record_batch({"shard": pa.array([s for s, _ in out], pa.int32()), "salt": pa.array([salt] * len(out), pa.int32()), "block": pa.array([block] * len(out), pa.int64()), "lists": pa.array([b for _, b in out], pa.binary()), "meta": pa.array([sink.getvalue().to_pybytes() if s == 0 else None for s, _ in out], pa.binary())})
 
         held, rows, n_docs = 0, [], 0
@@ -168,10 +176,10 @@ def _model(model):
     return run
 
 
-def _low(model):
+def _low(model, shards: int):
     def run(table: pa.Table) -> pa.Table:
         low = squeeze(model.low([unsqueeze(x)[0] for x in table.column("share").to_pylist()]))
-        return pa.table({"shard": pa.array(range(SHARDS), pa.int32()), "low": pa.array([low] * SHARDS, pa.binary())})
+        return pa.table({"shard": pa.array(range(shards), pa.int32()), "low": pa.array([low] * shards, pa.binary())})
 
     return run
 
@@ -216,14 +224,14 @@ def scored(docs: DataFrame, model, extra: str, size: int) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    salts = max(1, -(-size // SALT_BYTES)) * 3
+    shards, salts = shards_for(size), max(1, -(-size // SALT_BYTES)) * 3
     names = _parse_datatype_string(extra).names
     ddl = extra + ", log10p double"
     schema = to_arrow_schema(_parse_datatype_string(ddl))
-    lists = docs.select(*names, "model_text", "train").mapInArrow(_emit(model.order, salts, names), "shard int, salt int, block long, lists binary, meta binary")
+    lists = docs.select(*names, "model_text", "train").mapInArrow(_emit(model.order, salts, names, shards), "shard int, salt int, block long, lists binary, meta binary")
     counts = lists.groupBy("shard", "salt").applyInArrow(_partial, "shard int, codes binary, counts binary")
     models = counts.groupBy("shard").applyInArrow(_model(model), "shard int, model binary, share binary")
-    low = models.select(F.lit(0).alias("all"), "share").groupBy("all").applyInArrow(_low(model), "shard int, low binary")
+    low = models.select(F.lit(0).alias("all"), "share").groupBy("all").applyInArrow(_low(model, shards), "shard int, low binary")
     parts = models.select("shard", "model").join(low, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     sums = lists.groupBy("shard", "salt").cogroup(parts.groupBy("shard", "salt")).applyInArrow(_answer(model), "block long, sums binary, meta binary")
     return sums.groupBy("block").applyInArrow(_total(schema), ddl)

@@ -65,7 +65,7 @@ def _emit(shards: int):
 
         ids, texts, train, held = [], [], [], 0
         for batch in batches:
-            for i, t, k in zip(batch.column("row").to_pylist(), batch.column("model_text").to_pylist(), batch.column("train").to_pylist(), strict=True):
+            for *i, t, k in zip(*(batch.column(c).to_pylist() for c in ("key0", "key1", "model_text", "train")), strict=True):
                 if ids and (held + len(t) > BLOCK_BYTES or len(ids) >= BLOCK_DOCS):
                     yield flush(ids, texts, train)
                     ids, texts, train, held = [], [], [], 0
@@ -94,8 +94,8 @@ def _count(table: pa.Table) -> pa.Table:
 
 def _total(table: pa.Table) -> pa.Table:
     logs, known, tokens = sum(np.frombuffer(x).reshape(3, -1) for x in table.column("sums").to_pylist())
-    ids = np.frombuffer(next(d for d in table.column("docs").to_pylist() if d is not None), dtype=np.int64)
-    return pa.table({"row": pa.array(ids), "logs": pa.array(logs), "n_known": pa.array(known.astype(np.int64)), "n_tokens": pa.array(tokens.astype(np.int64))})
+    keys = np.frombuffer(next(d for d in table.column("docs").to_pylist() if d is not None), dtype=np.int64).reshape(-1, 2)
+    return pa.table({"key0": pa.array(keys[:, 0]), "key1": pa.array(keys[:, 1]), "logs": pa.array(logs), "n_known": pa.array(known.astype(np.int64)), "n_tokens": pa.array(tokens.astype(np.int64))})
 
 
 def canonical(text: Column) -> Column:
@@ -109,25 +109,31 @@ def held_out(doc_id: Column) -> Column:
 
 
 def lm_scores(docs: DataFrame, order: int = 6) -> DataFrame:
-    """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     Both models learn from the rows that are not held out, which also have a doc_id. score is the context
     tree's log10 probability of the text's words, A-Z lower-cased, with a space between words and a newline as
-    the end; base_score that of its tokens under add-one word counts. Null and empty texts are an end alone.
-    Rows with a null doc_id are scored, held out, and not learned from. Repeated rows count each time. An
-    empty table gives an empty result; columns other than doc_id and text are ignored.
+    the end; base_score that of its tokens under add-one word counts; bits_per_byte the tree's code length for each
+    of the n_bytes bytes that it scores. Null and empty texts are an end alone. Rows with a null doc_id are scored,
+    held out, and not learned from. Repeated rows count each time. An empty table gives an empty result; columns
+    other than doc_id and text are ignored.
+
+    The two models' scores of a row meet by two 64-bit hashes of its doc_id and text, so they do wherever the row is
+    read from again; rows that agree in both have the same scores.
     """
     size = text_size(docs)
     shards = max(4, math.ceil(size / WORD_SHARD_BYTES))
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), (~out).alias("train"), canonical(F.col("text")).alias("model_text"))
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    words = numbered.select("row", "model_text", "train").mapInArrow(_emit(shards), "shard int, block long, lists binary, docs binary")
+    key = [F.xxhash64(F.lit(k), F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.col("text").cast("string")).alias(f"key{k}") for k in (0, 1)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), (~out).alias("train"), canonical(F.col("text")).alias("model_text"), *key)
+    words = rows.select("key0", "key1", "model_text", "train").mapInArrow(_emit(shards), "shard int, block long, lists binary, docs binary")
     counted = words.groupBy("shard").applyInArrow(_count, "block long, sums binary, docs binary, n double, v double")
-    base = counted.groupBy("block").applyInArrow(_total, "row long, logs double, n_known long, n_tokens long")
+    base = counted.groupBy("block").applyInArrow(_total, "key0 long, key1 long, logs double, n_known long, n_tokens long")
+    base = base.groupBy("key0", "key1").agg(*[F.first(c).alias(c) for c in ("logs", "n_known", "n_tokens")])
     totals = F.broadcast(counted.groupBy(F.pmod("block", F.lit(1)).alias("all")).agg(F.sum("n").alias("n"), F.sum("v").alias("v")))  # one row
-    ended = numbered.withColumn("model_text", F.concat("model_text", F.lit(bytearray(b"\n"))))
-    tree = scored(ended, ContextTree(order), "row long, doc_id long, held_out boolean", size)
-    joined = tree.join(base, "row").withColumn("all", F.pmod("row", F.lit(1))).join(totals, "all")
+    ended = rows.withColumn("model_text", F.concat("model_text", F.lit(bytearray(b"\n")))).withColumn("n_bytes", F.octet_length("model_text").cast("long"))
+    tree = scored(ended, ContextTree(order), "key0 long, key1 long, doc_id long, held_out boolean, n_bytes long", size)
+    joined = tree.join(base, ["key0", "key1"]).withColumn("all", F.pmod("key0", F.lit(1))).join(totals, "all")
     base_score = F.col("logs") - F.col("n_tokens") * F.log10(F.col("n") + F.col("v") + 1)
-    return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.col("n").cast("long").alias("train_tokens"), base_score.alias("base_score"), F.col("log10p").alias("score"))
+    bits = -F.col("log10p") / math.log10(2) / F.col("n_bytes")
+    return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.col("n").cast("long").alias("train_tokens"), base_score.alias("base_score"), F.col("log10p").alias("score"), "n_bytes", bits.alias("bits_per_byte"))
