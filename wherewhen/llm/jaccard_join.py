@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from wherewhen.llm.common import chunked, settled, text_size, without
 from wherewhen.llm.components import components
 from wherewhen.llm.grams import squeeze, unsqueeze
-from wherewhen.llm.substring_dedup import SHARD_WINDOWS, SKETCH_DDL, least_cells, sketch_cells, sketch_rows
+from wherewhen.llm.substring_dedup import CHUNK_BYTES, SHARD_WINDOWS, SKETCH_DDL, least_cells, sketch_cells, sketch_rows
 from wherewhen.llm.textops import Words, binary_views, blocks, pack, shard_of, spans_hash, text_bytes, unpack, windows
 
 WIDTH = 5
@@ -346,7 +346,7 @@ def linked_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = text_size(rows)
     shards = max(16, math.ceil(size / 10 / SHARD_WINDOWS))
-    texts = chunked(rows, size)
+    texts = chunked(rows, size, chunk_bytes=CHUNK_BYTES)
     sketch = texts.groupBy("chunk").applyInArrow(_sketch(shards), SKETCH_DDL)
     often = sketch.groupBy("shard").applyInArrow(_estimate, "chunk long, shard long, least binary")
     seen = settled(texts.groupBy("chunk").cogroup(often.groupBy("chunk")).applyInArrow(_candidates(shards), "doc_id long, n long, set binary, rare binary"), "candidates")

@@ -5,7 +5,7 @@ list of its distinct windows and answers about them travel as bits. One lazy pla
 
 1. texts are dealt into chunks (one shuffle, reused by the later visits);
 2. visit 1 sends for each distinct window of a chunk its two cells of the count-min sketch of the window's
-   shard (40 bits, sorted and delta coded) - the chunk's partial sketch;
+   shard (44 bits, sorted and delta coded) - the chunk's partial sketch;
 3. each shard adds the partial sketches up and returns a bit per window: estimated to occur twice or more.
    Estimates are never too low, so no repeated window is lost;
 4. visit 2 sends 96-bit keys of only those windows, with the smallest doc_id that has them in the chunk;
@@ -29,7 +29,10 @@ from pyspark.sql import functions as F
 from wherewhen.llm.common import chunked, text_size
 from wherewhen.llm.textops import Words, blocks, mix, pack, shard_of, spans_hash, text_bytes, unpack, windows
 
-CELL_BITS = 20
+CELL_BITS = 22
+#: Bytes of a chunk. Chunks and shards both grow with the input and every pair of them exchanges a row, so both are as
+#: large as a task can hold.
+CHUNK_BYTES = 8 << 20
 #: Windows for each shard: four cells a window in either row of the sketch.
 SHARD_WINDOWS = 1 << (CELL_BITS - 2)
 
@@ -236,7 +239,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, with_text: bool = False) -
     """
     size = text_size(docs)
     shards = max(16, math.ceil(size / 5 / SHARD_WINDOWS))
-    texts = chunked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), size)
+    texts = chunked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), size, chunk_bytes=CHUNK_BYTES)
     answer = "chunk long, kind int, shard long, bits binary"
     sketch = texts.groupBy("chunk").applyInArrow(_sketch(width, shards), SKETCH_DDL)
     repeated = sketch.groupBy("shard").applyInArrow(_estimate, answer)
