@@ -24,6 +24,7 @@ documents are already connected are not looked at. Results are exact up to colli
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -340,6 +341,13 @@ def _recursive(open_: DataFrame, sets: DataFrame, labels: DataFrame) -> list[Dat
     return found
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) after links (a, b) between the components of labels, or documents without one: only what the links join is worked out anew."""
+    more = components(links)
+    moved = labels.join(more.select(F.col("id").alias("component"), F.col("component").alias("_top")), "component", "left").select("id", F.coalesce("_top", "component").alias("component"))
+    return settled(moved.unionByName(more.join(labels.select("id"), "id", "left_anti").select("id", "component")), "labels")
+
+
 def linked_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((doc_id, n) for every row, (id, component) for every doc_id that links with another)."""
     spark = docs.sparkSession
@@ -372,17 +380,17 @@ def linked_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_ = mixed()
     if not open_.isEmpty():
         far = settled(_blocked(open_, sets, labels, lead(open_)).groupBy("family", "block").applyInArrow(_measure, OUT), "distances")
-        links_ = links_.union(_links(far))
-        labels = components(links_)
-        open_ = mixed()
-    if not open_.isEmpty():
+        near = _links(far)
+        if not near.isEmpty():
+            labels = merged(labels, near)
+            open_ = mixed()
         d = far.where("center IS NOT NULL").select("family", "member", "d")
         outer = d.where(F.col("d") > RADIUS).groupBy("family").agg(F.min("d").alias("edge"))
         window = d.join(outer, "family").where(F.col("d") >= F.col("edge") - RADIUS - 1e-9).select("family", "member").distinct()
         kept = settled(open_.join(window, ["family", "member"]), "windows")
-        for more in _recursive(kept, sets, labels):
-            links_ = links_.union(more)
-        labels = components(links_)
+        more = reduce(DataFrame.union, _recursive(kept, sets, labels))
+        if not more.isEmpty():
+            labels = merged(labels, more)
     return counts, labels
 
 
