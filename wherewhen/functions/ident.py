@@ -88,6 +88,19 @@ def frames(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, ephemeris_id int, orientation_id int, frame_id binary, rank int")
 
 
+def registrable_names(spark: SparkSession) -> DataFrame:
+    """(name) of the frames whose own names a registry may hold: those that are the first of their numbers."""
+    return frames(spark).groupBy("ephemeris_id", "orientation_id").agg(F.min_by("name", "rank").alias("name")).select("name")
+
+
+def is_registrable(name: Column) -> Column:
+    """Whether a name is a frame's own."""
+    first = {}
+    for n, e, o in FRAMES:
+        first.setdefault((e, o), n)
+    return F.coalesce(name.isin(*first.values()), F.lit(False))
+
+
 def bodies(spark: SparkSession) -> DataFrame:
     """(body, naif_id, entity_id) of the ten bodies, by distance."""
     return spark.createDataFrame([(n, i, bytearray(astro_bytes(i, i))) for n, i in BODIES], "body string, naif_id int, entity_id binary")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,15 +11,19 @@ def _firsts(right: DataFrame, on: str, epoch: str, seq: str, values: list[str])
     return right.groupBy(F.col(on).alias("_on"), F.col(epoch).alias("_epoch")).agg(F.min_by(F.struct(*values), F.col(seq)).alias("_value"))
 
 
-def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, left_epoch: str, right_epoch: str, values: dict[str, str], seq: str = "row_seq", bucket_ns: int | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, left_epoch: str, right_epoch: str, values: dict[str, str], seq: str = "row_seq", bucket_ns: int | None = None, unique: bool = False) -> DataFrame:
     """left with columns values (new name by right column), null where no right row is early enough.
 
     Both sides are put in one stream by key and epoch; the last right row is carried forward - one shuffle of
     each side, no pairs. With bucket_ns, a key's stream is cut into time buckets that are worked apart, and
     only every bucket's last right row is carried on from bucket to bucket: a hot key then spreads over tasks.
+    unique: right has one row for each key and epoch, so none need be chosen.
     """
     named = [F.col(c).alias(n) for c, n in values.items()]
-    firsts = _firsts(right.select("*", *named), right_on, right_epoch, seq, list(values.values()))
+    if unique:
+        firsts = right.select(F.col(right_on).alias("_on"), F.col(right_epoch).alias("_epoch"), F.struct(*named).alias("_value"))
+    else:
+        firsts = _firsts(right.select("*", *named), right_on, right_epoch, seq, list(values.values()))
     bucket = (lambda e: F.floor(e / bucket_ns)) if bucket_ns else (lambda e: F.lit(0).cast("bigint"))
     rows = left.select(F.col(left_on).alias("_on"), F.col(left_epoch).alias("_epoch"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"))
     both = rows.unionByName(firsts.withColumn("_side", F.lit(0)), allowMissingColumns=True).withColumn("_bucket", bucket(F.col("_epoch")))
@@ -43,12 +47,12 @@ def asof_intervals(left: DataFrame, right: DataFrame, left_on: str, right_on: st
 
 
 def asof_or_first(left: DataFrame, right: DataFrame, left_on: str, right_on: str, left_epoch: str, right_epoch: str, values: dict[str, str], seq: str = "row_seq") -> DataFrame:
-    """As asof_join(), but the key's first right row where none is early enough."""
+    """As asof_join(), but the key's first right row where none is early enough. A row that is found counts, whatever nulls it holds."""
+    marked = right.withColumn("_there", F.lit(True))
     firsts = right.groupBy(F.col(right_on).alias("_first_on")).agg(F.min_by(F.struct(*[F.col(c).alias(n) for c, n in values.items()]), F.struct(right_epoch, seq)).alias("_first"))
-    found = asof_join(left, right, left_on, right_on, left_epoch, right_epoch, values, seq)
+    found = asof_join(left, marked, left_on, right_on, left_epoch, right_epoch, values | {"_there": "_hit"}, seq)
     out = found.join(firsts, found[left_on] == firsts["_first_on"], "left")
-    hit: Column = F.coalesce(*[F.col(n).isNotNull().cast("int") for n in list(values.values())[:1]]) == 1
-    return out.select(*left.columns, *[F.when(hit, F.col(n)).otherwise(F.col("_first")[n]).alias(n) for n in values.values()])
+    return out.select(*left.columns, *[F.when(F.col("_hit"), F.col(n)).otherwise(F.col("_first")[n]).alias(n) for n in values.values()])
 
 
 def count_at_or_before(left: DataFrame, right: DataFrame, left_on: str, right_on: str, left_epoch: str, right_epoch: str) -> DataFrame:

@@ -160,12 +160,90 @@ def with_ids(df: DataFrame, key: str, ids: DataFrame, invert: bool = False) -> D
     return df.join(ids.select(key).distinct(), key, "left_anti" if invert else "left_semi")
 
 
-def named_like(df: DataFrame, label: str, patterns: list[str]) -> DataFrame:
-    """Rows whose label contains one of the patterns, whatever the case."""
-    hit = F.lit(False)
-    for p in patterns:
-        hit = hit | F.lower(F.col(label)).contains(p.lower())
-    return df.where(hit)
+def named_like(df: DataFrame, label: str, patterns: list[str], strict: bool = False) -> DataFrame:
+    """Rows whose label contains one of the patterns, whatever the case. strict: ValueError for a pattern that no row has."""
+    hits = [F.lower(F.col(label)).contains(p.lower()) for p in patterns]
+    if strict and patterns:
+        found = df.agg(*[F.coalesce(F.max(h), F.lit(False)).alias(f"p{i}") for i, h in enumerate(hits)]).first()
+        missed = [p for i, p in enumerate(patterns) if not found[i]]
+        if missed:
+            raise ValueError(f"nothing is named like {missed}")
+    return df.where(F.coalesce(*[F.when(h, F.lit(True)) for h in hits], F.lit(False)))
+
+
+def masked(df: DataFrame, mask: Column) -> DataFrame:
+    """Rows for which a mask holds; null doesn't."""
+    return df.where(F.coalesce(mask, F.lit(False)))
+
+
+def in_frames(df: DataFrame, frame: Column, frames: list) -> DataFrame:
+    """Rows in one of some frames."""
+    return df.where(frame.isin(*frames))
+
+
+def upto(df: DataFrame, end, epoch: str = "epoch_ns") -> DataFrame:
+    """Rows at or before an epoch."""
+    return df.where(F.col(epoch) <= F.lit(end))
+
+
+def with_vectors(df: DataFrame, source: str = "position", names: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """df with a vector's components as columns; NaN for what is null."""
+    nan = F.lit(float("nan"))
+    return df.withColumns({n: F.coalesce(F.get(source, F.lit(i)), nan) for i, n in enumerate(names)})
+
+
+def decoded(df: DataFrame, epoch: str = "epoch_ns") -> DataFrame:
+    """df with unit, scale and estimate in words and tai, the epoch as text; columns that are null in every row are left out."""
+    out = df.withColumns({"unit": vocab.decode(F.col("units_pos")), "scale": vocab.decode(F.col("timescale_id"), vocab.TIME_SCALES), "estimate": vocab.decode(F.col("estimate_type"), vocab.ESTIMATES), "tai": timeconv.format_tai(F.col(epoch))})
+    seen = out.agg(*[F.max(F.col(f"`{c}`").isNotNull()).alias(f"c{i}") for i, c in enumerate(out.columns)]).first()
+    return out.select(*[F.col(f"`{c}`") for i, c in enumerate(out.columns) if seen[i] is not False])
+
+
+def with_names(df: DataFrame, key: str, names: DataFrame, names_key: str, name: str, missing: str = "?") -> DataFrame:
+    """df with label: the name that a table of names has for key, or missing."""
+    known = names.select(F.col(names_key).alias("_key"), F.col(name).alias("_name"))
+    return df.join(known, df[key] == known["_key"], "left").select(*df.columns, F.coalesce("_name", F.lit(missing)).alias("label"))
+
+
+def require_tai(df: DataFrame, struct: str = STRUCT) -> DataFrame:
+    """df, or ValueError if any row's epoch isn't in TAI."""
+    if not df.where(field(df, "timescale_id", struct) != 1).isEmpty():
+        raise ValueError("rows are not in TAI")
+    return df
+
+
+def viewer_rows(df: DataFrame, key: str = "entity_id", epoch: str = "epoch_ns") -> tuple[DataFrame, DataFrame]:
+    """(df dealt by key with each key's rows in order of their epochs, the window (first_epoch, last_epoch) of all): what a viewer loads."""
+    return df.repartition(key).sortWithinPartitions(key, epoch), df.agg(F.min(epoch).alias("first_epoch"), F.max(epoch).alias("last_epoch"))
+
+
+def concat(parts: list[DataFrame], order: str | None = None) -> DataFrame:
+    """The rows of all parts, by name; with order, that column says which part a row is of, from 0 up."""
+    tagged = [p if order is None else p.withColumn(order, F.lit(i)) for i, p in enumerate(parts)]
+    out = tagged[0]
+    for p in tagged[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def sort_dirty(df: DataFrame, key: str, epoch: str, seq: str) -> DataFrame:
+    """All rows by key, epoch and the order stored; ranges are sorted apart, no task gets all rows."""
+    return df.orderBy(key, epoch, seq)
+
+
+def slice_chunks(df: DataFrame, order: str, size: Column, most: int) -> DataFrame:
+    """df with chunk, from 0 up: runs of rows in order of about most bytes by size, each row whole. Sums go over sorted ranges, as placed() has it, so no task gets all rows."""
+    from wherewhen.plans.tables import settled
+
+    spread = settled(df.withColumn("_size", size.cast("bigint")).repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()), "slices")
+    part, before, sums = F.shiftright("_at", 33), 0, []
+    for r in spread.groupBy(part.alias("_part")).agg(F.sum("_size").alias("s")).orderBy("_part").toLocalIterator():
+        sums.append((r["_part"], before))
+        before += r["s"]
+    ahead = df.sparkSession.createDataFrame(sums, "_part long, _before long")
+    own = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    found = spread.withColumn("_part", part).join(F.broadcast(ahead), "_part")  # one row a range
+    return found.withColumn("chunk", F.floor((F.col("_before") + F.coalesce(F.sum("_size").over(own), F.lit(0))) / F.lit(most)).cast("bigint")).select(*df.columns, "chunk")
 
 
 def page(df: DataFrame, order: str, offset: int = 0, limit: int | None = None, tail: int | None = None) -> DataFrame:

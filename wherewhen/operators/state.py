@@ -20,10 +20,8 @@ def current_state(df: DataFrame, key: str = "entity", epoch: str = "epoch_ns", r
     all, also where ids restricts the keys. One aggregation that combines before its shuffle.
     """
     rank = F.lit(0) if rank is None else rank
-    if not_before is None:
-        last = latest_epoch(df, epoch).first()["epoch"]
-        not_before = None if last is None else last - window_ns
-    rows = df if not_before is None else df.where(F.col(epoch) >= F.lit(not_before))
+    start = latest_epoch(df, epoch).scalar() - F.lit(window_ns) if not_before is None else F.lit(not_before)
+    rows = df.where(F.col(epoch) >= start)
     if ids is not None:
         rows = rows.join(ids.select(key).distinct(), key, "left_semi").select(df.columns)
     best = F.max_by(F.struct(*df.columns), F.struct(F.col(epoch), -rank, -F.col(seq)))
@@ -93,3 +91,32 @@ def cadence(df: DataFrame, key: str = "entity", epoch: str = "epoch_ns", seq: st
     """Every key's median step between its rows and its last epoch."""
     step = F.col(epoch) - F.lag(epoch).over(Window.partitionBy(key).orderBy(epoch, seq))
     return df.withColumn("_step", step).groupBy(key).agg(F.median("_step").alias("median_step"), F.max(epoch).alias("last_epoch"))
+
+
+def counts_by(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n): rows by the keys' values."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def distinct_ids(df: DataFrame, key: str = "entity") -> DataFrame:
+    return df.select(key).distinct()
+
+
+def epoch_window(df: DataFrame, epoch: str = "epoch_ns") -> DataFrame:
+    """(first_epoch, last_epoch) of all rows."""
+    return df.agg(F.min(epoch).alias("first_epoch"), F.max(epoch).alias("last_epoch"))
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: its fixed columns' sizes, and the lengths of its texts, blobs and arrays."""
+    fixed = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+    total = F.lit(0).cast("bigint")
+    for name, kind in df.dtypes:
+        column = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind.startswith("array"):
+            total = total + F.coalesce(F.size(column), F.lit(0)).cast("bigint") * 8
+        else:
+            total = total + F.lit(fixed.get(kind, 8))
+    return total

@@ -125,6 +125,45 @@ def circle_points(centre: DataFrame, key: str = "entity", points: int = 193) ->
     return rows.select(key, "i", *[c.alias(n) for c, n in zip(at, "xyz", strict=True)])
 
 
+def fit_circle(rows: DataFrame, key: str = "entity", epoch: str = "epoch_ns", seq: str = "row_seq") -> DataFrame:
+    """(key, radius, u, v) of the circle about the origin through each key's samples (x, y, z): its mean radius, u towards
+    the first sample and v at right angles in the plane of the first and the sample that stands most across it, of equal
+    ones the first. Keys whose samples are all in line with the first are left out.
+    """
+    from wherewhen.functions import quat
+
+    samples = rows.select(key, F.struct(epoch, seq).alias("_order"), quat.vector(F.col("x"), F.col("y"), F.col("z")).alias("_p"))
+    firsts = samples.groupBy(key).agg(F.min_by("_p", "_order").alias("_a"), F.avg(quat.norm(F.col("_p"))).alias("radius"))
+    across = samples.join(firsts, key).withColumn("_n", quat.cross(F.col("_a"), F.col("_p"))).withColumn("_size", quat.norm(F.col("_n")))
+    best = across.groupBy(key).agg(F.min_by(F.struct("_n", "_size", "_a", "radius"), F.struct(-F.col("_size"), F.col("_order"))).alias("_b")).select(key, "_b.*")
+    best = best.where(F.try_divide(F.col("_size"), F.col("radius") * F.col("radius")) >= 1e-6)
+    best = best.withColumns({"u": quat.scale(F.col("_a"), 1 / quat.norm(F.col("_a"))), "_w": quat.scale(F.col("_n"), 1 / F.col("_size"))})
+    return best.select(key, "radius", "u", quat.cross(F.col("_w"), F.col("u")).alias("v"))
+
+
+def extrema(rows: DataFrame, key: str = "entity") -> DataFrame:
+    """(key, span of x, largest |y|, nearest and farthest distance from the origin)."""
+    r = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
+    return rows.groupBy(key).agg((F.max("x") - F.min("x")).alias("span"), F.max(F.abs("y")).alias("largest"), F.min(r).alias("nearest"), F.max(r).alias("farthest"))
+
+
+def closest_row(rows: DataFrame, distance2: Column, key: str = "entity", seq: str = "row_seq") -> DataFrame:
+    """(key, seq) of each key's row with the least squared distance, of equal ones the first stored."""
+    return rows.groupBy(key).agg(F.min_by(seq, F.struct(distance2, F.col(seq))).alias(seq))
+
+
+def median_ratio(rows: DataFrame, above: Column, below: Column, key: str) -> DataFrame:
+    """(key, ratio): the median of above over below, rows where below is 0 left out."""
+    return rows.groupBy(key).agg(F.median(F.try_divide(above, below)).alias("ratio"))
+
+
+def empty_slots(rows: DataFrame, step: int, epoch: str = "epoch_ns") -> DataFrame:
+    """(slot): the whole steps between the first and the last row in which no row stands. The steps are made from the ends alone."""
+    slot = rows.select(F.floor(F.col(epoch) / F.lit(step)).alias("slot"))
+    due = slot.agg(F.min("slot").alias("lo"), F.max("slot").alias("hi")).where("lo IS NOT NULL").select(F.explode(F.sequence("lo", "hi")).alias("slot"))
+    return due.join(slot.distinct(), "slot", "left_anti")
+
+
 def polygon_area(rows: DataFrame, key: str, order: str, x: str, y: str) -> DataFrame:
     """The area of each key's ring."""
     w = Window.partitionBy(key).orderBy(order)

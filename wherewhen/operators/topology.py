@@ -59,7 +59,7 @@ def ancestry(asked: DataFrame, edges: DataFrame, is_root, max_depth: int = MAX_D
     """
     from wherewhen.plans.tables import settled
 
-    edges = edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p"), F.col("since").alias("_since"), F.col("until").alias("_until"))
+    edges = settled(edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p"), F.col("since").alias("_since"), F.col("until").alias("_until")), "edges")
     out = step = asked.select("child", "epoch", F.lit(0).alias("depth"), F.col("child").alias("ancestor"))
     for depth in range(1, max_depth + 1):
         open_ = step.where(~is_root(F.col("ancestor")))

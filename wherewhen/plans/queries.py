@@ -82,9 +82,18 @@ def filter_time_space(spark, d):
     return o.where(R.in_time(F.col("epoch_ns"), T0, T1) & R.in_sphere(F.col("x"), F.col("y"), F.col("z"), (50, 500, 20), 300)).select("row_seq", "entity")
 
 
-@query("SELECT count(DISTINCT parent) AS n_frames, count(DISTINCT parent) <= 1 AS uniform FROM obs")
+@query("SELECT event_type, count(DISTINCT parent) <= 1 AS uniform FROM obs WHERE entity < 10 OR event_type = 'click' GROUP BY event_type")
 def frame_uniformity(spark, d):
-    return observations(spark, d).agg(F.count_distinct("parent").alias("n_frames"), (F.count_distinct("parent") <= 1).alias("uniform"))
+    """Whether the spatial filter's check finds one frame, by kind of event, over the rows of low entities and of clicks."""
+    o = observations(spark, d).where("entity < 10 OR event_type = 'click'")
+    out = []
+    for kind in sorted(r[0] for r in o.select("event_type").distinct().collect()):  # a handful of kinds
+        try:
+            R.require_one_frame(o.where(F.col("event_type") == kind), F.col("parent"))
+            out.append((kind, True))
+        except ValueError:
+            out.append((kind, False))
+    return spark.createDataFrame(out, "event_type string, uniform boolean")
 
 
 @query("SELECT row_seq, entity FROM obs WHERE entity IN (SELECT s_suppkey FROM supplier)")
@@ -111,12 +120,12 @@ def entity_window(spark, d):
 
 @query("SELECT row_seq, parent FROM obs WHERE parent IN (-399, 1, 2, 3)")
 def frame_filter(spark, d):
-    return observations(spark, d).where(F.col("parent").isin(EARTH, 1, 2, 3)).select("row_seq", "parent")
+    return R.in_frames(observations(spark, d), F.col("parent"), [EARTH, 1, 2, 3]).select("row_seq", "parent")
 
 
 @query(f"SELECT entity, count(*) AS n_rows FROM obs WHERE epoch_ns <= {T1} GROUP BY entity")
 def upto(spark, d):
-    return observations(spark, d).where(F.col("epoch_ns") <= T1).groupBy("entity").agg(F.count("*").alias("n_rows"))
+    return R.upto(observations(spark, d), T1).groupBy("entity").agg(F.count("*").alias("n_rows"))
 
 
 @query("SELECT row_seq, entity FROM obs ORDER BY row_seq LIMIT 50 OFFSET 100")
@@ -141,23 +150,28 @@ def sample_seeded(spark, d):
 
 @query("SELECT row_seq, round(x, 6) AS x, y, z FROM obs")
 def project_vectors(spark, d):
-    nan = F.lit(float("nan"))
-    return _flat(observations(spark, d)).select("row_seq", F.round(F.coalesce("x", nan), 6).alias("x"), F.coalesce("y", nan).alias("y"), F.coalesce("z", nan).alias("z"))
+    return R.with_vectors(observations(spark, d)).select("row_seq", F.round("x", 6).alias("x"), "y", "z")
 
 
 @query("SELECT row_seq, ['km','m','cm','mm','au','in','ft','mi','nmi'][units_pos] AS unit, ['TAI','TT','ET','TDB','UTC','GPST'][timescale_id] AS scale, ['MEASURED','ESTIMATED','SIMULATED'][estimate_type] AS estimate, strftime(make_timestamp(CAST(floor(epoch_ns / 1000) AS BIGINT) + 946728000000000), '%Y-%m-%dT%H:%M:%S.%g') AS tai FROM obs")
 def project_decode(spark, d):
-    o = observations(spark, d)
-    return o.select("row_seq", vocab.decode(F.col("units_pos")).alias("unit"), vocab.decode(F.col("timescale_id"), vocab.TIME_SCALES).alias("scale"), vocab.decode(F.col("estimate_type"), vocab.ESTIMATES).alias("estimate"), timeconv.format_tai(F.col("epoch_ns")).alias("tai"))
+    o = R.decoded(observations(spark, d).withColumn("nothing", F.lit(None).cast("double")))
+    assert "nothing" not in o.columns
+    return o.select("row_seq", "unit", "scale", "estimate", "tai")
 
 
 # validation, vocabularies, time
 
 
-@query("SELECT count(*) FILTER (units_pos NOT BETWEEN 1 AND 7) AS bad_units, count(*) FILTER (timescale_id NOT BETWEEN 1 AND 5) AS bad_scale, count(*) FILTER (estimate_type NOT BETWEEN 1 AND 3) AS bad_estimate FROM obs")
+@query("SELECT count(*) FILTER (units_pos > 9) AS bad_units_pos, count(*) FILTER (row_seq % 50 = 0) AS bad_timescale_id, count(*) FILTER (row_seq % 70 = 0) AS bad_estimate_type, count(*) FILTER (row_seq % 90 = 0) AS missing_field, count(*) FILTER (row_seq % 30 = 0) AS bad_frame_id, count(*) FILTER (row_seq % 30 <> 0 AND row_seq % 40 = 0) AS abstract_frame FROM obs")
 def validate_vocab(spark, d):
+    """The counts of what validate() rejects, over all rows with faults planted by number."""
     o = observations(spark, d)
-    return o.agg(F.count_if(~vocab.is_code(F.col("units_pos"), vocab.LENGTH_UNITS[:7])).alias("bad_units"), F.count_if(~vocab.is_code(F.col("timescale_id"), vocab.TIME_SCALES[:5])).alias("bad_scale"), F.count_if(~vocab.is_code(F.col("estimate_type"), vocab.ESTIMATES)).alias("bad_estimate"))
+    n = F.col("row_seq")
+    frame = F.when(n % 30 == 0, F.lit(bytearray(b"short"))).when(n % 40 == 0, ident.mint_abstract(F.lit("a"), F.lit("b"))).otherwise(ident.mint_entity(F.lit("a"), F.col("parent").cast("string")))
+    none = F.lit(None).cast("array<double>")
+    bad = o.select(frame.alias("frame_id"), "units_pos", F.when(n % 50 == 0, 99).otherwise(F.col("timescale_id")).cast("smallint").alias("timescale_id"), ident.mint_abstract(F.lit("a"), F.lit("s")).alias("source_id"), F.when(n % 70 == 0, 0).otherwise(F.col("estimate_type")).cast("smallint").alias("estimate_type"), F.when(n % 90 != 0, F.col("position")).alias("position"), "quaternion", "duration_centuries", "duration_ns", none.alias("position_covariance"), none.alias("orientation_covariance"))
+    return R.violations(bad)
 
 
 @query("SELECT row_seq, CAST(1 AS SMALLINT) AS timescale_id, CAST(epoch_ns // 3155760000000000000 AS SMALLINT) AS duration_centuries, epoch_ns % 3155760000000000000 AS duration_ns FROM obs")
@@ -219,15 +233,15 @@ def id_hyphenated(spark, d):
     return i.select("c_custkey", text.alias("text"), F.lower(F.hex(ident.parse_hex(text))).alias("id"), ident.is_valid(F.col("i")).alias("valid"), ident.kind(F.col("i")).alias("kind"))
 
 
-@query()
+@query("WITH f AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {e}, {o})" for n, e, o in ident.FRAMES) + ") t(name, e, o)), i AS (SELECT *, format('{:08x}', e) || '0000800080' || format('{:08x}', o) || '000000' AS id FROM f) SELECT name, CAST(e AS INTEGER) AS ephemeris_id, CAST(o AS INTEGER) AS orientation_id, id, CAST(e AS INTEGER) AS e, CAST(o AS INTEGER) AS o, 0 AS kind, id[1:8] || '-' || id[9:12] || '-' || id[13:16] || '-' || id[17:20] || '-' || id[21:32] AS text, row_number() OVER (PARTITION BY e, o ORDER BY list_position([" + ", ".join(f"'{n}'" for n, _, _ in ident.FRAMES) + "], name)) = 1 AS own FROM i")
 def id_astro(spark, d):
     f = ident.frames(spark)
     e, o = ident.astro_frame(F.col("frame_id"))
     made = ident.astro_id(F.col("ephemeris_id"), F.col("orientation_id"))
-    return f.select("name", "ephemeris_id", "orientation_id", F.lower(F.hex(made)).alias("id"), e.alias("e"), o.alias("o"), ident.kind(F.col("frame_id")).alias("kind"), ident.hyphenated(F.col("frame_id")).alias("text"))
+    return f.select("name", "ephemeris_id", "orientation_id", F.lower(F.hex(made)).alias("id"), e.alias("e"), o.alias("o"), ident.kind(F.col("frame_id")).alias("kind"), ident.hyphenated(F.col("frame_id")).alias("text"), ident.is_registrable(F.col("name")).alias("own"))
 
 
-@query()
+@query("SELECT body, CAST(n AS INTEGER) AS naif_id, format('{:08x}', n) || '0000800080' || format('{:08x}', n) || '000000' AS entity_id, CASE WHEN n >= 100 AND n % 100 = 99 THEN 10 WHEN n >= 100 THEN n - n % 100 + 99 END AS centre FROM (VALUES " + ", ".join(f"('{b}', {n})" for b, n in ident.BODIES) + ") t(body, n)")
 def celestial_body(spark, d):
     return ident.bodies(spark).select("body", "naif_id", F.lower(F.hex("entity_id")).alias("entity_id"), ident.default_centre(F.col("naif_id")).alias("centre"))
 
@@ -239,8 +253,7 @@ def default_centre(spark, d):
 
 @query("SELECT s_suppkey, coalesce(n_name, '?') AS label FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
 def names_left_join(spark, d):
-    n = _table(spark, d, "nation").select("n_nationkey", "n_name")
-    return _table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", F.coalesce("n_name", F.lit("?")).alias("label"))
+    return R.with_names(_table(spark, d, "supplier"), "s_nationkey", _table(spark, d, "nation"), "n_nationkey", "n_name").select("s_suppkey", "label")
 
 
 # states
@@ -286,9 +299,10 @@ def latest_rows(spark, d):
     return state.batch_latest(observations(spark, d)).select("batch_seq", "entity", "row_seq")
 
 
-@query("SELECT batch_seq, count(*) AS n_rows, min(epoch_ns) AS min_epoch, max(epoch_ns) AS max_epoch, CAST(count(*) * 100 AS BIGINT) AS bytes FROM obs GROUP BY batch_seq")
+@query("SELECT batch_seq, count(*) AS n_rows, min(epoch_ns) AS min_epoch, max(epoch_ns) AS max_epoch, CAST(sum(16 + 2 * 8 + strlen(event_type)) AS BIGINT) AS bytes FROM obs GROUP BY batch_seq")
 def segment_stats(spark, d):
-    return state.batch_stats(observations(spark, d), size=F.lit(100))
+    o = observations(spark, d).select("batch_seq", "epoch_ns", "event_type", F.array("row_seq", "entity").alias("ids"))
+    return state.batch_stats(o, size=state.row_bytes(o))
 
 
 @query("SELECT batch_seq, max(epoch_ns) AS max_epoch FROM obs GROUP BY batch_seq ORDER BY max_epoch, batch_seq LIMIT 1")
@@ -324,17 +338,17 @@ def entity_cadence(spark, d):
 
 @query("SELECT units_pos, timescale_id, count(*) AS n FROM obs GROUP BY ALL")
 def counts_by_code(spark, d):
-    return observations(spark, d).groupBy("units_pos", "timescale_id").agg(F.count("*").alias("n"))
+    return state.counts_by(observations(spark, d), "units_pos", "timescale_id")
 
 
 @query("SELECT DISTINCT entity FROM obs")
 def distinct_ids(spark, d):
-    return observations(spark, d).select("entity").distinct()
+    return state.distinct_ids(observations(spark, d))
 
 
 @query("SELECT min(epoch_ns) AS first_epoch, max(epoch_ns) AS last_epoch FROM obs")
 def epoch_window(spark, d):
-    return observations(spark, d).agg(F.min("epoch_ns").alias("first_epoch"), F.max("epoch_ns").alias("last_epoch"))
+    return state.epoch_window(observations(spark, d))
 
 
 # topology
@@ -405,18 +419,13 @@ def topology_roots_depth(spark, d):
     return topology.depth_by_root(topology.tree_at(_log(spark, d)), is_earth)
 
 
-@query("SELECT CAST(n AS BIGINT) AS child FROM range(3) t(n)")
-def cycle_check(spark, d):
-    tree = topology.tree_at(_log(spark, d)).where(F.col("parent") != EARTH)
-    looped = tree.where("child > 2").unionByName(spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "child long, parent long"))
-    return topology.cycle_members(looped.where("child < 3 OR parent > 2"))
 
 
 _LOOPED = "looped AS (SELECT child, parent FROM tree WHERE child > 2 UNION ALL SELECT * FROM (VALUES (0, 1), (1, 2), (2, 0)) t(child, parent))"
 
 
 @query(f"WITH RECURSIVE {OBSERVATIONS_SQL}, {_LOG}, {_TREE}, {_LOOPED}, way AS (SELECT child, parent AS above FROM looped UNION SELECT way.child, looped.parent FROM way JOIN looped ON way.above = looped.child) SELECT DISTINCT way.child FROM way WHERE above IN (SELECT child FROM way WHERE child = above)")
-def cycle_check_tree(spark, d):
+def cycle_check(spark, d):
     """The nodes on or below a cycle that is planted in the whole current tree."""
     tree = topology.tree_at(_log(spark, d)).select(F.col("child").cast("bigint").alias("child"), F.col("parent").cast("bigint").alias("parent"))
     return topology.cycle_members(tree.where("child > 2").unionByName(spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "child long, parent long")))
@@ -484,19 +493,24 @@ def chain_pose(spark, d):
     return r.select("frame", "root", "hops", *[F.round(F.get("t", F.lit(i)), 3).alias(n) for i, n in enumerate("xyz")])
 
 
-@query("SELECT count(*) AS n_rows, count(DISTINCT (parent, epoch_ns)) AS n_needed FROM obs")
+@query("SELECT row_seq, parent, epoch_ns // 86400000000000 AS day, dense_rank() OVER (ORDER BY parent, epoch_ns // 86400000000000) AS found FROM obs")
 def transform_lookup(spark, d):
-    o = observations(spark, d)
-    return o.agg(F.count("*").alias("n_rows"), F.count_distinct("parent", "epoch_ns").alias("n_needed"))
+    """A costly answer - here a place among all - looked up for each distinct (frame, day) once and joined back to the rows."""
+    o = observations(spark, d).withColumn("day", F.floor(F.col("epoch_ns") / DAY_NS))
+    return transform.looked_up(o, ["parent", "day"], lambda need: R.placed(need, "parent", "day", place="found")).select("row_seq", "parent", "day", "found")
 
 
-@query()
+@query(f"""WITH RECURSIVE {OBSERVATIONS_SQL}, k AS (SELECT row_seq, entity, parent, epoch_ns, x {KM_SQL} AS x, y {KM_SQL} AS y, z {KM_SQL} AS z, 2 * half_deg AS a FROM obs),
+p AS (SELECT *, lead(epoch_ns) OVER (PARTITION BY entity ORDER BY epoch_ns) AS until FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY entity, epoch_ns ORDER BY row_seq) = 1)),
+c AS (SELECT row_seq, epoch_ns AS e, parent AS top, x, y, z FROM k UNION ALL
+SELECT c.row_seq, c.e, p.parent, p.x + cos(radians(p.a)) * c.x - sin(radians(p.a)) * c.y, p.y + sin(radians(p.a)) * c.x + cos(radians(p.a)) * c.y, p.z + c.z FROM c JOIN p ON c.top = p.entity AND c.e >= p.epoch_ns AND (p.until IS NULL OR c.e < p.until) WHERE c.top <> {EARTH})
+SELECT k.row_seq, CASE WHEN c.top IS NOT NULL THEN {EARTH} END AS root, {", ".join(f"round(sign(c.{v}) * ln(1 + abs(c.{v})), 5) AS root_{v}" for v in "xyz")} FROM k LEFT JOIN c ON k.row_seq = c.row_seq AND c.top = {EARTH}""")
 def transform_to_root(spark, d):
-    """Every row's pose in its root at its own epoch."""
+    """Every row's pose in its root at its own epoch; distances as signed logarithms, as units go from inches to astronomical ones."""
     o = _km(observations(spark, d))
     need = o.select(F.col("parent").alias("frame"), F.col("epoch_ns").alias("epoch"))
     found = transform.to_root(observations(spark, d), transform.resolve(need, o, is_earth))
-    return found.select("row_seq", "root", *[F.round(c, 3).alias(c) for c in ("root_x", "root_y", "root_z")])
+    return found.select("row_seq", "root", *[F.round(F.signum(c) * F.log(1 + F.abs(F.col(c))), 5).alias(c) for c in ("root_x", "root_y", "root_z")])
 
 
 # timelines
@@ -557,9 +571,13 @@ def extrapolation_gap(spark, d):
     return timeline.extrapolation_gap(_flat(observations(spark, d)), ["x"]).select("row_seq", F.round("gap", 6).alias("gap"))
 
 
-@query("SELECT row_seq, round(speed, 6) AS speed, round((speed - lag(speed) OVER (PARTITION BY entity ORDER BY epoch_ns, row_seq)) * 5, 6) AS accel FROM (SELECT *, (x - lag(x) OVER (PARTITION BY entity ORDER BY epoch_ns, row_seq)) * 5 AS speed FROM obs)")
+@query("""SELECT row_seq, round(speed, 6) AS speed, round((speed - lag(speed) OVER w) * 5, 6) AS accel FROM (SELECT *, (u - lag(u) OVER w) * 5 AS speed FROM
+(SELECT *, a + sum(coalesce(-round_even((a - p) / 360.0, 0) * 360.0, 0)) OVER (w ROWS UNBOUNDED PRECEDING) AS u FROM (SELECT *, lag(a) OVER w AS p FROM (SELECT *, (x * 3.7 + row_seq % 5 * 80) % 360 AS a FROM obs) WINDOW w AS (PARTITION BY entity ORDER BY epoch_ns, row_seq)) WINDOW w AS (PARTITION BY entity ORDER BY epoch_ns, row_seq))
+WINDOW w AS (PARTITION BY entity ORDER BY epoch_ns, row_seq)) WINDOW w AS (PARTITION BY entity ORDER BY epoch_ns, row_seq)""")
 def joint_speed_accel(spark, d):
-    return timeline.rates(_flat(observations(spark, d)), "x", 5.0).select("row_seq", *_r("speed", "accel"))
+    """Rates of an angle that jumps by whole turns, which are taken out first."""
+    o = _flat(observations(spark, d)).withColumn("a", (F.col("x") * 3.7 + F.col("row_seq") % 5 * 80) % 360)
+    return timeline.rates(timeline.unwrapped(o, "a"), "unwrapped", 5.0).select("row_seq", *_r("speed", "accel"))
 
 
 @query("SELECT row_seq, round((lead(x) OVER w - lag(x) OVER w) / ((lead(epoch_ns) OVER w - lag(epoch_ns) OVER w) / 1e9), 9) AS rate FROM obs WINDOW w AS (PARTITION BY entity ORDER BY epoch_ns, row_seq)")
@@ -617,10 +635,10 @@ def host_pairing(spark, d):
     return joins.host_pairs(o.select("row_seq", "parent", "day", "x", "y", "z"), hosts, epoch="day").select("row_seq", F.round("distance", 6).alias("distance"))
 
 
-@query(", pl AS (SELECT n_name, n_nationkey * 40.0 AS x, n_nationkey * 39.0 AS y, CAST(n_regionkey AS DOUBLE) AS z FROM nation) SELECT row_seq, round(min(sqrt(power(o.x - pl.x, 2) + power(o.y - pl.y, 2) + power(o.z - pl.z, 2))), 6) AS distance FROM obs o, pl GROUP BY row_seq /* obs */")
+@query(", pl AS (SELECT n_name, n_nationkey * 40.0 AS x, n_nationkey * 39.0 AS y, CAST(n_regionkey AS DOUBLE) AS z FROM nation) SELECT row_seq, arg_min(n_name, row(power(o.x - pl.x, 2) + power(o.y - pl.y, 2) + power(o.z - pl.z, 2), pl.x)) AS nearest, round(min(sqrt(power(o.x - pl.x, 2) + power(o.y - pl.y, 2) + power(o.z - pl.z, 2))), 6) AS distance FROM obs o, pl GROUP BY row_seq /* obs */")
 def nearest_place(spark, d):
     n = _table(spark, d, "nation").select("n_name", (F.col("n_nationkey") * 40.0).alias("x"), (F.col("n_nationkey") * 39.0).alias("y"), F.col("n_regionkey").cast("double").alias("z"))
-    return joins.nearest_place(_flat(observations(spark, d)), n, "n_name").select("row_seq", F.round("distance", 6).alias("distance"))
+    return joins.nearest_place(_flat(observations(spark, d)), n, "n_name").select("row_seq", "nearest", F.round("distance", 6).alias("distance"))
 
 
 @query(f"SELECT row_seq FROM obs WHERE batch_seq = (SELECT max(batch_seq) FROM obs WHERE batch_seq <= 7)")
@@ -664,18 +682,18 @@ def polyline_distance(spark, d):
     return o.select("row_seq", F.round(joins.polyline_distance(o, _LINE, "x", "y"), 6).alias("distance"))
 
 
-@query("SELECT entity, 'left' AS side FROM (SELECT DISTINCT entity FROM obs WHERE event_type = 'click' EXCEPT SELECT DISTINCT entity FROM obs WHERE event_type = 'purchase') UNION ALL SELECT entity, 'right' FROM (SELECT DISTINCT entity FROM obs WHERE event_type = 'purchase' EXCEPT SELECT DISTINCT entity FROM obs WHERE event_type = 'click')")
+@query("SELECT entity, day, 'left' AS side FROM (SELECT DISTINCT entity, epoch_ns // 86400000000000 AS day FROM obs WHERE event_type = 'click' EXCEPT SELECT DISTINCT entity, epoch_ns // 86400000000000 FROM obs WHERE event_type = 'purchase') UNION ALL SELECT entity, day, 'right' FROM (SELECT DISTINCT entity, epoch_ns // 86400000000000 AS day FROM obs WHERE event_type = 'purchase' EXCEPT SELECT DISTINCT entity, epoch_ns // 86400000000000 FROM obs WHERE event_type = 'click')")
 def set_equality(spark, d):
-    o = observations(spark, d)
-    side = lambda t: o.where(F.col("event_type") == t).select("entity").distinct()
+    """The days on which an entity clicked and those on which it bought, less what both have."""
+    o = observations(spark, d).withColumn("day", F.floor(F.col("epoch_ns") / DAY_NS))
+    side = lambda t: o.where(F.col("event_type") == t).select("entity", "day").distinct()
     return joins.difference(side("click"), side("purchase"))
 
 
-@query(f"SELECT CAST(g AS BIGINT) AS slot FROM (SELECT unnest(range(lo, hi + 1)) AS g FROM (SELECT min(epoch_ns // {state.HOUR_NS}) AS lo, max(epoch_ns // {state.HOUR_NS}) AS hi FROM obs)) WHERE g NOT IN (SELECT epoch_ns // {state.HOUR_NS} FROM obs)")
+@query("SELECT CAST(g AS BIGINT) AS slot FROM (SELECT unnest(range(lo, hi + 1)) AS g FROM (SELECT min(epoch_ns // 60000000000) AS lo, max(epoch_ns // 60000000000) AS hi FROM obs)) WHERE g NOT IN (SELECT epoch_ns // 60000000000 FROM obs)")
 def schedule_check(spark, d):
-    h = observations(spark, d).select(F.floor(F.col("epoch_ns") / state.HOUR_NS).alias("slot"))
-    want = h.agg(F.min("slot").alias("lo"), F.max("slot").alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("slot"))
-    return want.join(h.distinct(), "slot", "left_anti")
+    """The minutes in which no row stands."""
+    return timeline.empty_slots(observations(spark, d), 60_000_000_000)
 
 
 # expressions
@@ -715,23 +733,23 @@ def wrap_bearing(spark, d):
     return o.select("row_seq", geo.wrap180(F.col("x")).alias("wrapped"), F.round(geo.bearing_deg(F.col("x"), F.col("y") - 500), 6).alias("bearing"))
 
 
-@query()
+@query("SELECT c_custkey, CAST(7000.0 + c_custkey % 900 * 10 AS DOUBLE) AS sma_km, CAST(c_custkey % 80 / 100.0 AS DOUBLE) AS ecc, CAST(c_custkey % 170 + 5.0 AS DOUBLE) AS inc_deg, CAST(c_custkey % 360 AS DOUBLE) AS raan_deg, CAST(CASE WHEN c_custkey % 80 = 0 THEN 0 ELSE c_custkey % 350 END AS DOUBLE) AS aop_deg, round(2 * pi() * sqrt(power(7000.0 + c_custkey % 900 * 10, 3) / 398600.4418), 4) AS period_s, round(sqrt(398600.4418 * (7000.0 + c_custkey % 900 * 10) * (1 - power(c_custkey % 80 / 100.0, 2))), 2) AS momentum FROM customer")
 def orbit_elements(spark, d):
-    """Kepler orbits by customer, turned into states and back into elements."""
+    """Kepler orbits by customer, turned into states, carried on by 1000 s and back, and turned into elements again."""
     k = F.col("c_custkey")
-    c = _table(spark, d, "customer").select("c_custkey", (7000.0 + k % 900 * 10).alias("sma"), (k % 80 / 100.0).alias("ecc"), F.radians(k % 170 + 5.0).alias("inc"), F.radians(k % 360 * 1.0).alias("raan"), F.radians(k % 350 * 1.0).alias("aop"), F.radians(k % 300 * 1.0).alias("mean"), F.lit(398600.4418).alias("mu"))
-    return c.withColumn("r", orbits.kepler_position("sma", "ecc", "inc", "raan", "aop", "mean", "mu")).select("c_custkey", F.round(quat.norm(F.col("r")), 3).alias("radius_km"))
+    angle = lambda c: F.radians(c * 1.0)
+    c = _table(spark, d, "customer").select("c_custkey", (7000.0 + k % 900 * 10).alias("sma"), (k % 80 / 100.0).alias("ecc"), F.radians(k % 170 + 5.0).alias("inc"), angle(k % 360).alias("raan"), angle(k % 350).alias("aop"), angle(k % 300).alias("mean"), F.lit(398600.4418).alias("mu"))
+    c = c.withColumn("s", orbits.kepler_states("sma", "ecc", "inc", "raan", "aop", "mean", "mu"))
+    for dt in (1000.0, -1000.0):
+        c = c.withColumn("s", orbits.propagated(F.col("s.position"), F.col("s.velocity"), F.lit(dt), F.col("mu")))
+    c = c.select("c_custkey", "mu", F.col("s.position").alias("r"), F.col("s.velocity").alias("v"))
+    e = orbits.elements(F.col("r"), F.col("v"), F.col("mu"))
+    turn = lambda name: F.pmod(F.round(e[name], 4), F.lit(360.0)).alias(name)
+    return c.select("c_custkey", F.round(e["sma_km"], 4).alias("sma_km"), F.round(e["ecc"], 6).alias("ecc"), F.round(e["inc_deg"], 4).alias("inc_deg"), turn("raan_deg"), F.when(F.round(e["ecc"], 6) == 0, 0.0).otherwise(turn("aop_deg")).alias("aop_deg"), F.round(e["period_s"], 4).alias("period_s"), F.round(quat.norm(quat.cross(F.col("r"), F.col("v"))), 2).alias("momentum"))
 
 
-@query()
-def convex_hull(spark, d):
-    return joins.convex_hulls(_flat(observations(spark, d)), "entity")
 
 
-@query()
-def greedy_assign(spark, d):
-    o = _flat(observations(spark, d)).select("batch_seq", "entity", "parent", F.round("x", 6).alias("cost"))
-    return joins.assign_greedily(o, "batch_seq", "entity", "parent", "cost")
 
 
 @query()
@@ -747,52 +765,46 @@ def replay_referee(spark, d):
     return joins.standings(result, "leg").drop("rounded")
 
 
-@query("SELECT x.batch_seq, count(*) AS n FROM obs x GROUP BY ALL ORDER BY ALL")
+@query("SELECT row_seq, CASE WHEN batch_seq % 2 = 0 THEN 0 ELSE 1 END AS part FROM obs")
 def concat_batches(spark, d):
     o = observations(spark, d)
-    return o.where("batch_seq % 2 = 0").unionByName(o.where("batch_seq % 2 = 1")).groupBy("batch_seq").agg(F.count("*").alias("n"))
+    return R.concat([o.where("batch_seq % 2 = 0"), o.where("batch_seq % 2 = 1")], "part").select("row_seq", "part")
 
 
-@query("SELECT entity, row_seq, row_number() OVER (ORDER BY entity, epoch_ns, row_seq) AS place FROM obs QUALIFY place <= 1000")
+@query("SELECT entity, row_seq, row_number() OVER (ORDER BY entity, epoch_ns, row_seq) AS place FROM obs")
 def sort_by_epoch(spark, d):
-    """The first 1,000 places, as the SQL has it, of the sort of all rows."""
-    return sort_all_by_epoch(spark, d).where("place <= 1000")
+    return R.placed(observations(spark, d).select("entity", "epoch_ns", "row_seq"), "entity", "epoch_ns", "row_seq").select("entity", "row_seq", "place")
 
 
-@query("SELECT entity, row_seq, row_number() OVER (ORDER BY entity, epoch_ns, row_seq) AS place FROM obs")
-def sort_all_by_epoch(spark, d):
-    return R.placed(observations(spark, d).select("entity", "epoch_ns", "row_seq"), "entity", "epoch_ns", "row_seq").select("entity", "row_seq", "place")
 
 
 @query("SELECT row_seq FROM obs WHERE y > 300 AND x > 20")
 def mask_apply(spark, d):
-    o = _flat(observations(spark, d)).withColumn("mask", (F.col("y") > 300) & (F.col("x") > 20))
-    return o.where("mask").select("row_seq")
+    o = _flat(observations(spark, d))
+    return R.masked(o, F.when(F.col("y") > 300, F.col("x") > 20)).select("row_seq")
 
 
-@query("SELECT count(*) FILTER (parent <> -399) > 0 AS refers, count(*) FILTER (parent <> -399) AS n FROM obs")
+@query("SELECT batch_seq, count(*) FILTER (parent <> -399) > 0 AS refers FROM obs WHERE batch_seq <= 3 GROUP BY batch_seq UNION ALL SELECT -1, false")
 def rows_on_entity_frames(spark, d):
+    """Whether any row of a batch is on an entity's frame: of the first four, and of the rows that aren't."""
     o = observations(spark, d)
-    return o.agg((F.count_if(~is_earth(F.col("parent"))) > 0).alias("refers"), F.count_if(~is_earth(F.col("parent"))).alias("n"))
+    parts = {b: o.where(F.col("batch_seq") == b) for b in range(4)} | {-1: o.where(F.col("parent") == EARTH)}
+    return spark.createDataFrame([(b, topology.refers_to_entities(p, is_earth)) for b, p in parts.items()], "batch_seq bigint, refers boolean")
 
 
 @query("SELECT entity, max(x) - min(x) AS span, max(abs(y)) AS largest, round(min(sqrt(x*x + y*y + z*z)), 6) AS nearest, round(max(sqrt(x*x + y*y + z*z)), 6) AS farthest FROM obs GROUP BY entity")
 def extrema_checks(spark, d):
-    o = _flat(observations(spark, d))
-    r = quat.norm(F.col("position"))
-    return o.groupBy("entity").agg((F.max("x") - F.min("x")).alias("span"), F.max(F.abs("y")).alias("largest"), F.round(F.min(r), 6).alias("nearest"), F.round(F.max(r), 6).alias("farthest"))
+    return timeline.extrema(_flat(observations(spark, d))).select("entity", "span", "largest", *_r("nearest", "farthest"))
 
 
 @query("SELECT entity, arg_min(row_seq, row(x*x + y*y, row_seq)) AS row_seq FROM obs GROUP BY entity")
 def perihelion(spark, d):
-    o = _flat(observations(spark, d))
-    return o.groupBy("entity").agg(F.min_by("row_seq", F.struct(F.col("x") * F.col("x") + F.col("y") * F.col("y"), "row_seq")).alias("row_seq"))
+    return timeline.closest_row(_flat(observations(spark, d)), F.col("x") * F.col("x") + F.col("y") * F.col("y"))
 
 
 @query("SELECT parent, round(median(x / (y + 1)), 6) AS slip FROM obs GROUP BY parent")
 def median_slip(spark, d):
-    o = _flat(observations(spark, d))
-    return o.groupBy("parent").agg(F.round(F.median(F.col("x") / (F.col("y") + 1)), 6).alias("slip"))
+    return timeline.median_ratio(_flat(observations(spark, d)), F.col("x"), F.col("y") + 1, "parent").select("parent", F.round("ratio", 6).alias("slip"))
 
 
 @query("SELECT entity, round(max(CASE WHEN abs(y - 500) <= 100 THEN x END) / median(x), 6) AS peak FROM obs GROUP BY entity HAVING median(x) > 0")
@@ -802,13 +814,10 @@ def median_floor_peak(spark, d):
     return timeline.peak_over_floor(o.join(some, "entity"), "entity", "y", "x", 500, 100).select("entity", F.round("peak", 6).alias("peak"))
 
 
-@query("SELECT p.entity, round(min(sqrt(power(p.x - q.x, 2) + power(p.y - q.y, 2))), 6) AS distance FROM obs p JOIN obs q ON p.parent = q.parent AND p.batch_seq = q.batch_seq AND p.entity <> q.entity GROUP BY p.entity")
+@query("SELECT p.row_seq, round(min(sqrt(power(p.x - q.x, 2) + power(p.y - q.y, 2))), 6) AS distance FROM obs p LEFT JOIN obs q ON p.parent = q.parent AND p.batch_seq = q.batch_seq AND p.entity <> q.entity GROUP BY p.row_seq")
 def nearest_moving(spark, d):
-    o = _flat(observations(spark, d)).select("entity", "parent", "batch_seq", "x", "y")
-    q = o.select(F.col("entity").alias("e2"), "parent", "batch_seq", F.col("x").alias("qx"), F.col("y").alias("qy"))
-    pair = o.join(q, ["parent", "batch_seq"]).where("entity <> e2")
-    dist = F.sqrt((F.col("x") - F.col("qx")) ** 2 + (F.col("y") - F.col("qy")) ** 2)
-    return pair.groupBy("entity").agg(F.round(F.min(dist), 6).alias("distance"))
+    o = _flat(observations(spark, d)).select("row_seq", "entity", "parent", "batch_seq", "x", "y")
+    return joins.nearest_moving(o).select("row_seq", F.round("distance", 6).alias("distance"))
 
 
 def _names(spark, d):
@@ -819,7 +828,7 @@ def _names(spark, d):
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY id) AS place FROM (" + _MINT_SQL.format(key="c_custkey", kind="01", kind1="1", authority="'customers'", name="c_name", table="customer") + ")")
 def export_names(spark, d):
-    return _names(spark, d).withColumn("place", F.row_number().over(Window.orderBy("prescribed_id")).cast("bigint")).select("c_custkey", "place")
+    return R.placed(_names(spark, d), "prescribed_id").select("c_custkey", "place")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey % 10 = 3")
@@ -845,11 +854,14 @@ def symmetric_diff(spark, d):
     return joins.difference(n.where("c_custkey % 5 = 0").select("common_name"), n.where("c_custkey % 7 = 0").select("common_name"))
 
 
-@query("SELECT true AS equal, count(*) AS n FROM obs")
+@query("SELECT true AS equal, false AS altered_equal, count(*) FILTER (row_seq % 10 = 0) AS n_left, count(*) FILTER (row_seq % 10 = 0) + count(*) FILTER (row_seq % 100 = 3) AS n_right FROM obs")
 def ledger_equal(spark, d):
+    """A ledger's rows against themselves dealt anew, and against a copy with some rows altered and some twice."""
     o = observations(spark, d).select("row_seq", "entity", "epoch_ns")
+    altered = o.withColumn("entity", F.when(F.col("row_seq") % 10 == 0, F.col("entity") + 1).otherwise(F.col("entity"))).unionByName(o.where("row_seq % 100 = 3"))
     same = joins.same_rows(o, o.repartition(7, "entity"))
-    return o.agg(F.lit(same).alias("equal"), F.count("*").alias("n"))
+    n = joins.difference(o, altered).groupBy().agg(F.count_if(F.col("side") == "left").alias("n_left"), F.count_if(F.col("side") == "right").alias("n_right"))
+    return n.select(F.lit(same).alias("equal"), ((F.col("n_left") + F.col("n_right")) == 0).alias("altered_equal"), "n_left", "n_right")
 
 
 @query("SELECT row_seq, round(cos(radians(h / 2)), 6) AS w, round(sin(radians(h / 2)), 6) AS z FROM (SELECT row_seq, CASE WHEN half_deg <= 90 THEN half_deg ELSE half_deg - 180 END AS h FROM obs)")
@@ -888,21 +900,22 @@ def spheroid_speed(spark, d):
 
 @query(f", {_LOG} SELECT row_number() OVER (ORDER BY seq) AS place, child, parent FROM log /* obs */")
 def export_topology(spark, d):
-    return _log(spark, d).withColumn("place", F.row_number().over(Window.orderBy("seq")).cast("bigint")).select("place", "child", "parent")
+    return R.placed(_log(spark, d), "seq").select("place", "child", "parent")
 
 
-@query("SELECT batch_seq, count(*) || ' rows, ' || count(DISTINCT entity) || ' entities' AS text FROM obs GROUP BY batch_seq")
-def describe(spark, d):
-    return observations(spark, d).groupBy("batch_seq").agg(F.format_string("%d rows, %d entities", F.count("*"), F.count_distinct("entity")).alias("text"))
 
 
-@query()
+@query("""SELECT entity, i, round(x + (nx - x) * ((i * 250.0 - s) / leg), 6) AS x, round(y + (ny - y) * ((i * 250.0 - s) / leg), 6) AS y FROM (SELECT *, unnest(range(CAST(ceil(s / 250.0) AS BIGINT), CAST(ceil((s + leg) / 250.0) AS BIGINT))) AS i FROM
+(SELECT *, coalesce(sum(leg) OVER (PARTITION BY entity ORDER BY row_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS s FROM (SELECT *, sqrt(power(nx - x, 2) + power(ny - y, 2)) AS leg FROM (SELECT entity, row_seq, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM obs WINDOW w AS (PARTITION BY entity ORDER BY row_seq)))) WHERE leg > 0)""")
 def resample_polyline(spark, d):
     o = _flat(observations(spark, d))
     return timeline.resample(o, "entity", "row_seq", "x", "y", 250.0).select("entity", "i", *_r("x", "y"))
 
 
-@query()
+@query(""", s AS (SELECT entity, epoch_ns, row_seq, x, y, z FROM obs), a AS (SELECT entity, arg_min(struct_pack(x := x, y := y, z := z), row(epoch_ns, row_seq)) AS a, avg(sqrt(x*x + y*y + z*z)) AS radius FROM s GROUP BY entity),
+c AS (SELECT s.entity, epoch_ns, row_seq, a.a, radius, a.a.y * z - a.a.z * y AS nx, a.a.z * x - a.a.x * z AS ny, a.a.x * y - a.a.y * x AS nz FROM s JOIN a USING (entity)),
+b AS (SELECT entity, arg_min(struct_pack(a := a, radius := radius, nx := nx, ny := ny, nz := nz, n := sqrt(nx*nx + ny*ny + nz*nz)), row(-sqrt(nx*nx + ny*ny + nz*nz), epoch_ns, row_seq)) AS b FROM c GROUP BY entity),
+u AS (SELECT entity, b.radius AS radius, b.a.x / l AS ux, b.a.y / l AS uy, b.a.z / l AS uz, b.nx / b.n AS wx, b.ny / b.n AS wy, b.nz / b.n AS wz FROM (SELECT *, sqrt(b.a.x * b.a.x + b.a.y * b.a.y + b.a.z * b.a.z) AS l FROM b) WHERE b.n / (b.radius * b.radius) >= 1e-6)
+SELECT entity, CAST(i AS INTEGER) AS i, round(radius * (cos(2 * pi() * i / 192) * ux + sin(2 * pi() * i / 192) * (wy * uz - wz * uy)), 4) AS x, round(radius * (cos(2 * pi() * i / 192) * uy + sin(2 * pi() * i / 192) * (wz * ux - wx * uz)), 4) AS y, round(radius * (cos(2 * pi() * i / 192) * uz + sin(2 * pi() * i / 192) * (wx * uy - wy * ux)), 4) AS z FROM u, range(193) r(i) /* obs */""")
 def fit_circle(spark, d):
-    o = _flat(observations(spark, d)).groupBy("entity").agg(F.avg("x").alias("radius"))
-    return timeline.circle_points(o.withColumns({"u": quat.vector(1, 0, 0), "v": quat.vector(0, 1, 0)})).select("entity", "i", *_r("x", "y", "z"))
+    return timeline.circle_points(timeline.fit_circle(_flat(observations(spark, d)))).select("entity", "i", *[F.round(c, 4).alias(c) for c in "xyz"])

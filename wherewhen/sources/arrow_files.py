@@ -48,23 +48,53 @@ def read_bytes(spark: SparkSession, data: bytes) -> DataFrame:
         return spark.createDataFrame(_table(r.read_all()))
 
 
-def read_file(spark: SparkSession, path: str) -> DataFrame:
-    """All batches of an Arrow IPC file, through the driver; a file with none has its schema."""
-    with pa.memory_map(path) as f:
-        check_ipc(f.read(6), path)
-        f.seek(0)
-        with pa.ipc.open_file(f) as r:
-            return spark.createDataFrame(_table(r.read_all()))
+def _opened(data: bytes, what: str):
+    return pa.ipc.open_file(pa.BufferReader(check_ipc(data, what)))
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text, from whatever store Spark reads."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, to whatever store Spark writes."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(text.encode())
+    out.close()
 
-def read_schema(path: str) -> T.StructType:
+
+def read_schema(spark: SparkSession, path: str) -> T.StructType:
+    """The schema of an Arrow IPC file, or of the first file of a folder of them; a file without batches has one too."""
     from pyspark.sql.pandas.types import from_arrow_schema
 
-    with pa.memory_map(path) as f, pa.ipc.open_file(f) as r:
-        return from_arrow_schema(_table(r.schema.empty_table()).schema)
+    def peek(batches):
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                yield pa.record_batch({"schema": pa.array([_table(_opened(data, name).schema.empty_table()).schema.serialize().to_pybytes()], pa.binary())})
+
+    found = spark.read.format("binaryFile").load(path).limit(1).select("path", "content").mapInArrow(peek, "schema binary").first()
+    if found is None:
+        raise ValueError(f"{path} holds no files")
+    return from_arrow_schema(pa.ipc.read_schema(pa.BufferReader(found["schema"])))
+
+
+def read_file(spark: SparkSession, path: str) -> DataFrame:
+    """All batches of an Arrow IPC file, or of a folder of files of one schema; a file with none has its schema. Files are read by executors, each whole by one."""
+
+    def batches_of(batches):
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with _opened(data, name) as r:
+                    for i in range(r.num_record_batches):
+                        yield from _table(pa.Table.from_batches([r.get_batch(i)])).to_batches()
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(batches_of, read_schema(spark, path))
 
 
 def write_bytes(df: DataFrame, rows_per_batch: int = 65_536) -> bytes:
+    """One self-contained file in memory; for results that fit the driver."""
     table, sink = df.toArrow(), pa.BufferOutputStream()
     with pa.ipc.new_file(sink, table.schema) as w:
         w.write_table(table, rows_per_batch)
@@ -72,11 +102,42 @@ def write_bytes(df: DataFrame, rows_per_batch: int = 65_536) -> bytes:
 
 
 def write_file(df: DataFrame, path: str, rows_per_batch: int = 65_536) -> None:
-    """One self-contained file; for results that fit the driver."""
+    """One self-contained file on this machine; for results that fit the driver. write_files() is for others."""
     with open(path, "wb") as f:
         f.write(write_bytes(df, rows_per_batch))
 
 
+def write_files(df: DataFrame, path: str, rows_per_batch: int = 65_536) -> DataFrame:
+    """A folder of self-contained files, one for each partition with rows, written by the executors; (file, n_rows) of each.
+
+    path is of a file system that pyarrow knows and all executors share. A task that is run again writes its file again.
+    """
+    from pyarrow import fs
+
+    def store(batches):
+        from pyspark import TaskContext
+
+        system, folder = fs.FileSystem.from_uri(path)
+        system.create_dir(folder, recursive=True)
+        name, n, writer, out = f"part-{TaskContext.get().partitionId():05d}.arrow", 0, None, None
+        draft = f"{folder}/.{name}-{TaskContext.get().taskAttemptId()}"
+        for batch in batches:
+            if writer is None:
+                out = system.open_output_stream(draft)
+                writer = pa.ipc.new_file(out, batch.schema)
+            for at in range(0, batch.num_rows, rows_per_batch):
+                writer.write_batch(batch.slice(at, rows_per_batch))
+            n += batch.num_rows
+        if writer is not None:
+            writer.close()
+            out.close()
+            system.move(draft, f"{folder}/{name}")
+            yield pa.record_batch({"file": pa.array([name]), "n_rows": pa.array([n], pa.int64())})
+
+    rows = df.mapInArrow(store, "file string, n_rows long").collect()  # one row a partition
+    return df.sparkSession.createDataFrame([tuple(r) for r in rows], "file string, n_rows long")
+
+
 def write_schema(schema: T.StructType, path: str) -> None:
     with open(path, "w") as f:
         f.write(schema.json())

@@ -18,9 +18,9 @@ def stream_into(ledger: Ledger, stream: DataFrame, checkpoint: str, decide: Call
     decide is called after each with the current state: the place for policies that act on it.
     """
 
-    def store(batch: DataFrame, _: int) -> None:
+    def store(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            ledger.append(batch)
+            ledger.append(batch, token=f"{checkpoint}#{number}")  # a micro-batch that is run again is known by its number
             if decide is not None:
                 decide(ledger.current_state())
 
@@ -54,3 +54,22 @@ def topology_stream(stream: DataFrame, key: str = "entity", parent: str = "paren
             state.update((at, now))
 
     return stream.select(key, parent, epoch).groupBy(key).applyInPandasWithState(fold, "child bigint, parent bigint, epoch bigint", "at bigint, now bigint", "append", "NoTimeout")
+
+
+def pose_stream(stream: DataFrame, key: str = "entity", epoch: str = "epoch_ns", values: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """(key, epoch, values) of every key's latest row so far, whenever that changes: a running cache of poses. Of rows at one epoch the first to come stays."""
+    kinds = dict(stream.dtypes)
+
+    def fold(k, frames, state):
+        best = state.get if state.exists else None
+        before = best
+        for pdf in frames:
+            for row in pdf[[epoch, *values]].itertuples(index=False):
+                if best is None or row[0] > best[0]:
+                    best = (int(row[0]), *map(float, row[1:]))
+        if best != before:
+            state.update(best)
+            yield pd.DataFrame([(k[0], *best)], columns=[key, epoch, *values])
+
+    held = f"{epoch} bigint, " + ", ".join(f"{v} double" for v in values)
+    return stream.select(key, epoch, *values).groupBy(key).applyInPandasWithState(fold, f"{key} {kinds[key]}, {held}", held, "update", "NoTimeout")
