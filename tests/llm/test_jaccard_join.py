@@ -63,14 +63,18 @@ def test_matches_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, jaccard_components(df).collect()), key=str) == expected
     kept = sorted((r.doc_id for r in keep_one(df).collect()), key=str)
     assert kept == sorted((i for i, _, c in expected if i is None or c == i), key=str)
-    monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 7)  # many blocks a family, and rounds of Voronoi cells
-    rounds = []
-    seen = jaccard_join._recursive
-    monkeypatch.setattr(jaccard_join, "_recursive", lambda *x: rounds.append(seen(*x)) or rounds[-1])
-    assert sorted(map(tuple, jaccard_components(df).collect()), key=str) == expected
-    assert rounds and len(rounds[0]) > 2
-    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 4000)
-    assert sorted(map(tuple, jaccard_components(df).collect()), key=str) == expected
+
+
+def test_rounds_of_cells_miss_nothing(spark, monkeypatch):
+    """Blocks so small that families take several rounds of pivots, Voronoi cells and windows, and pairs of blocks."""
+    rows = corpus(random.Random(12), 220)
+    df, rounds = spark.createDataFrame(rows, "doc_id long, text string"), []
+    monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 6)
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 8000)
+    seen = jaccard_join._blocked
+    monkeypatch.setattr(jaccard_join, "_blocked", lambda f, s, labels, leads: rounds.append(leads) or seen(f, s, labels, leads))
+    assert sorted(map(tuple, jaccard_components(df).collect()), key=str) == brute(rows)
+    assert len(rounds) > 4
 
 
 def test_without_ids(spark):

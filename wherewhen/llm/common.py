@@ -42,16 +42,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read back: its lineage ends there and lost executors don't matter."""
+def settled(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """df written as a table in the shared folder and read back: its lineage ends there and lost executors don't matter. files: at most so many, for tables that are small beside the stages that make them."""
     import uuid
 
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wherewhen-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Text bytes for each file of a table that has some bytes a document.
+NARROW_BYTES = 16 << 20
+
+
+def narrow_files(size: int) -> int:
+    """Files for tables that have some bytes for each document of size bytes of text."""
+    return max(12, math.ceil(size / NARROW_BYTES))
+
+
 FILTER_BITS = 1 << 26
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wherewhen.llm.common import chunked, settled, text_size, without
+from wherewhen.llm.common import chunked, narrow_files, settled, text_size, without
 from wherewhen.llm.components import components
 from wherewhen.llm.grams import squeeze, unsqueeze
 from wherewhen.llm.substring_dedup import CHUNK_BYTES, SHARD_WINDOWS, SKETCH_DDL, least_cells, sketch_cells, sketch_rows
@@ -308,44 +308,44 @@ def _links(out: DataFrame) -> DataFrame:
     return out.where("b IS NOT NULL").select("a", "b")
 
 
-def _recursive(open_: DataFrame, sets: DataFrame, labels: DataFrame) -> list[DataFrame]:
-    """Tables of links among the members of families (family, member, n)."""
+def _recursive(open_: DataFrame, sets: DataFrame, labels: DataFrame, files: int) -> DataFrame:
+    """The links among the members of families (family, member, n), as (a, b)."""
     none = open_.sparkSession.createDataFrame([], "family long, member long")
-    found, stuck = [], None
-    while True:
-        sized = open_.groupBy("family").agg(F.count("*").alias("members"), (F.sum("n") * 8).alias("bytes"))
-        large = settled(sized.where((F.col("members") > BLOCK_MEMBERS) | (F.col("bytes") > BLOCK_BYTES)), "large-families")
-        small = open_.join(large, "family", "left_anti")
-        found.append(_links(settled(_blocked(small, sets, labels, none).groupBy("family", "block").applyInArrow(_join, OUT), "links")))
-        if large.isEmpty():
-            break
-        rest = open_.join(large.select("family"), "family", "left_semi")
-        named = rest.join(labels.select(F.col("id").alias("member"), "component"), "member", "left").withColumn("component", F.coalesce("component", "member"))
+
+    def sized(cells: DataFrame) -> DataFrame:
+        sizes = cells.groupBy("family").agg(F.count("*").alias("members"), (F.sum("n") * 8).alias("bytes"))
+        return cells.join(sizes, "family").withColumn("large", (F.col("members") > BLOCK_MEMBERS) | (F.col("bytes") > BLOCK_BYTES))
+
+    todo = settled(sized(open_), "sized", files)
+    found, leaves, stuck, large = [], [todo.where("NOT large")], [], todo.where("large")
+    while not large.isEmpty():
+        named = large.join(labels.select(F.col("id").alias("member"), "component"), "member", "left").withColumn("component", F.coalesce("component", "member"))
         # a pivot is a document of some component, of those whose hashes fall together the one with the least hash
         leads = named.groupBy("family", F.pmod(F.xxhash64("component", "family"), F.lit(PIVOTS)).alias("_spot")).agg(F.min_by("member", F.struct(F.xxhash64("member", "family"), "member")).alias("member")).select("family", "member")
-        out = settled(_blocked(rest, sets, labels, settled(leads, "pivots")).groupBy("family", "block").applyInArrow(_cells, OUT), "cells")
+        out = settled(_blocked(large, sets, labels, settled(leads, "pivots", files)).groupBy("family", "block").applyInArrow(_cells, OUT), "cells")
         found.append(_links(out))
-        cells = out.where("center IS NOT NULL").select("family", "center", "member").distinct().join(rest, ["family", "member"])
-        kept = settled(cells.groupBy("family", "center").agg(F.count("*").alias("own")).join(large, "family").withColumn("smaller", F.col("own") < 0.7 * F.col("members")), "cell-sizes")
-        cells = cells.join(kept.select("family", "center", "smaller"), ["family", "center"])
-        named = cells.select(F.xxhash64("family", "center").alias("family"), "member", "n", "smaller")
-        flat = settled(named.where("NOT smaller").drop("smaller"), "flat-cells")
-        stuck = flat if stuck is None else stuck.unionByName(flat)
-        open_ = settled(named.where("smaller").drop("smaller"), "open-cells")
-    if stuck is not None and not stuck.isEmpty():
-        rows = _blocked(stuck, sets, labels, none)
-        blocks_ = rows.select("family", "block").distinct()
+        cells = out.where("center IS NOT NULL").select("family", "center", "member").distinct().join(large.select("family", "member", "n", F.col("members").alias("_all")), ["family", "member"])
+        cells = sized(cells.select(F.xxhash64("family", "center").alias("family"), "member", "n", "_all")).withColumn("smaller", F.col("members") < 0.7 * F.col("_all"))
+        todo = settled(cells.drop("_all"), "sized", files)
+        leaves.append(todo.where("smaller AND NOT large"))
+        stuck.append(todo.where("NOT smaller"))
+        large = todo.where("smaller AND large")
+    rows = _blocked(reduce(DataFrame.union, [x.select("family", "member", "n") for x in leaves]), sets, labels, none).withColumn("pair", F.lit("0"))
+    if stuck:
+        whole = _blocked(reduce(DataFrame.union, [x.select("family", "member", "n") for x in stuck]), sets, labels, none)
+        blocks_ = whole.select("family", "block").distinct()
         pair = blocks_.join(blocks_.select("family", F.col("block").alias("other")), "family").where("block <= other")
         pair = pair.select("family", F.concat_ws("-", "block", "other").alias("pair"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
-        found.append(_links(settled(rows.join(pair, ["family", "block"]).groupBy("family", "pair").applyInArrow(_join, OUT), "links")))
-    return found
+        rows = rows.unionByName(whole.join(pair, ["family", "block"]))
+    found.append(_links(settled(rows.groupBy("family", "pair").applyInArrow(_join, OUT), "links")))
+    return reduce(DataFrame.union, found)
 
 
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+def merged(labels: DataFrame, links: DataFrame, files: int) -> DataFrame:
     """(id, component) after links (a, b) between the components of labels, or documents without one: only what the links join is worked out anew."""
-    more = components(links)
+    more = components(links, files)
     moved = labels.join(more.select(F.col("id").alias("component"), F.col("component").alias("_top")), "component", "left").select("id", F.coalesce("_top", "component").alias("component"))
-    return settled(moved.unionByName(more.join(labels.select("id"), "id", "left_anti").select("id", "component")), "labels")
+    return settled(moved.unionByName(more.join(labels.select("id"), "id", "left_anti").select("id", "component")), "labels", files)
 
 
 def linked_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -353,7 +353,7 @@ def linked_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = text_size(rows)
-    shards = max(16, math.ceil(size / 10 / SHARD_WINDOWS))
+    shards, files = max(16, math.ceil(size / 10 / SHARD_WINDOWS)), narrow_files(size)
     texts = chunked(rows, size, chunk_bytes=CHUNK_BYTES)
     sketch = texts.groupBy("chunk").applyInArrow(_sketch(shards), SKETCH_DDL)
     often = sketch.groupBy("shard").applyInArrow(_estimate, "chunk long, shard long, least binary")
@@ -362,35 +362,35 @@ def linked_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = max(8, math.ceil(size / 100 / SHARD_ENTRIES))
     postings = seen.where("set IS NOT NULL").select("doc_id", "n", "rare").mapInArrow(_postings(parts), "shard int, keys binary, at binary, ids binary, sizes binary")
     families = postings.groupBy("shard").applyInArrow(_families, "pivot long, member long, n long, times long")
-    families = settled(families.groupBy("pivot", "member").agg(F.sum("times").alias("times"), F.max("n").alias("n")), "families")
+    families = settled(families.groupBy("pivot", "member").agg(F.sum("times").alias("times"), F.max("n").alias("n")), "families", files)
 
     best = families.groupBy("member").agg(F.max_by(F.struct("pivot", "n"), F.struct("times", -F.col("pivot"))).alias("best")).select(F.col("best.pivot").alias("family"), "member", F.col("best.n").alias("n"))
     lead = lambda f: f.select("family", F.col("family").alias("member")).distinct()
     none = spark.createDataFrame([], "id long, component long")
     links_ = _links(settled(_blocked(best, sets, none, lead(best)).groupBy("family", "block").applyInArrow(_join, OUT), "links"))
-    labels = components(links_)
+    labels = components(links_, files)
 
     def mixed() -> DataFrame:
         """The families that hold several components."""
         named = families.join(labels.select(F.col("id").alias("member"), F.col("component").alias("c")), "member", "left").join(labels.select(F.col("id").alias("pivot"), F.col("component").alias("pc")), "pivot", "left")
         own, top = F.coalesce("c", "member"), F.coalesce("pc", "pivot")
         some = named.groupBy("pivot").agg((F.min(own) != F.max(own)).alias("inside"), F.max(own != top).alias("outside")).where("inside OR outside").select("pivot")
-        return settled(families.join(some, "pivot").select(F.col("pivot").alias("family"), "member", "n"), "open-families")
+        return settled(families.join(some, "pivot").select(F.col("pivot").alias("family"), "member", "n"), "open-families", files)
 
     open_ = mixed()
     if not open_.isEmpty():
         far = settled(_blocked(open_, sets, labels, lead(open_)).groupBy("family", "block").applyInArrow(_measure, OUT), "distances")
         near = _links(far)
         if not near.isEmpty():
-            labels = merged(labels, near)
+            labels = merged(labels, near, files)
             open_ = mixed()
         d = far.where("center IS NOT NULL").select("family", "member", "d")
         outer = d.where(F.col("d") > RADIUS).groupBy("family").agg(F.min("d").alias("edge"))
         window = d.join(outer, "family").where(F.col("d") >= F.col("edge") - RADIUS - 1e-9).select("family", "member").distinct()
-        kept = settled(open_.join(window, ["family", "member"]), "windows")
-        more = reduce(DataFrame.union, _recursive(kept, sets, labels))
+        kept = settled(open_.join(window, ["family", "member"]), "windows", files)
+        more = _recursive(kept, sets, labels, files)
         if not more.isEmpty():
-            labels = merged(labels, more)
+            labels = merged(labels, more, files)
     return counts, labels
 
 
