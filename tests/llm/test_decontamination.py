@@ -1,5 +1,6 @@
 import random
 
+from wherewhen.llm import decontamination
 from wherewhen.llm.decontamination import Index, contaminated, decontaminate, normal_words, overlap, scan, split_item
 
 
@@ -68,3 +69,39 @@ def test_groups_do_not_change_scores(spark, monkeypatch):
     whole = sorted(map(tuple, contaminated(docs, df).collect()))
     monkeypatch.setattr("wherewhen.llm.decontamination.GROUP_ITEMS", 12)
     assert sorted(map(tuple, contaminated(docs, df).collect())) == whole and len(whole) >= 20
+
+
+def test_scores_match_bm25_by_definition(spark, monkeypatch):
+    """All pairs at or above the threshold, with scores worked out from the formula over dictionaries, however the items are grouped."""
+    import math
+    import random
+    from collections import Counter
+
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcde") for _ in range(2))
+    items = [(i, " ".join(word() for _ in range(rnd.randint(3, 14)))) for i in range(60)]
+    texts = [(i, " ".join(word() for _ in range(rnd.randint(0, 90)))) for i in range(40)]
+    texts += [(100 + i, " ".join([word(), t, word()])) for i, t in items[::7]]
+    split = {i: t.split() for i, t in items}
+    df_, mean = Counter(w for t in split.values() for w in set(t)), sum(map(len, split.values())) / len(split)
+    weight = {}
+    for i, t in split.items():
+        raw = {w: math.log(1 + (60 - df_[w] + 0.5) / (df_[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w, n in Counter(t).items()}
+        weight[i] = {w: x / sum(raw.values()) for w, x in raw.items()}
+    stride, expected = max(map(len, split.values())), {}
+    for d, t in texts:
+        words = t.split()
+        for at in range(0, len(words), stride):
+            seen = set(words[at : at + 2 * stride])
+            for i, by in weight.items():
+                score = sum(x for w, x in by.items() if w in seen)
+                if score >= 0.55:
+                    expected[d, i] = max(expected.get((d, i), 0.0), score)
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for groups in (decontamination.GROUP_ITEMS, 7):
+        monkeypatch.setattr(decontamination, "GROUP_ITEMS", groups)
+        got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs, bench, threshold=0.55, question=0.0, answer=0.0).collect()}
+        assert got.keys() == expected.keys() and len(got) > 20
+        assert all(abs(got[k] - expected[k]) < 2e-6 for k in got)
+    monkeypatch.setattr(decontamination, "GROUP_BOUNDS", 40)
+    assert len(list(decontamination._groups(bench))) > 5

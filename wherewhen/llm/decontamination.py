@@ -8,8 +8,9 @@ up to the threshold are scored exactly. All (passage, item) pairs at or above th
 is reported if the passage also overlaps with both parts of the item, the question and the answer, or with enough
 of the item as a whole: cut or lightly edited copies may lack the answer.
 
-The index goes to the executors. It is built from GROUP_ITEMS items and GROUP_BYTES bytes at most; a larger
-benchmark is a union over such groups, all with the statistics of the whole benchmark. Texts aren't shuffled.
+The index goes to the executors. It is built from GROUP_ITEMS items, GROUP_BYTES bytes and GROUP_BOUNDS bounds at most
+(or one item); a larger benchmark is a union over such groups, all with the statistics of the whole benchmark. Texts
+aren't shuffled.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from wherewhen.llm.common import settled, without
 from wherewhen.llm.textops import NOT_ALNUM, Words, blocks, text_bytes
 
 GROUP_ITEMS, GROUP_BYTES, BLOCK_ITEMS = 2_000, 4 << 20, 16
+#: Bounds, one for each different term and block of an index, 8 bytes each.
+GROUP_BOUNDS = 4 << 20
 K1, B = 1.2, 0.75
 
 
@@ -150,12 +153,14 @@ def scan(index: Index, texts: list[bytes], threshold: float, question: float, an
 
 
 def _groups(items: DataFrame):
-    group, held = [], 0
+    group, held, terms = [], 0, set()
     for r in items.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).orderBy("i", "t").toLocalIterator():
         t = (r["t"] or "").encode()
-        if group and (len(group) >= GROUP_ITEMS or held + len(t) > GROUP_BYTES):
+        more = terms | set(normal_words(t))
+        if group and (len(group) >= GROUP_ITEMS or held + len(t) > GROUP_BYTES or len(more) * (len(group) // BLOCK_ITEMS + 1) > GROUP_BOUNDS):
             yield group
-            group, held = [], 0
+            group, held, more = [], 0, set(normal_words(t))
+        terms = more
         group.append((r["i"], t))
         held += len(t)
     yield group
