@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from wherewhen.functions import ident, timeconv
 from wherewhen.operators import rows as R
-from wherewhen.plans.ledger import Ledger
+from wherewhen.plans.ledger import Ledger, load_config, open_ledger
 from wherewhen.sources import arrow_files, names
 from wherewhen.streaming import ingest
 
@@ -75,6 +75,74 @@ def test_stream_equals_batch(spark, ledger, tmp_path):
     stream = spark.readStream.schema(R.ENTITY).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     ingest.stream_into(out, stream, f"{tmp_path}/ckpt", decide=lambda s: seen.append(s.count())).awaitTermination()
     assert out.rows().count() == 2 and seen and set(seen) == {1}
+    # a micro-batch that is run again after a crash is known by its number
+    again = batch(spark, [("drone", "Earth", 3, 3, 1)])
+    assert out.append(again, token="x#7") == out.append(again, token="x#7") == 2
+    assert out.rows().count() == 3
+
+
+def test_row_numbers_and_races(spark, tmp_path):
+    a = Ledger(spark, f"file://{tmp_path}/a")
+    many = batch(spark, [(f"e{i}", "Earth", i, i, 1) for i in range(400)]).repartition(200)
+    a.append(many, checked=True)
+    b = Ledger(spark, f"file://{tmp_path}/a")
+    assert b._commits() and not b._commit(0, {"next": 0})  # a number is taken once
+    seen = a._commits
+    # a writer that doesn't know of another's commit loses the race and numbers its batch anew
+    b.append(batch(spark, [("x", "Earth", 1, 1, 1)]))
+    stale = [dict(list(seen().items())[:1])]
+    a._commits = lambda: stale.pop() if stale else seen()
+    assert a.append(batch(spark, [("y", "Earth", 1, 1, 1)])) == 2
+    del a._commits
+    rows = Ledger(spark, f"file://{tmp_path}/a").rows()
+    assert rows.count() == 402 == rows.select("row_seq").distinct().count()
+    assert [r.m for r in rows.groupBy("batch_seq").agg(F.max("row_seq").alias("m")).orderBy("batch_seq").collect()] == sorted(r.m for r in rows.groupBy("batch_seq").agg(F.max("row_seq").alias("m")).collect())
+
+
+def test_seal_evict_save_and_load(spark, ledger, tmp_path):
+    before = sorted((r.row_seq, r.batch_seq, r.epoch_ns) for r in ledger.rows().collect())
+    assert not ledger.seal() and ledger.seal(most=1) and not ledger.seal(most=1)
+    assert sorted((r.row_seq, r.batch_seq, r.epoch_ns) for r in ledger.rows().collect()) == before
+    ledger.append(batch(spark, [("facility", "Earth", 9_000_000_000_000, 1, 1)]))
+    assert ledger.rows(8_000_000_000_000).count() == 1 and ledger.query(0, 10).count() == 3
+    assert len(list(ledger.stream_query())) == 2 and ledger.resident_bytes().agg(F.sum("n_rows")).first()[0] == 6
+    ledger.register_name("acme.com", "robot")
+    with pytest.raises(ValueError, match="mint"):
+        ledger.register_name("acme.com", "robot", b"x" * 16)
+    assert {r.label for r in ledger.display(ledger.rows()).select("label").distinct().collect()} >= {"robot"}
+    ledger.action("save_ledger", {"path": f"file://{tmp_path}/saved"})
+    again = ledger.action("load_ledger", {"path": f"file://{tmp_path}/saved", "target": f"file://{tmp_path}/again"})
+    assert again.rows().count() == 6 and again.names().count() == 1 and again.topology_log().count() == 4
+    small = Ledger.from_bytes(spark, again.to_bytes(), f"file://{tmp_path}/small")
+    assert sorted(r.row_seq for r in small.rows().collect()) == sorted(r.row_seq for r in again.rows().collect())
+    # the older folder goes but for rows at their entity's latest epoch: truck, and the robot's two of one epoch
+    assert ledger.evict(1) == 1 and ledger.rows().count() == 4
+    assert ledger.evict(1 << 40) == 0
+    for wrong in (lambda: Ledger(spark, f"file://{tmp_path}/none").save(f"file://{tmp_path}/x"), lambda: ledger.action("reboot"), lambda: Ledger.load(spark, f"file://{tmp_path}/saved", f"file://{tmp_path}/again")):
+        with pytest.raises(ValueError):
+            wrong()
+    ledger.save_schema(f"file://{tmp_path}/schema.json")
+    assert Ledger.with_schema(spark, f"file://{tmp_path}/schema.json", f"file://{tmp_path}/empty").is_empty()
+
+
+def test_config(spark, tmp_path):
+    (tmp_path / "c.toml").write_text('memory_limit = "2 MB"\n')
+    found = load_config(f"{tmp_path}/c.toml", {"WHEREWHEN_LEDGER": f"file://{tmp_path}/l", "WHEREWHEN_MEMORY_LIMIT": "1"})
+    assert found == {"path": f"file://{tmp_path}/l", "id_column": None, "memory_limit": 2_000_000, "kernel": None}
+    assert open_ledger(spark, found).is_empty()
+    (tmp_path / "d.toml").write_text("colour = 1\n")
+    for wrong in (lambda: load_config(f"{tmp_path}/d.toml", {}), lambda: open_ledger(spark, {})):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_running_poses(spark, tmp_path):
+    for k, rows in enumerate(([(1, 5, 1.0), (2, 5, 2.0)], [(1, 4, 9.0), (2, 6, 3.0)])):
+        spark.createDataFrame(rows, "entity long, epoch_ns long, x double").coalesce(1).write.parquet(f"{tmp_path}/p/{k}")
+    stream = spark.readStream.schema("entity long, epoch_ns long, x double").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/p")
+    out = []
+    ingest.pose_stream(stream, values=("x",)).writeStream.outputMode("update").foreachBatch(lambda df, i: out.extend(map(tuple, df.collect()))).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert {k: (e, x) for k, e, x in out} == {1: (5, 1.0), 2: (6, 3.0)}
 
 
 def test_arrow_files(spark, tmp_path):
@@ -86,7 +154,14 @@ def test_arrow_files(spark, tmp_path):
     assert df.first().asDict() == {"i": b"x" * 16, "u": 7, "v": [1.0, 2.0, 3.0], "d": "a"}
     arrow_files.write_file(df, f"{tmp_path}/t.arrow")
     assert arrow_files.read_file(spark, f"{tmp_path}/t.arrow").collect() == df.collect()
-    assert arrow_files.read_schema(f"{tmp_path}/t.arrow").fieldNames() == ["i", "u", "v", "d"]
+    assert arrow_files.read_schema(spark, f"{tmp_path}/t.arrow").fieldNames() == ["i", "u", "v", "d"]
+    written = arrow_files.write_files(spark.range(100).repartition(3), f"file://{tmp_path}/many", 7).collect()
+    assert len(written) == 3 and sum(r.n_rows for r in written) == 100
+    assert sorted(r.id for r in arrow_files.read_file(spark, f"{tmp_path}/many").collect()) == list(range(100))
+    with open(f"{tmp_path}/page.html", "w") as f:
+        f.write("<html>")
+    with pytest.raises(Exception, match="HTML"):
+        arrow_files.read_file(spark, f"{tmp_path}/page.html").collect()
     with pytest.raises(ValueError, match="HTML"):
         arrow_files.read_bytes(spark, b"<html>")
     arrow_files.write_schema(R.ENTITY, f"{tmp_path}/s.json")

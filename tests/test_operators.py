@@ -165,3 +165,54 @@ def test_cycle_check_finds_nodes_below_the_cycle(spark):
 
     found = {r.child for r in QUERIES["cycle_check_tree"](spark, "/root/testdata/sf0.001").collect()}
     assert {0, 1, 2} < found and max(found) > 2
+
+
+def test_nearest_matches_all_pairs(spark):
+    import random
+
+    rnd = random.Random(3)
+    spots = [(i, rnd.choice([0.0, rnd.uniform(0, 10), rnd.uniform(0, 1000)]), rnd.uniform(0, 50), i % 3) for i in range(120)]
+    rows = [(i, rnd.uniform(-500, 2000), rnd.uniform(0, 50), i % 4) for i in range(150)] + [(900, None, 1.0, 0), (901, 1e7, 1.0, 0)]
+    places = spark.createDataFrame(spots + [(777, None, 0.0, 1)], "p long, x double, y double, g long")
+    df = spark.createDataFrame(rows, "i long, x double, y double, g long")
+    for by in ((), ("g",)):
+        want = {}
+        for i, x, y, g in rows:
+            near = [((x - a) ** 2 + (y - b) ** 2) ** 0.5 for _, a, b, h in spots if x is not None and (not by or g == h)]
+            want[i] = min(near, default=None)
+        got = {r.i: r.distance for r in joins.nearest(df, places, ("x", "y"), ("p",), by).collect()}
+        assert got.keys() == want.keys() and all((got[k] is None) == (want[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-9) for k in want)
+    assert [r.distance for r in joins.nearest(df.limit(2), places.limit(0), ("x", "y")).collect()] == [None, None]
+
+
+def test_fire_replay(spark):
+    first = ["a", "b", "c"]
+    track = [("a", 0.0, 0.0), ("b", 10.0, 0.0), ("c", 0.0, 10.0)]
+    rows = [("f", n, t, x, y) for n, x, y in track for t in (0, 60, 120)] + [("f", "d", 60, 5.0, 0.0), ("f", "d", 120, 5.0, -1.0), ("f", "e", 120, 5.0, 5.0)]
+    rows = [r for r in rows if not (r[1] == "b" and r[2] == 120)] + [("f", "b", 240, 10.0, 0.0)]  # b stops moving after 60
+    df = spark.createDataFrame(rows, "fire string, name string, t_s long, x double, y double")
+    asked = spark.createDataFrame([("f", 30), ("f", 60), ("f", 130)], "fire string, t long")
+    got = joins.fire_replay(df, asked, first, 60).orderBy("t", "place").collect()
+    ring = {t: [r.name for r in got if r.t == t] for t in (30, 60, 130)}
+    assert ring == {30: ["a", "b", "c"], 60: ["a", "d", "b", "c"], 130: ["a", "d", "b", "e", "c"]}
+    at = {(r.t, r.name): r for r in got}
+    assert at[130, "d"].y == -1.0 and at[30, "b"].moving and not at[60, "b"].moving
+
+
+def test_merge_checks_and_clips(spark):
+    a = spark.createDataFrame([(1, 1.0), (2, 2.0)], "entity long, x double")
+    assert joins.merge_parts([a, a.where("entity = 1").unionByName(spark.createDataFrame([(3, 3.0)], a.schema))], check=["x"]).count() == 3
+    with pytest.raises(ValueError, match="differ"):
+        joins.merge_parts([a, a.withColumn("x", F.col("x") + 1)], check=["x"])
+    seg = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 0.0, 5)], "id long, ax double, ay double, bx double, by double, born long")
+    walls = spark.createDataFrame([(7, 6.0, -1.0, 6.0, 1.0, 1), (8, 4.0, -1.0, 4.0, 1.0, 2), (9, 2.0, -1.0, 2.0, 1.0, 9)], seg.schema)
+    assert [tuple(r) for r in joins.clipped(seg, walls, 3.0).collect()] == [(1, 4.0, 0.0)]
+    with pytest.raises(ValueError, match="named"):
+        R.named_like(a.withColumn("n", F.lit("abc")), "n", ["B", "zz"], strict=True)
+    assert R.named_like(a.withColumn("n", F.lit("abc")), "n", ["B"], strict=True).count() == 2
+
+
+def test_as_of_keeps_nulls(spark):
+    left = spark.createDataFrame([(1, 10)], "k long, t long")
+    right = spark.createDataFrame([(1, 1, "old", 0), (1, 5, None, 1)], "e long, t2 long, v string, row_seq long")
+    assert asof.asof_or_first(left, right, "k", "e", "t", "t2", {"v": "w"}).first().w is None
