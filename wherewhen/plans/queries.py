@@ -752,13 +752,28 @@ def orbit_elements(spark, d):
 
 
 
-@query()
+_TURN = "2 * pi() * ((j * k) % n) / n"
+
+
+@query(f""", s AS (SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY row_seq) - 1 AS j, count(*) OVER (PARTITION BY entity) AS n, x FROM obs),
+ks AS (SELECT entity, n, unnest(range(0, n // 2 + 1)) AS k FROM (SELECT DISTINCT entity, n FROM s)),
+band AS (SELECT s.entity, s.n, k, sum(x * cos({_TURN.replace("n)", "s.n)").replace("/ n", "/ s.n")})) AS re, -sum(x * sin({_TURN.replace("n)", "s.n)").replace("/ n", "/ s.n")})) AS im FROM s JOIN ks USING (entity) WHERE 2 * k < s.n AND k * 100.0 / s.n BETWEEN 5 AND 40 GROUP BY ALL),
+e AS (SELECT s.entity, j, s.n, coalesce(sqrt(power(sum(re * cos({_TURN.replace("n)", "s.n)").replace("/ n", "/ s.n")}) - im * sin({_TURN.replace("n)", "s.n)").replace("/ n", "/ s.n")})), 2) + power(sum(re * sin({_TURN.replace("n)", "s.n)").replace("/ n", "/ s.n")}) + im * cos({_TURN.replace("n)", "s.n)").replace("/ n", "/ s.n")})), 2)) * 2 / s.n, 0) AS env FROM s LEFT JOIN band USING (entity) GROUP BY s.entity, j, s.n),
+d AS (SELECT entity, j, n, env - avg(env) OVER (PARTITION BY entity) AS v FROM e)
+SELECT d.entity, round(k * 100.0::DOUBLE / d.n, 6) AS freq, round(sqrt(power(sum(v * cos({_TURN.replace("n)", "d.n)").replace("/ n", "/ d.n")})), 2) + power(sum(v * sin({_TURN.replace("n)", "d.n)").replace("/ n", "/ d.n")})), 2)) * 2 / d.n, 6) AS amp FROM d JOIN ks USING (entity) GROUP BY d.entity, k, d.n /* obs */""")
 def envelope_spectrum(spark, d):
     o = _flat(observations(spark, d))
     return joins.envelope_spectra(o, "entity", "row_seq", "x", 100.0, 5.0, 40.0).select("entity", F.round("freq", 6).alias("freq"), F.round("amp", 6).alias("amp"))
 
 
-@query()
+@query(f""", w AS (SELECT entity, epoch_ns AS t, x, y, y - 400 AS side, row_number() OVER p AS n, lag(epoch_ns) OVER p AS ot, lag(y - 400) OVER p AS os, lag(x) OVER p AS oa FROM obs WINDOW p AS (PARTITION BY entity ORDER BY epoch_ns)),
+c AS (SELECT *, CASE WHEN n > 1 AND sign(side) <> sign(os) AND oa + os / (os - side) * (x - oa) BETWEEN 0 AND 300 THEN ot + os / (os - side) * (t - ot) END AS met FROM w),
+a AS (SELECT *, min(CASE WHEN os < 0 AND side >= 0 AND met >= {T0} THEN n END) OVER (PARTITION BY entity) AS n0 FROM c),
+b AS (SELECT *, min(CASE WHEN n > n0 AND sqrt(power(x - 100, 2) + power(y - 900, 2)) <= 200 THEN n END) OVER (PARTITION BY entity) AS n1 FROM a),
+e AS (SELECT *, min(CASE WHEN n > n1 AND least(sqrt(power(x - 50, 2) + power(y - 100, 2)), sqrt(power(x - 150, 2) + power(y - 100, 2))) <= 200 THEN n END) OVER (PARTITION BY entity) AS n2 FROM b),
+f AS (SELECT *, min(CASE WHEN n > n2 AND os >= 0 AND side < 0 AND met IS NOT NULL THEN n END) OVER (PARTITION BY entity) AS n3 FROM e),
+r AS (SELECT entity, bool_or(n > 1 AND t = {T0} AND side > 0) AS early, CAST(max((n1 IS NOT NULL)::INT + (n2 IS NOT NULL)::INT - (n0 IS NULL)::INT) AS BIGINT) AS leg, max(CASE WHEN n = n0 THEN met END) AS started, max(CASE WHEN n = n3 THEN met END) AS finished FROM f GROUP BY entity)
+SELECT *, row_number() OVER (ORDER BY finished IS NULL, finished, -leg, leg, entity) AS place FROM r /* obs */""")
 def replay_referee(spark, d):
     o = _flat(observations(spark, d))
     result = joins.race(o, ((0.0, 400.0), (300.0, 400.0)), [[(100.0, 900.0)], [(50.0, 100.0), (150.0, 100.0)]], 200.0, T0)
