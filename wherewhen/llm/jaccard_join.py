@@ -15,7 +15,8 @@ document. Regions with one pivot p are one family F(p). Every pair that may link
 3. What is left of a family is joined recursively. One that is larger than a block gets pivots from its components;
    its documents are dealt to Voronoi cells by nearest pivot, and a boundary document x is replicated to each cell q
    with d(x, q) <= d(x, nearest) + 2r, so that two documents that link meet in the cell of either. Cells are families
-   of the next round. A cell that isn't clearly smaller than its family is joined by pairs of blocks.
+   of the next round. A family whose cells aren't clearly smaller than itself, or hold its documents over and over, is
+   joined by pairs of blocks.
 
 Inside a task a join goes on in the same way: pivots, Voronoi cells, windows, and all pairs in small cells. Pairs whose
 documents are already connected are not looked at. Results are exact up to collisions of 64-bit hashes.
@@ -45,6 +46,8 @@ SHARD_ENTRIES = 1 << 21
 BLOCK_MEMBERS, BLOCK_BYTES = 2_000, 8 << 20
 #: Pivots of a family that is larger than a block.
 PIVOTS = 24
+#: Times that windows may replicate a family's documents, all in all.
+MOST_COPIES = 4
 LEAF = 32
 
 
@@ -325,11 +328,13 @@ def _recursive(open_: DataFrame, sets: DataFrame, labels: DataFrame, files: int)
         out = settled(_blocked(large, sets, labels, settled(leads, "pivots", files)).groupBy("family", "block").applyInArrow(_cells, OUT), "cells")
         found.append(_links(out))
         cells = out.where("center IS NOT NULL").select("family", "center", "member").distinct().join(large.select("family", "member", "n", F.col("members").alias("_all")), ["family", "member"])
-        cells = sized(cells.select(F.xxhash64("family", "center").alias("family"), "member", "n", "_all")).withColumn("smaller", F.col("members") < 0.7 * F.col("_all"))
-        todo = settled(cells.drop("_all"), "sized", files)
-        leaves.append(todo.where("smaller AND NOT large"))
-        stuck.append(todo.where("NOT smaller"))
-        large = todo.where("smaller AND large")
+        own = cells.groupBy("family", "center").agg(F.count("*").alias("own"), F.max("_all").alias("_all"))
+        tells = own.groupBy("family").agg(((F.max("own") < 0.7 * F.max("_all")) & (F.sum("own") <= MOST_COPIES * F.max("_all"))).alias("split"))
+        tells = settled(tells, "splits", files)
+        stuck.append(large.join(tells.where("NOT split"), "family", "left_semi"))
+        todo = settled(sized(cells.join(tells.where("split"), "family", "left_semi").select(F.xxhash64("family", "center").alias("family"), "member", "n")), "sized", files)
+        leaves.append(todo.where("NOT large"))
+        large = todo.where("large")
     rows = _blocked(reduce(DataFrame.union, [x.select("family", "member", "n") for x in leaves]), sets, labels, none).withColumn("pair", F.lit("0"))
     if stuck:
         whole = _blocked(reduce(DataFrame.union, [x.select("family", "member", "n") for x in stuck]), sets, labels, none)
