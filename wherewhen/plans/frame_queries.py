@@ -309,7 +309,7 @@ def set_memory_limit(spark, d):
 
 @query("SELECT CASE WHEN batch_seq < 4 THEN 0 WHEN batch_seq <= 9 THEN 1 ELSE 2 END AS batch_seq, count(*) AS n_rows, min(epoch_ns) AS first_epoch, max(epoch_ns) AS last_epoch, true AS has_bytes FROM obs GROUP BY ALL")
 def resident_bytes(spark, d):
-    return _ledger(spark, d).resident_bytes().select(F.col("batch_seq").cast("int").alias("batch_seq"), "n_rows", "first_epoch", "last_epoch", (F.col("bytes") > 0).alias("has_bytes"))
+    return _ledger(spark, d).resident_bytes().where("n_rows > 0").select(F.col("batch_seq").cast("int").alias("batch_seq"), "n_rows", "first_epoch", "last_epoch", (F.col("bytes") > 0).alias("has_bytes"))
 
 
 @query("SELECT entity, row_seq, row_number() OVER (PARTITION BY entity ORDER BY epoch_ns, row_seq) AS place FROM obs")
