@@ -156,14 +156,14 @@ def test_sort_by_epoch_keeps_every_row(spark):
     from wherewhen.plans.queries import QUERIES
 
     n = spark.read.parquet("/root/testdata/sf0.01/events.parquet").count()
-    places = [r.place for r in QUERIES["sort_all_by_epoch"](spark, "/root/testdata/sf0.01").select("place").collect()]
+    places = [r.place for r in QUERIES["sort_by_epoch"](spark, "/root/testdata/sf0.01").select("place").collect()]
     assert n > 1000 and sorted(places) == list(range(1, n + 1))
 
 
 def test_cycle_check_finds_nodes_below_the_cycle(spark):
     from wherewhen.plans.queries import QUERIES
 
-    found = {r.child for r in QUERIES["cycle_check_tree"](spark, "/root/testdata/sf0.001").collect()}
+    found = {r.child for r in QUERIES["cycle_check"](spark, "/root/testdata/sf0.001").collect()}
     assert {0, 1, 2} < found and max(found) > 2
 
 
