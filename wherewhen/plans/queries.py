@@ -803,7 +803,8 @@ def mask_apply(spark, d):
 def rows_on_entity_frames(spark, d):
     """Whether any row of a batch is on an entity's frame: of the first four, and of the rows that aren't."""
     o = observations(spark, d)
-    parts = {b: o.where(F.col("batch_seq") == b) for b in range(4)} | {-1: o.where(F.col("parent") == EARTH)}
+    first = sorted(r[0] for r in o.where("batch_seq <= 3").select("batch_seq").distinct().collect())  # four at most
+    parts = {b: o.where(F.col("batch_seq") == b) for b in first} | {-1: o.where(F.col("parent") == EARTH)}
     return spark.createDataFrame([(b, topology.refers_to_entities(p, is_earth)) for b, p in parts.items()], "batch_seq bigint, refers boolean")
 
 
