@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wherewhen.llm.common import settled, without
+from wherewhen.llm.common import driver_table, light_map, settled, without
 from wherewhen.llm.textops import NOT_ALNUM, Words, blocks, text_bytes
 
 GROUP_ITEMS, GROUP_BYTES, BLOCK_ITEMS = 2_000, 4 << 20, 16
@@ -185,7 +185,7 @@ def _indexes(items: DataFrame):
     counted = settled(items.select(F.col("text").cast("string").alias("text")).mapInArrow(_terms, "term binary, n long").groupBy("term").agg(F.count("*").alias("items"), F.sum("n").alias("total"), F.max("n").alias("most")), "terms")
     rest = counted.where("term IS NULL").first()
     while group is not None:
-        own = spark.createDataFrame([(bytearray(t),) for t in sorted({t for _, text in group for t in normal_words(text)})], "term binary")
+        own = driver_table(spark, {"term": sorted({t for _, text in group for t in normal_words(text)})}, "term binary")
         df = {bytes(r["term"]): r["items"] for r in counted.join(F.broadcast(own), "term").collect()}
         yield Index(group, Statistics(rest["items"], rest["total"] / rest["items"], rest["most"], df) if rest else None)
         group, after = after, next(groups, None)
@@ -218,7 +218,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, ques
     out = None
     for built in _indexes(items):
         index = docs.sparkSession.sparkContext.broadcast(built)
-        found = rows.mapInArrow(_scanner(index, threshold, question, answer, n, whole), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        found = rows.mapInArrow(light_map(_scanner(index, threshold, question, answer, n, whole)), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
         out = found if out is None else out.unionByName(found)
     return out
 

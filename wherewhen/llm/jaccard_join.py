@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wherewhen.llm.common import chunked, narrow_files, settled, text_size, without
+from wherewhen.llm.common import chunked, driver_table, light, light_map, light_pair, narrow_files, settled, text_size, without
 from wherewhen.llm.components import components
 from wherewhen.llm.grams import squeeze, unsqueeze
 from wherewhen.llm.substring_dedup import CHUNK_BYTES, SHARD_WINDOWS, SKETCH_DDL, least_cells, sketch_cells, sketch_rows
@@ -217,18 +217,19 @@ def _postings(shards: int):
 
 def _families(table: pa.Table) -> pa.Table:
     """(pivot, member, n, times) from the postings of one shard; n: the size of the member's set."""
-    keys, ids, sizes = [], [], []
-    for k, a, i, n in zip(*(table.column(c).to_pylist() for c in ("keys", "at", "ids", "sizes")), strict=True):
-        at = unpack(a).astype(np.int64)
-        keys.append(np.cumsum(unpack(k).astype(np.uint64)))
-        ids.append(np.frombuffer(i, dtype=np.int64)[at])
-        sizes.append(np.frombuffer(n, dtype=np.int64)[at])
-    key, doc, size = np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes)
+    key = np.concatenate([np.cumsum(unpack(k.as_py()).astype(np.uint64)) for k in table.column("keys")])
     order = np.argsort(key, kind="stable")
-    key, doc, size = key[order], doc[order], size[order]
-    new = np.append(True, key[1:] != key[:-1])
-    many = np.diff(np.append(np.flatnonzero(new), len(key)))[np.cumsum(new) - 1] > 1
-    key, doc, size = key[many], doc[many], size[many]
+    new = np.append(True, key[order[1:]] != key[order[:-1]])
+    many = np.zeros(len(key), dtype=bool)
+    many[order[np.diff(np.append(np.flatnonzero(new), len(key)))[np.cumsum(new) - 1] > 1]] = True
+    key, begin, doc, size = key[many], 0, [], []
+    del order, new
+    for a, i, n in zip(*(table.column(c) for c in ("at", "ids", "sizes")), strict=True):  # only of shingles that several have
+        at = unpack(a.as_py())
+        at, begin = at[many[begin : begin + len(at)]], begin + len(at)
+        doc.append(np.frombuffer(i.as_py(), dtype=np.int64)[at])
+        size.append(np.frombuffer(n.as_py(), dtype=np.int64)[at])
+    doc, size = np.concatenate(doc), np.concatenate(size)
     grade = np.floor(np.log(size) / math.log(4 / 3) + 1e-9).astype(np.int64)
     # a region is a shingle and a size class; each document stands in its own class and, as the window, in the one below
     order = np.lexsort((doc, grade, key)) if len(key) else np.zeros(0, dtype=np.int64)
@@ -240,10 +241,12 @@ def _families(table: pa.Table) -> pa.Table:
     below[1:] = (key[head][1:] == key[head][:-1]) & (grade[head][1:] == grade[head][:-1] + 1)
     lower = np.repeat(np.where(below, np.append(0, doc[head][:-1]) if len(head) else 0, 0), count)
     has = np.repeat(below, count)
-    pairs = np.concatenate([np.stack([pivot, doc, size], axis=1), np.stack([lower[has], doc[has], size[has]], axis=1)])
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    pairs, times = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0, dtype=np.int64))
-    return pa.table({"pivot": pa.array(pairs[:, 0]), "member": pa.array(pairs[:, 1]), "n": pa.array(pairs[:, 2]), "times": pa.array(times.astype(np.int64))})
+    pivot, member, n = np.concatenate([pivot, lower[has]]), np.concatenate([doc, doc[has]]), np.concatenate([size, size[has]])
+    order = np.lexsort((n, member, pivot))
+    order = order[pivot[order] != member[order]]
+    pivot, member, n = pivot[order], member[order], n[order]
+    head = np.flatnonzero(np.append(True, (pivot[1:] != pivot[:-1]) | (member[1:] != member[:-1]) | (n[1:] != n[:-1]))[: len(n)])
+    return pa.table({"pivot": pa.array(pivot[head]), "member": pa.array(member[head]), "n": pa.array(n[head]), "times": pa.array(np.diff(np.append(head, len(n))).astype(np.int64))})
 
 
 class _Group:
@@ -313,7 +316,7 @@ def _links(out: DataFrame) -> DataFrame:
 
 def _recursive(open_: DataFrame, sets: DataFrame, labels: DataFrame, files: int) -> DataFrame:
     """The links among the members of families (family, member, n), as (a, b)."""
-    none = open_.sparkSession.createDataFrame([], "family long, member long")
+    none = driver_table(open_.sparkSession, {"family": [], "member": []}, "family long, member long")
 
     def sized(cells: DataFrame) -> DataFrame:
         sizes = cells.groupBy("family").agg(F.count("*").alias("members"), (F.sum("n") * 8).alias("bytes"))
@@ -325,7 +328,7 @@ def _recursive(open_: DataFrame, sets: DataFrame, labels: DataFrame, files: int)
         named = large.join(labels.select(F.col("id").alias("member"), "component"), "member", "left").withColumn("component", F.coalesce("component", "member"))
         # a pivot is a document of some component, of those whose hashes fall together the one with the least hash
         leads = named.groupBy("family", F.pmod(F.xxhash64("component", "family"), F.lit(PIVOTS)).alias("_spot")).agg(F.min_by("member", F.struct(F.xxhash64("member", "family"), "member")).alias("member")).select("family", "member")
-        out = settled(_blocked(large, sets, labels, settled(leads, "pivots", files)).groupBy("family", "block").applyInArrow(_cells, OUT), "cells")
+        out = settled(_blocked(large, sets, labels, settled(leads, "pivots", files)).groupBy("family", "block").applyInArrow(light(_cells), OUT), "cells")
         found.append(_links(out))
         cells = out.where("center IS NOT NULL").select("family", "center", "member").distinct().join(large.select("family", "member", "n", F.col("members").alias("_all")), ["family", "member"])
         own = cells.groupBy("family", "center").agg(F.count("*").alias("own"), F.max("_all").alias("_all"))
@@ -342,7 +345,7 @@ def _recursive(open_: DataFrame, sets: DataFrame, labels: DataFrame, files: int)
         pair = blocks_.join(blocks_.select("family", F.col("block").alias("other")), "family").where("block <= other")
         pair = pair.select("family", F.concat_ws("-", "block", "other").alias("pair"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
         rows = rows.unionByName(whole.join(pair, ["family", "block"]))
-    found.append(_links(settled(rows.groupBy("family", "pair").applyInArrow(_join, OUT), "links")))
+    found.append(_links(settled(rows.groupBy("family", "pair").applyInArrow(light(_join), OUT), "links")))
     return reduce(DataFrame.union, found)
 
 
@@ -360,19 +363,19 @@ def linked_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = text_size(rows)
     shards, files = max(16, math.ceil(size / 10 / SHARD_WINDOWS)), narrow_files(size)
     texts = chunked(rows, size, chunk_bytes=CHUNK_BYTES)
-    sketch = texts.groupBy("chunk").applyInArrow(_sketch(shards), SKETCH_DDL)
-    often = sketch.groupBy("shard").applyInArrow(_estimate, "chunk long, shard long, least binary")
-    seen = settled(texts.groupBy("chunk").cogroup(often.groupBy("chunk")).applyInArrow(_candidates(shards), "doc_id long, n long, set binary, rare binary"), "candidates")
+    sketch = texts.groupBy("chunk").applyInArrow(light(_sketch(shards)), SKETCH_DDL)
+    often = sketch.groupBy("shard").applyInArrow(light(_estimate), "chunk long, shard long, least binary")
+    seen = settled(texts.groupBy("chunk").cogroup(often.groupBy("chunk")).applyInArrow(light_pair(_candidates(shards)), "doc_id long, n long, set binary, rare binary"), "candidates")
     counts, sets = seen.select("doc_id", "n"), seen.where("set IS NOT NULL").select("doc_id", "n", "set")
     parts = max(8, math.ceil(size / 100 / SHARD_ENTRIES))
-    postings = seen.where("set IS NOT NULL").select("doc_id", "n", "rare").mapInArrow(_postings(parts), "shard int, keys binary, at binary, ids binary, sizes binary")
-    families = postings.groupBy("shard").applyInArrow(_families, "pivot long, member long, n long, times long")
+    postings = seen.where("set IS NOT NULL").select("doc_id", "n", "rare").mapInArrow(light_map(_postings(parts)), "shard int, keys binary, at binary, ids binary, sizes binary")
+    families = postings.groupBy("shard").applyInArrow(light(_families), "pivot long, member long, n long, times long")
     families = settled(families.groupBy("pivot", "member").agg(F.sum("times").alias("times"), F.max("n").alias("n")), "families", files)
 
     best = families.groupBy("member").agg(F.max_by(F.struct("pivot", "n"), F.struct("times", -F.col("pivot"))).alias("best")).select(F.col("best.pivot").alias("family"), "member", F.col("best.n").alias("n"))
     lead = lambda f: f.select("family", F.col("family").alias("member")).distinct()
-    none = spark.createDataFrame([], "id long, component long")
-    links_ = _links(settled(_blocked(best, sets, none, lead(best)).groupBy("family", "block").applyInArrow(_join, OUT), "links"))
+    none = driver_table(spark, {"id": [], "component": []}, "id long, component long")
+    links_ = _links(settled(_blocked(best, sets, none, lead(best)).groupBy("family", "block").applyInArrow(light(_join), OUT), "links"))
     labels = components(links_, files)
 
     def mixed() -> DataFrame:
@@ -384,7 +387,7 @@ def linked_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     open_ = mixed()
     if not open_.isEmpty():
-        far = settled(_blocked(open_, sets, labels, lead(open_)).groupBy("family", "block").applyInArrow(_measure, OUT), "distances")
+        far = settled(_blocked(open_, sets, labels, lead(open_)).groupBy("family", "block").applyInArrow(light(_measure), OUT), "distances")
         near = _links(far)
         if not near.isEmpty():
             labels = merged(labels, near, files)

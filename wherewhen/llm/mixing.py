@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wherewhen.llm.common import settled
+from wherewhen.llm.common import driver_table, settled
 from wherewhen.llm.textops import WORD_PATTERN
 
 BLOCK_TOKENS, LEAST_BLOCKS = 1 << 20, 256
@@ -92,7 +92,7 @@ def shares_of(sums: DataFrame, budget_tokens: int | None, entropy_ratio: float,
         tokens = [t for _, t in rows]
         budget = float(sum(tokens) if budget_tokens is None else budget_tokens)
         weights = powered(tokens, exponent_for(tokens, budget, entropy_ratio, max_repeats)) if sum(tokens) else [0.0] * len(tokens)
-        return F.broadcast(spark.createDataFrame([(s, t, w, w * budget) for (s, t), w in zip(rows, weights, strict=True)], kind))
+        return F.broadcast(driver_table(spark, {"source": [s for s, _ in rows], "tokens": tokens, "weight": weights, "budget": [w * budget for w in weights]}, kind))
     sums = settled(sums, "sources")
     found = sums.where("tokens > 0").agg(F.count("*").alias("n"), F.min("tokens").alias("least"), F.sum("tokens").alias("total")).first()
     total = float(found["total"] or 0)

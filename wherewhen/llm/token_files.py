@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wherewhen.llm.common import settled, shared_dir, text_size
+from wherewhen.llm.common import keep, light_map, settled, shared_dir, text_size
 from wherewhen.llm.textops import blocks, text_bytes
 
 MAGIC = b"DACT"
@@ -168,9 +168,10 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def _encoder(path: str) -> WordEncoder:
-    """One for each worker process, which many tasks use."""
+    """One for each worker process, which many tasks use; it goes when another operator uses the worker."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
+    keep("token_files", _ENCODERS.clear)
     return _ENCODERS[path]
 
 
@@ -231,7 +232,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     system, path = _open(folder)
     system.create_dir(path, recursive=True)
-    manifest = ordered.mapInArrow(_writer(folder, tokenizer, end_id, file_tokens), "part long, run long, uri string, n_docs long, n_tokens long")
+    manifest = ordered.mapInArrow(light_map(_writer(folder, tokenizer, end_id, file_tokens), "token_files"), "part long, run long, uri string, n_docs long, n_tokens long")
     return settled(manifest, "token-manifest")
 
 
@@ -251,7 +252,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     before = Window.orderBy("part", "run").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     files = max(1, manifest.count())
-    return placed.select("uri", "base").repartition(files).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.select("uri", "base").repartition(files).mapInArrow(light_map(_read, "token_files"), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
