@@ -10,6 +10,9 @@ import pyarrow as pa
 from wherewhen.llm import common, textops
 from wherewhen.llm.common import driver_table, light_map
 from wherewhen.llm.grams import _lists, gram_codes
+from wherewhen.llm.jaccard_join import SHARD_ENTRIES, _families
+from wherewhen.llm.textops import blocks, pack, ranges, sizes_of
+from wherewhen.llm.token_files import TokenFile, encode
 
 
 def peak(run):
@@ -78,3 +81,30 @@ def test_driver_tables_start_no_python_workers(spark):
         assert [tuple(r) for r in df.collect()] == rows and df.dtypes == [("s", "string"), ("n", "bigint")]
         assert "PythonRDD" not in df._jdf.queryExecution().toRdd().toDebugString()
     assert pa.table({"b": [b"x"]}).column("b")[0].as_py() == driver_table(spark, {"b": [b"x"]}, "b binary").first()["b"]
+
+
+def test_a_shard_of_families_fits_beside_other_workers():
+    rnd = np.random.default_rng(1)
+    rows = []
+    for part in range(16):
+        n = 3 * SHARD_ENTRIES // 16
+        key = np.sort(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
+        key[n // 2 :: 3] = key[n // 2]
+        key.sort()
+        rows.append((pack(np.diff(key, prepend=np.uint64(0))), pack(rnd.integers(0, 9000, n).astype(np.uint64)), (np.arange(9000) + 9000 * part).tobytes(), np.full(9000, 400).tobytes()))
+    table = pa.table({c: pa.array(x, pa.binary()) for c, x in zip(("keys", "at", "ids", "sizes"), zip(*rows, strict=True), strict=True)})
+    assert peak(lambda: _families(table))[1] < 200 * 1_000_000
+
+
+def test_token_file_is_encoded_in_bounded_memory():
+    ids = np.random.default_rng(2).integers(0, 49_000, 1 << 21).astype("<u4")
+    data, held = peak(lambda: encode(np.array([1]), np.array([0, len(ids)]), ids))
+    assert (TokenFile(data).tokens(0, len(ids)) == ids).all()
+    assert held < 24 * 1_000_000
+
+
+def test_ranges_without_the_texts():
+    texts = ["", None, "ab", "ü" * 9, "x" * 30, "", "abc"]
+    column = pa.chunked_array([pa.array(texts[:3]), pa.array(texts[3:])])
+    assert sizes_of(column) == [len((t or "").encode()) for t in texts] and sizes_of(pa.array([], pa.string())) == []
+    assert list(ranges(sizes_of(column), 20)) == list(blocks([(t or "").encode() for t in texts], 20)) == [(0, 3), (3, 4), (4, 5), (5, 7)]

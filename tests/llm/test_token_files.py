@@ -1,10 +1,11 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 
-from wherewhen.llm.token_files import TokenFile, encode, token_files
+from wherewhen.llm.token_files import TokenFile, WordEncoder, encode, token_files
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -48,3 +49,23 @@ def test_matches_the_library(spark):
 
 def test_empty_table(spark):
     assert token_files(spark.createDataFrame([], "doc_id long, text string"), TOKENIZER).collect() == []
+
+
+def test_known_words_are_bounded():
+    encoder = WordEncoder(TOKENIZER)
+    tracemalloc.start()
+    for k in range(40):
+        encoder([b" ".join(b"w%s." % format(i, "x").translate({ord(c): "ghijklmnop"[int(c)] for c in "0123456789"}).encode() for i in range(15_000 * k, 15_000 * (k + 1)))])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 50 * 1_000_000 and b"." in encoder.known and not any(w[-1:] == b"." and len(w) > 1 for w in encoder.known)
+
+
+def test_ends_of_words_as_the_library():
+    from tokenizers import Tokenizer
+
+    t, encoder = Tokenizer.from_file(TOKENIZER), WordEncoder(TOKENIZER)
+    texts = ["Fox. fox, a.b c., d.. e.\tf.\x0bg,\x0ch.\x1ci.\u00a0j.\u2003k. \u00e9. e\u0301. 1. x1. .", "a.", ",", "It's. <|endoftext|>. End.", "z,\ny.\r\n"]
+    for _ in range(2):  # unknown and known
+        got = encoder([x.encode() for x in texts])
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wherewhen.llm.common import driver_table, light_map, settled, without
-from wherewhen.llm.textops import NOT_ALNUM, Words, blocks, text_bytes
+from wherewhen.llm.textops import NOT_ALNUM, Words, ranges, sizes_of, text_bytes
 
 GROUP_ITEMS, GROUP_BYTES, BLOCK_ITEMS = 2_000, 4 << 20, 16
 #: Bounds, one for each different term and block of an index, 8 bytes each.
@@ -195,9 +195,9 @@ def _scanner(shared, threshold, question, answer, n, whole):
     def run(batches):
         index = shared.value
         for batch in batches:
-            texts, out = text_bytes(batch.column("text")), []
-            for a, b in blocks(texts):
-                out += [(a + i, *rest) for i, *rest in scan(index, texts[a:b], threshold, question, answer, n, whole)]
+            out = []
+            for a, b in ranges(sizes_of(batch.column("text"))):
+                out += [(a + i, *rest) for i, *rest in scan(index, text_bytes(batch.column("text").slice(a, b - a)), threshold, question, answer, n, whole)]
             i, item, score, q, r = zip(*out, strict=True) if out else ((), (), (), (), ())
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id").take(pa.array(i, pa.int64())), "item_id": pa.array([index.items[k][0] for k in item], pa.int64()),

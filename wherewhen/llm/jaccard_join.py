@@ -41,7 +41,8 @@ from wherewhen.llm.textops import Words, binary_views, blocks, pack, shard_of, s
 WIDTH = 5
 #: d <= RADIUS is 100 * shared >= 75 * either.
 RADIUS = 0.25
-SHARD_ENTRIES = 1 << 21
+#: Of a shard of postings, one for each 100 bytes of text; about three times as many come.
+SHARD_ENTRIES = 1 << 19
 #: What a task joins at once: up to so many documents, and so many bytes of their shingles (or one document).
 BLOCK_MEMBERS, BLOCK_BYTES = 2_000, 8 << 20
 #: Pivots of a family that is larger than a block.
@@ -367,7 +368,7 @@ def linked_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     often = sketch.groupBy("shard").applyInArrow(light(_estimate), "chunk long, shard long, least binary")
     seen = settled(texts.groupBy("chunk").cogroup(often.groupBy("chunk")).applyInArrow(light_pair(_candidates(shards)), "doc_id long, n long, set binary, rare binary"), "candidates")
     counts, sets = seen.select("doc_id", "n"), seen.where("set IS NOT NULL").select("doc_id", "n", "set")
-    parts = max(8, math.ceil(size / 100 / SHARD_ENTRIES))
+    parts = max(16, math.ceil(size / 100 / SHARD_ENTRIES))
     postings = seen.where("set IS NOT NULL").select("doc_id", "n", "rare").mapInArrow(light_map(_postings(parts)), "shard int, keys binary, at binary, ids binary, sizes binary")
     families = postings.groupBy("shard").applyInArrow(light(_families), "pivot long, member long, n long, times long")
     families = settled(families.groupBy("pivot", "member").agg(F.sum("times").alias("times"), F.max("n").alias("n")), "families", files)

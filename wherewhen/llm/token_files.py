@@ -12,6 +12,7 @@ come first); i64 doc ids, u64 first token of each document and the end; for each
 from __future__ import annotations
 
 import math
+import re
 import struct
 import uuid
 import zlib
@@ -23,26 +24,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wherewhen.llm.common import keep, light_map, settled, shared_dir, text_size
-from wherewhen.llm.textops import blocks, text_bytes
+from wherewhen.llm.textops import ranges, sizes_of, text_bytes
 
 MAGIC = b"DACT"
 RANK_EVERY = 512
-MAX_CACHED_WORDS = 500_000
+#: Words of one generation; two generations have some 150 bytes a word, in every worker.
+MAX_CACHED_WORDS = 100_000
+#: A full stop or comma after a letter, at the end of a word.
+LAST = re.compile(rb"([.,])(?<=[A-Za-z].)(?!\S)")
 
 
 def encode(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray, nulls: int = 0) -> bytes:
     """The bytes of one file. starts: the first token of each document and the number of tokens; nulls: documents without an id."""
-    levels, rest = [], ids.astype(np.uint32)
+    levels, rest = [], ids.astype(np.uint32, copy=False)
     while True:
         more = rest >= 256
         marks = np.packbits(more, bitorder="little")
-        ranks = np.concatenate([[0], np.cumsum(np.add.reduceat(more, np.arange(0, len(more), RANK_EVERY)))[:-1]]) if len(more) else np.zeros(0)
-        levels.append((len(rest), (rest & 255).astype(np.uint8).tobytes(), marks.tobytes(), ranks.astype("<u8").tobytes()))
+        count = np.count_nonzero(more[: len(more) // RANK_EVERY * RANK_EVERY].reshape(-1, RANK_EVERY), axis=1)
+        ranks = np.append(0, np.cumsum(count))[: -(-len(more) // RANK_EVERY)]
+        levels.append((len(rest), rest.astype(np.uint8).tobytes(), marks.tobytes(), ranks.astype("<u8").tobytes()))  # the lowest 8 bits
         if not more.any():
             break
-        rest = rest[more] >> np.uint32(8)
+        rest = rest[more]
+        rest >>= np.uint32(8)
     head = MAGIC + struct.pack("<IQQQ", len(levels), len(doc_ids), len(ids), nulls) + doc_ids.astype("<i8").tobytes() + starts.astype("<u8").tobytes()
-    return head + b"".join(struct.pack("<Q", n) + a + b + c for n, a, b, c in levels)
+    del rest, more
+    return b"".join([head, *(x for n, *parts in levels for x in (struct.pack("<Q", n), *parts))])
 
 
 class TokenFile:
@@ -107,7 +114,7 @@ class WordEncoder:
     to the tokenizer many at a time: words of letters alone with spaces between, where each ends with a token that
     ends a word, others with a special token of the vocabulary between them. Words stay known for
     two generations of MAX_CACHED_WORDS words. Where the tokenizer is one that lower-cases and splits letters from
-    punctuation (parts=True), A-Z are lower-cased first and a full stop or comma after a letter is a word of its own.
+    punctuation (parts=True), A-Z are lower-cased first and a full stop or comma after a word's last letter is a word of its own.
     """
 
     def __init__(self, path: str):
@@ -124,8 +131,10 @@ class WordEncoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
         for token, i in self.tokenizer.get_vocab().items() if suffix else ():
             self.ends[i] = token.endswith(suffix)
-        probe = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
-        self.parts = probe("The QUICK, fox. a1.") == probe("the quick , fox . a1 .")
+        self.parts = self._ids("The QUICK, fox. a1.").tolist() == self._ids("the quick , fox . a1 .").tolist()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")  # without offsets
 
     def _encode(self, words: list[bytes]) -> None:
         texts = [w.decode() for w in words]
@@ -133,7 +142,7 @@ class WordEncoder:
         done = set()
         for k in range(0, len(plain), 200):
             part = plain[k : k + 200]
-            ids = np.array(self.tokenizer.encode(" ".join([texts[i] for i in part]), add_special_tokens=False).ids, dtype="<u4")
+            ids = self._ids(" ".join([texts[i] for i in part]))
             at, data = np.flatnonzero(self.ends[ids]) + 1, ids.tobytes()
             if len(at) == len(part) and at[-1] == len(ids):
                 at = at.tolist()
@@ -142,25 +151,21 @@ class WordEncoder:
         joint = [k for k, t in enumerate(texts) if k not in done and self.between and self.between[1] not in t]
         for k in range(0, len(joint), 200):
             part = joint[k : k + 200]
-            ids = np.array(self.tokenizer.encode("".join(texts[i] + self.between[1] for i in part), add_special_tokens=False).ids, dtype="<u4")
+            ids = self._ids("".join(texts[i] + self.between[1] for i in part))
             at, data = np.flatnonzero(ids == self.between[0]), ids.tobytes()
             self.known.update(zip([words[i] for i in part], [data[4 * a : 4 * b] for a, b in zip([0, *(at[:-1] + 1)], at, strict=True)], strict=True))
         for i in set(range(len(words))).difference(joint, done):
-            self.known[words[i]] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
+            self.known[words[i]] = self._ids(texts[i]).tobytes()
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        lists = [(t.lower() if self.parts and self.opens not in t else t).split() for t in texts]
+        lists = [(LAST.sub(rb" \1", t.lower() if self.opens not in t else t) if self.parts else t).split() for t in texts]
         if len(self.known) > MAX_CACHED_WORDS:
             self.known, self.older = {}, self.known
         new = set().union(*lists).difference(self.known)
         old = [w for w in new if w in self.older]  # never walks through what is known
         self.known.update((w, self.older[w]) for w in old)
         new.difference_update(old)
-        ends = [w for w in new if self.parts and w[-1:] in (b".", b",") and w[-2:-1].isalpha()]
-        whole = new.difference(ends)
-        whole.update({x for w in ends for x in (w[:-1], w[-1:])}.difference(self.known))
-        self._encode(list(whole))
-        self.known.update((w, self.known[w[:-1]] + self.known[w[-1:]]) for w in ends)
+        self._encode(list(new))
         return [b"".join(map(self.known.__getitem__, words)) for words in lists]
 
 
@@ -186,12 +191,12 @@ def _writer(folder: str, tokenizer: str, end_id: int, file_tokens: int):
 
     def write(batches):
         part, run, encode_texts = TaskContext.get().partitionId(), 0, _encoder(tokenizer)
-        ids, docs, sizes = [], [], []
+        ids, docs, sizes = bytearray(), [], []
 
         def flush():
-            nonlocal run
+            nonlocal run, ids
             starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-            data = encode(np.array([d or 0 for d in docs], dtype=np.int64), starts, np.frombuffer(b"".join(ids), dtype="<u4"), docs.count(None))
+            data = encode(np.array([d or 0 for d in docs], dtype=np.int64), starts, np.frombuffer(ids, dtype="<u4"), docs.count(None))
             uri = f"{folder}/tokens-{part:06d}-{run:06d}.dac"
             system, path = _open(uri)
             own = f"{path}.{uuid.uuid4().hex}"  # a task that runs twice puts the same bytes in the same place
@@ -199,16 +204,17 @@ def _writer(folder: str, tokenizer: str, end_id: int, file_tokens: int):
                 out.write(data)
             system.move(own, path)
             row = pa.record_batch({"part": pa.array([part], pa.int64()), "run": pa.array([run], pa.int64()), "uri": [uri], "n_docs": pa.array([len(docs)], pa.int64()), "n_tokens": pa.array([int(starts[-1])], pa.int64())})
-            run += 1
-            ids.clear(), docs.clear(), sizes.clear()
+            run, ids = run + 1, bytearray()
+            docs.clear(), sizes.clear()
             return row
 
         held = 0
         for batch in batches:
-            texts, numbers = text_bytes(batch.column("text")), batch.column("doc_id").to_pylist()
-            for a, b in blocks(texts, 1 << 20):
-                for doc, got in zip(numbers[a:b], encode_texts(texts[a:b]), strict=True):
-                    ids += (got, end)
+            numbers = batch.column("doc_id").to_pylist()
+            for a, b in ranges(sizes_of(batch.column("text")), 1 << 20):
+                for doc, got in zip(numbers[a:b], encode_texts(text_bytes(batch.column("text").slice(a, b - a))), strict=True):
+                    ids += got
+                    ids += end
                     docs.append(doc)
                     sizes.append(len(got) // 4 + 1)
                     held += sizes[-1]
@@ -233,7 +239,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     system, path = _open(folder)
     system.create_dir(path, recursive=True)
     manifest = ordered.mapInArrow(light_map(_writer(folder, tokenizer, end_id, file_tokens), "token_files"), "part long, run long, uri string, n_docs long, n_tokens long")
-    return settled(manifest, "token-manifest")
+    return settled(manifest.repartition(max(4, parts // 64)), "token-manifest")  # not a file for each task
 
 
 def _read(batches):
@@ -242,8 +248,10 @@ def _read(batches):
             system, path = _open(uri)
             with system.open_input_file(path) as f:
                 file = TokenFile(f.read())
-            ids = memoryview(file.tokens(0, file.n_tokens).astype("<u4").tobytes())
-            crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(file.starts[:-1].tolist(), file.starts[1:].tolist(), strict=True)]
+            crc, starts = [], file.starts.tolist()
+            for a, b in ranges(np.diff(file.starts).tolist(), 1 << 19):
+                ids = memoryview(file.tokens(starts[a], starts[b]).astype("<u4", copy=False).tobytes())
+                crc += [zlib.crc32(ids[4 * (x - starts[a]) : 4 * (y - starts[a])]) for x, y in zip(starts[a:b], starts[a + 1 : b + 1], strict=True)]
             yield pa.record_batch({"doc_id": pa.array(file.doc_ids, mask=np.arange(len(file.doc_ids)) < file.nulls), "start": pa.array(file.starts[:-1] + base), "n_tokens": pa.array(np.diff(file.starts)), "ids_crc32": pa.array(crc, pa.int64())})
 
 
