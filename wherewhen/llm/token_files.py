@@ -29,7 +29,7 @@ from wherewhen.llm.textops import ranges, sizes_of, text_bytes
 MAGIC = b"DACT"
 RANK_EVERY = 512
 #: Words of one generation; two generations have some 150 bytes a word, in every worker.
-MAX_CACHED_WORDS = 100_000
+MAX_CACHED_WORDS = 200_000
 #: A full stop or comma after a letter, at the end of a word.
 LAST = re.compile(rb"([.,])(?<=[A-Za-z].)(?!\S)")
 
