@@ -69,3 +69,34 @@ def test_ends_of_words_as_the_library():
     for _ in range(2):  # unknown and known
         got = encoder([x.encode() for x in texts])
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_new_words_go_straight_to_the_model(monkeypatch):
+    encoder = WordEncoder(TOKENIZER)
+    monkeypatch.setattr(encoder, "_ids", lambda text: pytest.fail(f"the whole tokenizer for {text!r}"))
+    text = " ".join(f"{a}oul{b}nd" for a in "bcdf\u00e9\u00df\u00f1" for b in "gh\u00fc\u00ff")
+    assert len(encoder([text.encode(), text.replace("oul", "OUL").encode()])) == 2
+    assert len(encoder.known) == 28  # each different word once
+
+
+def test_cuts_at_punctuation_as_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    marks, ends = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", ["", "s", "S", "'re", "\u0301", "\u0338", ".", "5", "\u00e9", "\u00a0", "<|endoftext|>"]
+    texts = [f"{a}{m}{e} {m}{a}" for a in ("abc", "Ab", "caf\u00e9", "\u00c9t", "\u00f7", "x7", "e\u0301", "\u03a3") for m in (*marks, "***", ".***", "'s", "'ll.") for e in ends]
+    texts += ["".join(texts), " ".join(texts), "\n".join(t for t in texts if "<|" not in t), "a<|endoftext|>.b, c***", "<|ENDOFTEXT|>", "\u00ff\u00df. " + "\u00fc" * 300, "\u0130. \u212a! \ufb01?"]
+    plain = json.load(open(TOKENIZER, encoding="utf-8"))
+    cased = {**plain, "normalizer": {"type": "NFC"}}
+    other = {**plain, "normalizer": {"type": "Sequence", "normalizers": [*plain["normalizer"]["normalizers"], {"type": "Replace", "pattern": {"String": "ab"}, "content": "q"}]}}
+    for name, form, direct in (("plain", plain, True), ("cased", cased, True), ("other", other, False)):
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(form), encoding="utf-8")
+        t, encoder = Tokenizer.from_file(str(path)), WordEncoder(str(path))
+        assert (encoder.model is not None) == direct
+        expected = [t.encode(x, add_special_tokens=False).ids for x in texts]
+        for _ in range(2):  # unknown and known
+            assert [np.frombuffer(g, "<u4").tolist() for g in encoder([x.encode() for x in texts])] == expected
+        assert [np.frombuffer(encoder([x.encode()])[0], "<u4").tolist() for x in texts] == expected
+    assert encoder([]) == [] and encoder([b"", b" \n"]) == [b"", b""]

@@ -11,6 +11,7 @@ come first); i64 doc ids, u64 first token of each document and the end; for each
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import struct
@@ -24,14 +25,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wherewhen.llm.common import keep, light_map, settled, shared_dir, text_size
-from wherewhen.llm.textops import ranges, sizes_of, text_bytes
+from wherewhen.llm.textops import Words, ranges, sizes_of, text_bytes
 
 MAGIC = b"DACT"
 RANK_EVERY = 512
+#: Text bytes that are encoded at a time.
+BLOCK_BYTES = 2 << 20
 #: Words of one generation; two generations have some 150 bytes a word, in every worker.
 MAX_CACHED_WORDS = 200_000
-#: A full stop or comma after a letter, at the end of a word.
-LAST = re.compile(rb"([.,])(?<=[A-Za-z].)(?!\S)")
+_LETTER = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
+_PUNCTUATION = np.array([32 < i < 127 and not chr(i).isalnum() for i in range(256)])
+#: A word of the lower-case letters of ASCII and Latin-1, in UTF-8.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: The characters that stand for bytes in a byte-level vocabulary, as far as they are not those of Latin-1.
+BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+#: What a tokenizer does before its model that leaves PLAIN words as they are, each a word for the model, and splits
+#: letters from punctuation.
+PLAIN_NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+PLAIN_SPLITS = (
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+)
 
 
 def encode(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray, nulls: int = 0) -> bytes:
@@ -107,14 +121,24 @@ class TokenFile:
         return out
 
 
+def _leaves_plain(tokenizer) -> bool:
+    """Whether PLAIN words reach the tokenizer's model as they are, each by itself, and letters are split from punctuation."""
+    form = json.loads(tokenizer.to_str())
+    steps = [(x or {}).get(name, [x] if x else []) for x, name in ((form["normalizer"], "normalizers"), (form["pre_tokenizer"], "pretokenizers"))]
+    added = [t["content"] for t in form["added_tokens"]]
+    return all(x in PLAIN_NORMALIZERS for x in steps[0]) and steps[1] == list(PLAIN_SPLITS) and all("<|" in t for t in added)
+
+
 class WordEncoder:
     """text bytes -> ids as little-endian uint32.
 
-    A text's ids are its words' ids in a row, as the tokenizer drops white space and splits at it. New words go
-    to the tokenizer many at a time: words of letters alone with spaces between, where each ends with a token that
-    ends a word, others with a special token of the vocabulary between them. Words stay known for
-    two generations of MAX_CACHED_WORDS words. Where the tokenizer is one that lower-cases and splits letters from
-    punctuation (parts=True), A-Z are lower-cased first and a full stop or comma after a word's last letter is a word of its own.
+    A text's ids are its words' ids in a row, as the tokenizer drops white space and splits at it. The different words
+    of the texts are found by Arrow. New words go to the tokenizer, PLAIN ones straight to its model if all that the tokenizer
+    does before leaves them as they are (model), others many at a time: words of letters alone with spaces between,
+    where each ends with a token that ends a word, and the rest with a special token of the vocabulary between them. Words stay
+    known for two generations of MAX_CACHED_WORDS words. Where the tokenizer is one that lower-cases and splits letters from
+    punctuation (parts=True), A-Z are lower-cased first and a full stop or comma after a word's last letter is a word of its own;
+    with model, a word also ends before any ASCII punctuation after a letter, but for texts that may hold special tokens.
     """
 
     def __init__(self, path: str):
@@ -132,11 +156,28 @@ class WordEncoder:
         for token, i in self.tokenizer.get_vocab().items() if suffix else ():
             self.ends[i] = token.endswith(suffix)
         self.parts = self._ids("The QUICK, fox. a1.").tolist() == self._ids("the quick , fox . a1 .").tolist()
+        self.model = self.tokenizer.model if _leaves_plain(self.tokenizer) else None
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")  # without offsets
 
+    def _know(self, words: list[bytes], at: list[int], data: bytes) -> None:
+        """The ids of words end at the places at of data."""
+        self.known.update(zip(words, [data[4 * a : 4 * b] for a, b in zip([0, *at], at, strict=False)], strict=True))
+
+    def _plain(self, words: list[bytes]) -> None:
+        for k in range(0, len(words), 200):
+            part = words[k : k + 200]
+            found = [self.model.tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(BYTE_LEVEL)) for w in part]
+            self._know(part, np.cumsum([len(x) for x in found]).tolist(), np.array([t.id for x in found for t in x], dtype="<u4").tobytes())
+
     def _encode(self, words: list[bytes]) -> None:
+        if self.model:
+            plain, rest = [], []
+            for w in words:
+                (plain if PLAIN.fullmatch(w) else rest).append(w)
+            self._plain(plain)
+            words = rest
         texts = [w.decode() for w in words]
         plain = [k for k, t in enumerate(texts) if self.parts and t.isalpha() and t.lower().isalpha()]
         done = set()
@@ -145,8 +186,7 @@ class WordEncoder:
             ids = self._ids(" ".join([texts[i] for i in part]))
             at, data = np.flatnonzero(self.ends[ids]) + 1, ids.tobytes()
             if len(at) == len(part) and at[-1] == len(ids):
-                at = at.tolist()
-                self.known.update(zip([words[i] for i in part], [data[4 * a : 4 * b] for a, b in zip([0, *at], at, strict=False)], strict=True))
+                self._know([words[i] for i in part], at.tolist(), data)
                 done.update(part)
         joint = [k for k, t in enumerate(texts) if k not in done and self.between and self.between[1] not in t]
         for k in range(0, len(joint), 200):
@@ -157,16 +197,54 @@ class WordEncoder:
         for i in set(range(len(words))).difference(joint, done):
             self.known[words[i]] = self._ids(texts[i]).tobytes()
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        lists = [(LAST.sub(rb" \1", t.lower() if self.opens not in t else t) if self.parts else t).split() for t in texts]
+    def _words(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The different words of texts, which of them each word is, and the first word of each text and the end."""
+        special = [bool(self.opens) and self.opens in t for t in texts]
+        words = Words([t if x or not self.parts else t.lower() for t, x in zip(texts, special, strict=True)])
+        begins = np.zeros(len(words.buf), dtype=bool)
+        begins[words.starts] = True
+        if self.parts:
+            buf = words.buf
+            mark = np.flatnonzero(_PUNCTUATION[buf])
+            before = buf[mark - 1]  # of the first byte the last, which is a line feed
+            after_letter = _LETTER[before]
+            if self.model:
+                after_letter |= (before >= 0x9F) & (before <= 0xBF) & (before != 0xB7) & (buf[mark - 2] == 0xC3)
+            mark = mark[after_letter]
+            ends_word = ((buf[mark] == ord(".")) | (buf[mark] == ord(","))) & ~words.inside[mark + 1]
+            free = ~np.array(special)[np.searchsorted(words.at, mark, side="right") - 1] if any(special) else True
+            cut = mark[ends_word | free if self.model else ends_word]
+            begins[cut] = True
+            words.first += np.searchsorted(cut, words.at)
+        at = np.append(np.flatnonzero(begins[words.inside]), np.count_nonzero(words.inside)).astype(np.int32)
+        column = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(words.buf[words.inside])]).dictionary_encode()
+        _, at, data = column.dictionary.buffers()
+        at, data = np.frombuffer(at, dtype=np.int32, count=len(column.dictionary) + 1).tolist(), data.to_pybytes() if data else b""
+        return [data[a:b] for a, b in zip(at, at[1:], strict=False)], column.indices.to_numpy(), words.first
+
+    def _found(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words."""
         if len(self.known) > MAX_CACHED_WORDS:
             self.known, self.older = {}, self.known
-        new = set().union(*lists).difference(self.known)
-        old = [w for w in new if w in self.older]  # never walks through what is known
-        self.known.update((w, self.older[w]) for w in old)
-        new.difference_update(old)
-        self._encode(list(new))
-        return [b"".join(map(self.known.__getitem__, words)) for words in lists]
+        found = list(map(self.known.get, words))
+        new = [i for i, x in enumerate(found) if x is None]
+        old = [(words[i], self.older[words[i]]) for i in new if words[i] in self.older]  # never walks through what is known
+        self.known.update(old)
+        self._encode([words[i] for i in new if words[i] not in self.known])
+        for i in new:
+            found[i] = self.known[words[i]]
+        return found
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        words, which, first = self._words(texts)
+        found = self._found(words)
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 2
+        begin = np.cumsum(size) - size
+        n = size[which]
+        end = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(found), dtype="<u4")[np.repeat(begin[which] - end[:-1], n) + np.arange(end[-1])].tobytes()
+        at = (4 * end[first]).tolist()
+        return [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -211,7 +289,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, file_tokens: int):
         held = 0
         for batch in batches:
             numbers = batch.column("doc_id").to_pylist()
-            for a, b in ranges(sizes_of(batch.column("text")), 1 << 20):
+            for a, b in ranges(sizes_of(batch.column("text")), BLOCK_BYTES):
                 for doc, got in zip(numbers[a:b], encode_texts(text_bytes(batch.column("text").slice(a, b - a))), strict=True):
                     ids += got
                     ids += end
