@@ -166,3 +166,22 @@ def test_builders(spark):
     assert again.schema == R.ENTITY and again.collect() == rows.collect()
     flat = builders.observations_from(spark, [x[R.STRUCT].asDict() for x in rows.collect()])
     assert builders.as_struct(flat).first()[R.STRUCT] == r
+
+
+def test_lookups_meet_few_spans(spark, eph):
+    """A bucket of many spans is cut at cells, so that an asked row meets a span or two, also where samples are dense for a while."""
+    dense = eph.states.where("body = 10").crossJoin(spark.range(1, 2000).select((F.col("id") * 1_000_000_007).alias("more"))).where("epoch_ns = 0").withColumn("epoch_ns", F.col("epoch_ns") + F.col("more")).drop("more")
+    wide = Ephemeris(eph.states.unionByName(dense), eph.spins, eph.masses)
+    widths, cells, levels = wide._lookup
+    n = wide.spans().count()
+    assert levels == 3 and cells.count() <= 3 * n and widths.count() <= 9
+    assert cells.where("_b <> 10").groupBy("_b", "_bucket", "_cell").count().agg(F.max("count")).first()[0] <= 3
+    ask = asked(spark, *[(b, t) for b in (10, 399, 301, 0, 7) for t in (-15 * DAY_NS, -15 * DAY_NS - 1, 0, 1_500_000_000, 15 * DAY_NS, 15 * DAY_NS + 1)])
+    a, b = ({(r.body, r.epoch): (r.position, r.velocity) for r in e.states_at(ask).collect()} for e in (wide, eph))
+    assert a.keys() == b.keys() and len(a) == 30 and a[7, 0] == (None, None) and a[301, 15 * DAY_NS + 1] == (None, None)
+    for k in a:
+        assert (a[k][0] is None) == (b[k][0] is None)
+        assert a[k][0] is None or (np.allclose(a[k][0], b[k][0], atol=1e-6, rtol=0) and np.allclose(a[k][1], b[k][1], atol=1e-9, rtol=0))
+    loop = Ephemeris(eph.states.where("body <> 10").unionByName(eph.states.where("body = 10").withColumn("centre", F.lit(301))), eph.spins, eph.masses)
+    with pytest.raises(ValueError, match="barycentre"):
+        loop.states_at(asked(spark, (10, 0)))
