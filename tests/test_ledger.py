@@ -179,3 +179,23 @@ def test_text_sources(spark, tmp_path):
     got = arrow_files.read_polygons(spark, f"{tmp_path}/g.json").orderBy("id").collect()
     assert [(p.west, p.north) for p in got] == [(0.0, 2.0), (5.0, 6.0)]
     assert arrow_files.grid(spark, 100, 50).count() == 25
+
+
+def test_seal_tail_of_many_bytes(spark, monkeypatch):
+    """The query's thresholds go by its own tail: a table of over SEAL_BYTES is sealed by its number of batches too."""
+    from wherewhen.plans import frame_queries
+
+    monkeypatch.setattr(Ledger.seal, "__defaults__", (50, 1000))
+    assert frame_queries.seal_tail(spark, "/root/testdata/sf0.001").first()["folders"] == 1
+
+
+def test_index_of_many_bytes(spark, ledger, monkeypatch):
+    """A range of the epoch that is too large for a task is dealt over several, in the index's order."""
+    from wherewhen.plans import ledger as module
+
+    few = [r.row_seq for r in ledger.index_by_entity(files=1).collect()]
+    monkeypatch.setattr(module, "SEAL_BYTES", 4000)
+    rows = ledger.index_by_entity(files=1)
+    assert rows.rdd.getNumPartitions() > 1 and [r.row_seq for r in rows.collect()] == few
+    two = [(r.epoch_ns, bytes(r.entity_id), r.row_seq) for r in ledger.index_by_entity(files=2).collect()]
+    assert len(two) == 5 and [t[0] for t in two] == sorted(t[0] for t in two)

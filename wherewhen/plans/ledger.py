@@ -247,9 +247,15 @@ class Ledger:
         return self._copy(target, state.retain(self.rows(), window_start, self.spec.id_column), topology.trim(self.topology_log(), window_start))
 
     def index_by_entity(self, files: int = 8) -> DataFrame:
-        """All rows, each entity's together in ranges of the epoch, by epoch and row."""
+        """All rows, each entity's together in ranges of the epoch, by epoch and row. A range of over SEAL_BYTES is dealt over tasks in its order, so a range's files follow one another."""
         key = [self.spec.id_column] if self.spec.id_column else []
-        return self.rows().repartitionByRange(files, "epoch_ns").sortWithinPartitions(*key, "epoch_ns", "row_seq")
+        order, rows = [*key, "epoch_ns", "row_seq"], self.rows()
+        parts = -(-sum(x["bytes"] for x in self._live().values()) // SEAL_BYTES)
+        if parts <= files:
+            return rows.repartitionByRange(files, "epoch_ns").sortWithinPartitions(*order)
+        ends = rows.approxQuantile("epoch_ns", [i / files for i in range(1, files)], 0.001) if files > 1 else []
+        part = sum(((F.col("epoch_ns") >= F.lit(int(e))).cast("int") for e in ends), F.lit(0))
+        return rows.withColumn("_range", part).repartitionByRange(parts, "_range", *order).sortWithinPartitions("_range", *order).drop("_range")
 
     def resident_bytes(self) -> DataFrame:
         """(batch_seq, n_rows, first_epoch, last_epoch, bytes) of what is stored, from the commits; bytes are those of the files."""
