@@ -218,3 +218,20 @@ def test_as_of_keeps_nulls(spark):
     left = spark.createDataFrame([(1, 10)], "k long, t long")
     right = spark.createDataFrame([(1, 1, "old", 0), (1, 5, None, 1)], "e long, t2 long, v string, row_seq long")
     assert asof.asof_or_first(left, right, "k", "e", "t", "t2", {"v": "w"}).first().w is None
+
+
+def test_nearest_in_groups_of_any_size(spark, monkeypatch, tmp_path):
+    """Groups of few places are asked as one list each: no round of cells writes their rows anew; larger ones go by cells, with the same result."""
+    from wherewhen.plans import tables
+
+    rows = [(i, float(i * 37 % 101), float(i * 53 % 97), i % 40 if i % 5 else 1000, i % 7) for i in range(600)]
+    df = spark.createDataFrame(rows, "i long, x double, y double, g long, e long")
+    want = {i: min((((x - a) ** 2 + (y - b) ** 2) ** 0.5 for _, a, b, h, o in rows if h == g and o != e), default=None) for i, x, y, g, e in rows}
+    written, settled = [], tables.settled
+    monkeypatch.setattr(tables, "settled", lambda d, name: written.append(name) or settled(d, name))
+    for few in (256, 50, 1):
+        monkeypatch.setattr(joins, "FEW_IN_GROUP", few)
+        written.clear()
+        got = {r.i: r.distance for r in joins.nearest_moving(df, "e", ("g",)).select("i", "distance").collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        assert few != 256 or written.count("nearest") == 1
