@@ -185,3 +185,14 @@ def test_lookups_meet_few_spans(spark, eph):
     loop = Ephemeris(eph.states.where("body <> 10").unionByName(eph.states.where("body = 10").withColumn("centre", F.lit(301))), eph.spins, eph.masses)
     with pytest.raises(ValueError, match="barycentre"):
         loop.states_at(asked(spark, (10, 0)))
+
+
+def test_chain_rows_are_carried_whole(spark, monkeypatch):
+    """A level of a chain is one as-of join of the open rows themselves, with nothing to be joined back."""
+    rows = spark.createDataFrame([(2, 1, 0, 1.0, 0), (3, 2, 0, 10.0, 1), (3, 1, 50, 100.0, 2)], "entity long, parent long, epoch_ns long, x double, row_seq long").withColumns({"y": F.lit(0.0), "z": F.lit(0.0), "quaternion": quat.vector(*quat.IDENTITY)})
+    seen, real = [], X.asof_join
+    monkeypatch.setattr(X, "asof_join", lambda left, *a, **k: seen.append(left.columns) or real(left, *a, **k))
+    ask = spark.createDataFrame([(3, 10), (3, 60), (2, 60), (3, -1), (1, 5)], "frame long, epoch long")
+    got = {(r.frame, r.epoch): (r.root, r.t and r.t[0], r.hops) for r in X.resolve(ask, rows, lambda c: c == 1).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {(3, 10): (1, 11.0), (3, 60): (1, 100.0), (2, 60): (1, 1.0), (3, -1): (None, None), (1, 5): (1, 0.0)}
+    assert len(seen) == 2 and all({"frame", "m", "hops"} <= set(c) for c in seen)

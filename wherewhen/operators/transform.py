@@ -29,12 +29,12 @@ def resolve(asked: DataFrame, rows: DataFrame, is_root, key: str = "entity", par
     done = open_.where(is_root(F.col("at")))
     open_ = open_.where(~is_root(F.col("at")))
     for _ in range(max_depth):
-        need = open_.select("at", "epoch").distinct()
         pose = {parent: "up", "x": "px", "y": "py", "z": "pz", "quaternion": "pq"}
-        mine = poses.join(need.select(F.col("at").alias(key)).distinct(), key, "left_semi")
-        found = asof_join(need, mine, "at", key, "epoch", epoch, pose, seq, unique=True)
+        mine = poses.join(open_.select(F.col("at").alias(key)).distinct(), key, "left_semi")
+        # each open row is carried along the join whole: its frame's pose comes back to it without a distinct and a join of its own
+        found = asof_join(open_, mine, "at", key, "epoch", epoch, pose, seq, unique=True)
         hop = quat.motion(quat.vector(F.col("px"), F.col("py"), F.col("pz")), F.col("pq"))
-        step = open_.join(found, ["at", "epoch"]).select("frame", "epoch", F.col("up").alias("at"), quat.compose(hop, F.col("m")).alias("m"), (F.col("hops") + 1).alias("hops"))
+        step = found.select("frame", "epoch", F.col("up").alias("at"), quat.compose(hop, F.col("m")).alias("m"), (F.col("hops") + 1).alias("hops"))
         step = settled(step, "chain")
         done = done.unionByName(step.where(F.coalesce(is_root(F.col("at")), F.lit(True))))
         open_ = step.where(~is_root(F.col("at")))
@@ -110,7 +110,9 @@ def transform(df: DataFrame, target: bytes, ephemeris, resolver: DataFrame | Non
     """
     frame, at = R.field(df, "frame_id", struct), R.epoch_ns(df, struct)
     rows = df.withColumn("_at", at)
-    need = rows.select(frame.alias("frame"), F.col("_at").alias("epoch")).distinct()
+    from wherewhen.plans.tables import settled
+
+    need = settled(rows.select(frame.alias("frame"), F.col("_at").alias("epoch")).distinct(), "frames")  # read by each step below
     kind = ident.kind(F.col("frame"))
     if not need.where(kind == ident.ABSTRACT).isEmpty():
         raise ValueError("an abstract id is no frame")
